@@ -1,0 +1,65 @@
+"""A stated query set against all rows, in blocks: rows are packed into fixed-size matrices, each pair of blocks is one unit of work."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK_SCHEMA = "ids binary, vectors binary, n int, dim int"
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
+    """Rows (id, v: array<double>) with an id and a vector that is neither null nor holds null or non-finite components."""
+    v = F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = rows.where(~F.exists("v", bad))
+    return rows.where(F.exists("v", lambda x: x != 0)) if nonzero else rows
+
+
+def pack(rows: DataFrame, size: int) -> DataFrame:
+    """Packs rows (id, v) where they lie into blocks of at most `size` vectors of one length."""
+
+    def packed(batches):
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dim):
+            ids, vectors = held.pop(dim)
+            return pa.RecordBatch.from_pydict({"ids": [np.array(ids, dtype=np.int64).tobytes()], "vectors": [np.concatenate(vectors).tobytes()], "n": pa.array([len(ids)], pa.int32()), "dim": pa.array([dim], pa.int32())})
+
+        for batch in batches:
+            column = batch.column("v")
+            flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+            offsets = offsets - offsets[0]
+            for i, key in enumerate(batch.column("id").to_pylist()):
+                v = flat[offsets[i] : offsets[i + 1]]
+                ids, vectors = held.setdefault(v.size, ([], []))
+                ids.append(key)
+                vectors.append(v)
+                if len(ids) == size:
+                    yield block(v.size)
+        for dim in list(held):
+            yield block(dim)
+
+    return rows.mapInArrow(packed, BLOCK_SCHEMA)
+
+
+def pair(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
+    """Every candidate block beside every query block of its dimension, joined on the query block's group: (c_*, q_*)."""
+    spread = candidates.select(*[F.col(c).alias("c_" + c) for c in candidates.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    asked = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns], F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int").alias("g"))
+    return spread.join(asked, (spread["g"] == asked["g"]) & (F.col("c_dim") == F.col("q_dim"))).drop("g")
+
+
+def matrix(blob: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.float64).reshape(-1, dim)
+
+
+def best(found: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """The k best rows of each query by score, then smaller vec_id; each task first keeps its own k best."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
