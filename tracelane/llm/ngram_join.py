@@ -169,18 +169,28 @@ def compare(nodes: np.ndarray, side: np.ndarray, sketches: np.ndarray, sets: lis
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (longs). Returns node, root: the smallest node of its component. Each round every node takes the smallest label among its
-    own and its neighbours', then its label's label; both are joins by key, and the labels are cut to the shared folder."""
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    """edges: a, b (longs). Returns node, root (the smallest node of its component) of every node with an edge to another.
+
+    Contraction: each node that has a smaller neighbour gets the smallest as its parent and leaves the graph, its edges pass to the parent;
+    only local minima stay, so edges vanish within few rounds and none is made that wasn't there. Then parents are followed by doubling.
+    Every round is cut to the shared folder."""
+    canon = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+    now, forest = cut(canon(edges, "a", "b")), None
+    while now.limit(1).count():
+        parent = cut(now.groupBy("u").agg(F.min("v").alias("p")))
+        forest = parent if forest is None else forest.union(parent)
+        rest = now.join(parent, "u").where("v <> p").select("p", "v")
+        above = parent.select(F.col("u").alias("v"), F.col("p").alias("q"))
+        now = cut(canon(rest.join(above, "v", "left").select("p", F.coalesce("q", "v").alias("w")), "p", "w"))
+    if forest is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("a <> b")
+    labels = cut(forest.select(F.col("u").alias("node"), F.col("p").alias("root")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        jump = step.select(F.col("node").alias("_n"), F.col("new").alias("_r"))
-        new = cut(step.join(jump, step["new"] == jump["_n"], "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("_r", "new")).alias("root")))
-        labels, changed = new.select("node", "root"), new.where("old <> root").limit(1).count()
-        if not changed:
-            return labels
+        above = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        new = cut(labels.join(above, labels["root"] == above["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        labels = new.select("node", "root")
+        if not new.where("moved").limit(1).count():
+            return labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
 
 
 def runs(batches, keys: list[str]):
