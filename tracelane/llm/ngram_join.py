@@ -168,29 +168,35 @@ def compare(nodes: np.ndarray, side: np.ndarray, sketches: np.ndarray, sets: lis
     return [(int(nodes[i]), int(links[i]), int(best[root[i]])) for i in np.flatnonzero(links)]
 
 
+def followed(parents: DataFrame) -> DataFrame:
+    """parents: node, root (smaller). Follows roots that have a parent themselves, by doubling; each round is cut to the shared folder."""
+    while True:
+        above = parents.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        new = cut(parents.join(above, parents["root"] == above["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        parents = new.select("node", "root")
+        if not new.where("moved").limit(1).count():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs). Returns node, root (the smallest node of its component) of every node with an edge to another.
 
-    Contraction: each node that has a smaller neighbour gets the smallest as its parent and leaves the graph, its edges pass to the parent;
-    only local minima stay, so edges vanish within few rounds and none is made that wasn't there. Then parents are followed by doubling.
-    Every round is cut to the shared folder."""
-    canon = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+    Contraction: each node that has a smaller neighbour takes the smallest as its parent; parents are followed to the local minima, which
+    alone stay in the graph, and edges pass to them. So edges vanish within few rounds and none is made that wasn't there."""
+
+    def canon(df, x, y):
+        return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+
     now, forest = cut(canon(edges, "a", "b")), None
     while now.limit(1).count():
-        parent = cut(now.groupBy("u").agg(F.min("v").alias("p")))
-        forest = parent if forest is None else forest.union(parent)
-        rest = now.join(parent, "u").where("v <> p").select("p", "v")
-        above = parent.select(F.col("u").alias("v"), F.col("p").alias("q"))
-        now = cut(canon(rest.join(above, "v", "left").select("p", F.coalesce("q", "v").alias("w")), "p", "w"))
+        parents = followed(cut(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))))
+        forest = parents if forest is None else forest.union(parents)
+        moved = now.join(parents, now["u"] == parents["node"]).select("v", F.col("root").alias("x"))
+        now = cut(canon(moved.join(parents, moved["v"] == parents["node"], "left").select("x", F.coalesce("root", "v").alias("y")), "x", "y"))
     if forest is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("a <> b")
-    labels = cut(forest.select(F.col("u").alias("node"), F.col("p").alias("root")))
-    while True:
-        above = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = cut(labels.join(above, labels["root"] == above["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
-        labels = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
-            return labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
+    labels = followed(cut(forest))
+    return labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
 
 
 def runs(batches, keys: list[str]):
