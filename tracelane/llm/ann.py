@@ -115,7 +115,7 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
         by_dim.setdefault(len(v), []).append(v)
     models = {dim: fit(np.array(vs), k) for dim, vs in by_dim.items()}
     queries = cut(pack(rows.where(is_query), QUERY_BLOCK))
-    groups = max(1, min(64, queries.count()))
+    groups, parts = max(1, queries.count()), max(1, -(-vectors.count() // (2 * block)))
 
     def scan(batches):
         for batch in batches:
@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
                 found = [(own, *search_block(index, v, ids, own, x, code, model, k)) for own, x, code in zip(asked.tolist(), q, encode(q, model), strict=True)]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([f[0] for f in found], np.int64), [f[1].size for f in found]), "vec_id": np.concatenate([f[2] for f in found]), "score": np.concatenate([f[1] for f in found])})
 
-    pairs = pair(pack(rows, block), queries, groups)
+    pairs = pair(pack(rows, block), queries, groups, parts)
     return best(pairs.mapInArrow(scan, "query_id long, vec_id long, score double"), k)
 
 

@@ -46,11 +46,13 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(packed, BLOCK_SCHEMA)
 
 
-def pair(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    """Every candidate block beside every query block of its dimension, joined on the query block's group: (c_*, q_*)."""
-    spread = candidates.select(*[F.col(c).alias("c_" + c) for c in candidates.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    asked = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns], F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int").alias("g"))
-    return spread.join(asked, (spread["g"] == asked["g"]) & (F.col("c_dim") == F.col("q_dim"))).drop("g")
+def pair(candidates: DataFrame, queries: DataFrame, groups: int, parts: int) -> DataFrame:
+    """Every candidate block beside every query block of its dimension: (c_*, q_*). Query blocks are dealt to `groups` and candidate blocks
+    to `parts`; a (part, group) is a join key of its own, so neither side of a key grows with the data."""
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    spread = candidates.withColumn("h", dealt(parts)).select(*[F.col(c).alias("c_" + c) for c in candidates.columns], F.col("h").alias("ch"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cg"))
+    asked = queries.withColumn("g", dealt(groups)).select(*[F.col(c).alias("q_" + c) for c in queries.columns], F.col("g").alias("qg"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("qh"))
+    return spread.join(asked, (spread["ch"] == asked["qh"]) & (spread["cg"] == asked["qg"]) & (F.col("c_dim") == F.col("q_dim"))).drop("ch", "cg", "qh", "qg")
 
 
 def matrix(blob: bytes, dim: int) -> np.ndarray:

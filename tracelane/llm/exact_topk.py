@@ -49,7 +49,7 @@ def topk(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_co
     rows = usable(vectors, id_col, vector_col, nonzero=False)
     whole = rows.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
     queries = cut(pack(whole.where(is_query), QUERY_BLOCK))
-    groups = max(1, min(64, queries.count()))
+    groups, parts = max(1, queries.count()), max(1, -(-vectors.count() // (2 * block)))
 
     def scan(batches):
         for batch in batches:
@@ -62,7 +62,7 @@ def topk(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_co
                 found = [(own, *search_block(columns, ids, tails, q, own, k)) for own, q in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), queries_, strict=True)]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([f[0] for f in found], np.int64), [f[1].size for f in found]), "vec_id": np.concatenate([f[2] for f in found]), "score": np.concatenate([f[1] for f in found])})
 
-    pairs = pair(pack(whole, block), queries, groups)
+    pairs = pair(pack(whole, block), queries, groups, parts)
     return best(pairs.mapInArrow(scan, "query_id long, vec_id long, score long"), k)
 
 
