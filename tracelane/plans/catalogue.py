@@ -1,4 +1,303 @@
-"""Queries by name, and DuckDB SQL for those that SQL can express."""
+"""Queries by name, and DuckDB SQL for those that SQL can express. Most are rules that go through the compiler."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import detectors as D
+from ..operators import ranges as R
+from ..sources import traces as T
+from ..streaming.monitor import new_keys
+from .policy import Policy, filter_traces, pending_only
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+CALLS = "c AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS name, (props::JSON->>'k')::DOUBLE AS k, value, event_id FROM events)"
+
+
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_of(spark, sf_dir: str, table: str) -> DataFrame:
+    df = read(spark, sf_dir, table)
+    if table == "conversations":
+        return T.messages(df)
+    if table == "events":
+        return T.calls(df)
+    return T.outputs(df, "page_id" if table == "pages" else "doc_id", "html" if table == "pages" else "text")
+
+
+def add(name: str, function, sql: str | None = None) -> None:
+    QUERIES[name] = function
+    if sql:
+        ORACLES[name] = sql
+
+
+def rule(name: str, table: str, text: str, columns: dict, sql: str, **parameters) -> None:
+    """A rule over a table's events; columns: result name -> expression over the compiler's columns."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        found = Policy.from_string(text).models(events_of(spark, sf_dir, table), **parameters)
+        return found.select(*[F.expr(e).alias(n) for n, e in columns.items()])
+
+    add(name, run, sql)
+
+
+def messages_rule(name: str, body: str, where: str, **parameters) -> None:
+    """A rule over one message; where: the same condition in SQL over conversations."""
+    text = 'raise Violation("found", m=m) if:\n    (m: Message)\n' + "".join(f"    {line}\n" for line in body.strip().split("\n"))
+    rule(name, "conversations", text, {"conv_id": "trace_id", "turn": "bigint(m__pos)"}, f"SELECT conv_id, turn FROM conversations WHERE {where}", **parameters)
+
+
+def calls_rule(name: str, body: str, where: str, **parameters) -> None:
+    text = 'raise Violation("found", c=c) if:\n    (c: ToolCall)\n' + "".join(f"    {line}\n" for line in body.strip().split("\n"))
+    rule(name, "events", text, {"user_id": "trace_id", "pos": "bigint(c__pos)"}, f"WITH {CALLS} SELECT trace_id AS user_id, pos FROM c WHERE {where}", **parameters)
+
+
+# -- scans
+rule("scan_message", "conversations", 'raise Violation("m", m=m) if:\n    (m: Message)\n', {"conv_id": "trace_id", "turn": "bigint(m__pos)", "role": "m__role", "n": "bigint(length(m__content))"}, "SELECT conv_id, turn, role, length(text)::BIGINT AS n FROM conversations")
+rule("scan_tool_call", "events", 'raise Violation("c", c=c) if:\n    (c: ToolCall)\n', {"user_id": "trace_id", "pos": "bigint(c__pos)", "name": "c__tool_name"}, f"WITH {CALLS} SELECT trace_id AS user_id, pos, name FROM c")
+rule("scan_tool_output", "documents", 'raise Violation("o", o=o) if:\n    (o: ToolOutput)\n', {"doc_id": "trace_id", "n": "bigint(length(o__content))"}, "SELECT doc_id, length(text)::BIGINT AS n FROM documents")
+rule("select_str_values", "conversations", 'raise Violation("s", s=s) if:\n    (s: str)\n', {"conv_id": "trace_id", "s": "s__value"}, "SELECT conv_id, role AS s FROM conversations UNION ALL SELECT conv_id, text FROM conversations")
+
+# -- filters
+messages_rule("filter_contains", '"thou" in m.content', "contains(text, 'thou')")
+messages_rule("filter_contains_or", '"thou" in m.content or "hand" in m.content', "contains(text, 'thou') OR contains(text, 'hand')")
+messages_rule("filter_not", 'm.role == "user"\nnot "thou" in m.content', "role = 'user' AND NOT contains(text, 'thou')")
+calls_rule("filter_list_membership", 'c.function.name in ["error", "signup"]', "name IN ('error', 'signup')")
+calls_rule("vector_in_any", 'any([c.function.name, "zz"] in ["error", "view"])', "name IN ('error', 'view')")
+messages_rule("contains_only_superset", '["user", "system", "assistant"] contains_only [m.role]', "role IN ('user', 'system', 'assistant')")
+calls_rule("is_none_checks", "c.function.arguments.missing is None\nc.function.arguments.k is not None", "k IS NOT NULL")
+messages_rule("match_anchor", 'match("Th[a-z]+ ", m.content)', "regexp_matches(text, '^Th[a-z]+ ')")
+messages_rule("find_all", 'len(find("th[aeiou]", m.content)) > 3', "len(regexp_extract_all(text, 'th[aeiou]')) > 3")
+messages_rule("string_methods", 'm.content.lower().strip().split(".")[0] + "!" == m.content.split(".")[0].lower() + "!"\nlen(m.content.upper()) > 100', "length(text) > 100 AND regexp_replace(lower(text), '^\\s+', '') = lower(text)")
+messages_rule("const_and_param", 'm.role == input.role\ninput.word in m.content', "role = 'assistant' AND contains(text, 'and')", role="assistant", word="and")
+messages_rule("ternary", '(1 if m.role == "user" else 2) == 2', "role <> 'user'")
+messages_rule("comprehension_if", 'len([w for w in m.content.split(" ") if len(w) > 8]) > 4', "len(list_filter(string_split(text, ' '), lambda w: length(w) > 8)) > 4")
+messages_rule("comprehension", 'max([len(w) for w in m.content.split(" ")]) > 18', "list_max(list_transform(string_split(text, ' '), lambda w: length(w))) > 18")
+calls_rule("arithmetic", "c.function.arguments.k * 2 + 1 > 100\n-c.function.arguments.k / 4 < -15", "k * 2 + 1 > 100 AND -k / 4 < -15")
+calls_rule("python_modulo", "(0 - c.function.arguments.k) % 7 == 3", "(((-k) % 7) + 7) % 7 = 3")
+calls_rule("min_max_sum_len", "min(c.function.arguments.k, 40) + max([1, 2]) + sum([1, 2]) + len([1]) == 46", "least(k, 40) + 6 = 46")
+calls_rule("json_member", "c.function.arguments.k > 50", "k > 50")
+calls_rule("json_index", 'c.function.arguments["k"] == 42', "k = 42")
+calls_rule("dict_methods", '"k" in c.function.arguments.keys()\nc.function.arguments.get("none", "d") == "d"', "k IS NOT NULL")
+
+# -- patterns
+calls_rule("pattern_tool", "c is tool:purchase", "name = 'purchase'")
+calls_rule("pattern_dict", "c is tool:click({k: 7})", "name = 'click' AND k = 7")
+calls_rule("pattern_wildcard", "c is tool:view({k: *})", "name = 'view' AND k IS NOT NULL")
+calls_rule("pattern_type_strict", 'c is tool:view({k: "7"})', "false")
+
+# -- flows
+PAIR = {"user_id": "trace_id", "a_pos": "bigint(a__pos)", "b_pos": "bigint(b__pos)"}
+rule(
+    "flow_pair", "events", 'raise Violation("purchase after error", a=a, b=b) if:\n    (a: ToolCall) -> (b: ToolCall)\n    a is tool:error\n    b is tool:purchase\n    b.function.arguments.k > 50\n', PAIR,
+    f"WITH {CALLS} SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND a.pos < b.pos WHERE a.name = 'error' AND b.name = 'purchase' AND b.k > 50",
+)
+rule(
+    "flow_inverted", "events", 'raise Violation("signup before", a=a, b=b) if:\n    (a: ToolCall)\n    (b: ToolCall)\n    b -> a\n    a is tool:error\n    b is tool:signup\n', PAIR,
+    f"WITH {CALLS} SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND b.pos < a.pos WHERE a.name = 'error' AND b.name = 'signup'",
+)
+rule(
+    "flow_triple", "events", 'raise Violation("three", a=a, b=b, d=d) if:\n    (a: ToolCall) -> (b: ToolCall)\n    b -> (d: ToolCall)\n    a is tool:signup\n    b is tool:error\n    d is tool:purchase({k: 50})\n', PAIR | {"d_pos": "bigint(d__pos)"},
+    f"WITH {CALLS} SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos, d.pos AS d_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND a.pos < b.pos JOIN c d ON d.trace_id = b.trace_id AND b.pos < d.pos WHERE a.name = 'signup' AND b.name = 'error' AND d.name = 'purchase' AND d.k = 50",
+)
+rule(
+    "flow_message_to_message", "conversations", 'raise Violation("echo", a=a, b=b) if:\n    (a: Message) -> (b: Message)\n    a.role == "user"\n    b.role == "assistant"\n    "thou" in a.content\n    "thou" in b.content\n', {"conv_id": "trace_id", "a_turn": "bigint(a__pos)", "b_turn": "bigint(b__pos)"},
+    "SELECT a.conv_id, a.turn AS a_turn, b.turn AS b_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.role = 'user' AND b.role = 'assistant' AND contains(a.text, 'thou') AND contains(b.text, 'thou')",
+)
+rule(
+    "flow_with_gap_cond", "events", 'raise Violation("grows", a=a, b=b) if:\n    (a: ToolCall) -> (b: ToolCall)\n    a is tool:signup\n    b is tool:signup\n    b.function.arguments.k > a.function.arguments.k + 40\n', PAIR,
+    f"WITH {CALLS} SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND a.pos < b.pos WHERE a.name = 'signup' AND b.name = 'signup' AND b.k > a.k + 40",
+)
+rule(
+    "parent_pair", "events", 'raise Violation("next", a=a, b=b) if:\n    (a: ToolCall) ~> (b: ToolCall)\n    a is tool:error\n    b is tool:purchase\n', PAIR,
+    f"WITH {CALLS} SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND b.pos = a.pos + 1 WHERE a.name = 'error' AND b.name = 'purchase'",
+)
+rule(
+    "parent_role_change", "conversations", 'raise Violation("change", a=a, b=b) if:\n    (a: Message) ~> (b: Message)\n    a.role != b.role\n', {"conv_id": "trace_id", "a_turn": "bigint(a__pos)", "b_turn": "bigint(b__pos)"},
+    "SELECT a.conv_id, a.turn AS a_turn, b.turn AS b_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role <> b.role",
+)
+rule(
+    "separate_path_multi", "conversations", 'raise Violation("fork", a=a, b=b, d=d) if:\n    (a: Message) -> (b: Message)\n    a -> (d: Message)\n    a.role == "system"\n    b.role == "user"\n    d.role == "assistant"\n', {"conv_id": "trace_id", "a_turn": "bigint(a__pos)", "b_turn": "bigint(b__pos)", "d_turn": "bigint(d__pos)"},
+    "SELECT a.conv_id, a.turn AS a_turn, b.turn AS b_turn, d.turn AS d_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn JOIN conversations d ON a.conv_id = d.conv_id AND a.turn < d.turn WHERE a.role = 'system' AND b.role = 'user' AND d.role = 'assistant'",
+)
+
+# -- derived variables
+rule(
+    "words_unnest", "conversations", 'raise Violation("w", m=m, w=w) if:\n    (m: Message)\n    (w: str) in m.content.split(" ")\n    len(w) > 16\n', {"conv_id": "trace_id", "turn": "bigint(m__pos)", "w": "w__value"},
+    "SELECT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE length(w) > 16",
+)
+rule(
+    "words_two_level", "conversations", 'raise Violation("w", m=m, l=l, w=w) if:\n    (m: Message)\n    (l: str) in m.content.splitlines()\n    (w: str) in l.split(" ")\n    w == "thou"\n', {"conv_id": "trace_id", "turn": "bigint(m__pos)", "l": "l__value", "w": "w__value"},
+    "SELECT conv_id, turn, l, w FROM (SELECT conv_id, turn, l, unnest(string_split(l, ' ')) AS w FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations)) WHERE w = 'thou'",
+)
+rule(
+    "derived_equality_join", "conversations", 'raise Violation("same", m=m, n=n, w=w, v=v) if:\n    (m: Message) ~> (n: Message)\n    (w: str) in m.content.split(" ")\n    (v: str) in n.content.split(" ")\n    len(w) > 7\n    w == v\n', {"conv_id": "trace_id", "m_turn": "bigint(m__pos)", "n_turn": "bigint(n__pos)", "w": "w__value"},
+    "WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) SELECT a.conv_id, a.turn AS m_turn, b.turn AS n_turn, a.w FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w WHERE length(a.w) > 7",
+)
+
+# -- predicates and quantifiers
+rule(
+    "predicate_semi", "events", 'later(a: ToolCall) :=\n    (b: ToolCall)\n    a -> b\n    b is tool:purchase\n\nraise Violation("p", a=a) if:\n    (a: ToolCall)\n    a is tool:error\n    later(a)\n', {"user_id": "trace_id", "a_pos": "bigint(a__pos)"},
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'error' AND EXISTS (SELECT 1 FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase')",
+)
+rule(
+    "predicate_anti", "events", 'later(a: ToolCall) :=\n    (b: ToolCall)\n    a -> b\n    b is tool:purchase\n\nraise Violation("p", a=a) if:\n    (a: ToolCall)\n    a is tool:error\n    not later(a)\n', {"user_id": "trace_id", "a_pos": "bigint(a__pos)"},
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'error' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase')",
+)
+messages_rule_text = 'is_user(m: Message) := m.role == "user"\nasks(m: Message) :=\n    is_user(m)\n    "thou" in m.content\n\nraise Violation("p", m=m) if:\n    (m: Message)\n    asks(m)\n'
+rule("predicate_nested", "conversations", messages_rule_text, {"conv_id": "trace_id", "turn": "bigint(m__pos)"}, "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(text, 'thou')")
+USERS = "u AS (SELECT DISTINCT trace_id FROM c)"
+
+
+def counted(name: str, body: str, sql: str) -> None:
+    rule(name, "events", f'raise "found" if:\n{body}', {"user_id": "trace_id"}, f"WITH {CALLS}, {USERS} {sql}")
+
+
+counted("count_between", "    count(min=3, max=5):\n        (c: ToolCall)\n        c is tool:error\n", "SELECT trace_id AS user_id FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE name = 'error') BETWEEN 3 AND 5")
+counted("not_count", "    not count(min=13):\n        (c: ToolCall)\n        c is tool:error\n", "SELECT trace_id AS user_id FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE name = 'error') < 13")
+counted("forall_calls", "    forall:\n        (c: ToolCall)\n        c.function.arguments.k < 97\n", "SELECT trace_id AS user_id FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE NOT k < 97) = 0")
+counted("not_forall", "    not forall:\n        (c: ToolCall)\n        c.function.arguments.k < 97\n", "SELECT trace_id AS user_id FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE NOT k < 97) > 0")
+rule(
+    "forall_vacuous", "events", 'raise "found" if:\n    forall:\n        (m: Message)\n        m.role == "user"\n', {"user_id": "trace_id"}, "SELECT DISTINCT user_id FROM events",
+)
+rule(
+    "count_min_closure", "events", 'raise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:signup\n    count(min=3):\n        (b: ToolCall)\n        a -> b\n        b is tool:purchase\n', {"user_id": "trace_id", "a_pos": "bigint(a__pos)"},
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'signup' AND (SELECT count(*) FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase') >= 3",
+)
+ROLES = "{1: ['admin'], 2: ['reader']}"
+calls_rule("rbac", 'should_allow_rbac(c, c.function.name, "ann", {"ann": ["reader", "buyer"]}, {"reader": {"view": True}, "buyer": {"purchase": True}}) or c is tool:click', "name = 'click'")
+
+
+# -- traces, keys, pending
+def _trace_filter(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    return filter_traces(df.select(F.col("conv_id").alias("trace_id")).distinct(), T.messages(df), '(m: Message)\nm.role == "user"\n"thou" in m.content').select(F.col("trace_id").alias("conv_id"))
+
+
+add("trace_filter", _trace_filter, "SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND contains(text, 'thou')")
+
+
+def _max_items(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    return filter_traces(df.select(F.col("conv_id").alias("trace_id")).distinct(), T.messages(df), '(m: Message)\n"thou" in m.content', max_items=10).select(F.col("trace_id").alias("conv_id"))
+
+
+add("max_items", _max_items, "SELECT DISTINCT conv_id FROM conversations WHERE contains(text, 'thou') ORDER BY 1 LIMIT 10")
+
+
+def _bad_ratio(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    found = Policy.from_string('raise Violation("t", m=m) if:\n    (m: Message)\n    "thou" in m.content\n').models(T.messages(df)).select(F.col("trace_id").alias("conv_id"), F.lit(1).alias("bad")).distinct()
+    return df.select("conv_id").distinct().join(found, "conv_id", "left").agg(F.count("bad").alias("bad"), F.count("*").alias("total"), (F.count("bad") / F.count("*")).alias("ratio"))
+
+
+add("bad_trace_ratio", _bad_ratio, "SELECT count(*) FILTER (WHERE b) AS bad, count(*) AS total, count(*) FILTER (WHERE b) / count(*) AS ratio FROM (SELECT conv_id, bool_or(contains(text, 'thou')) AS b FROM conversations GROUP BY 1)")
+_ERRORS = 'raise Violation("e", c=c) if:\n    (c: ToolCall)\n    c is tool:error\n'
+add(
+    "pending_only", lambda spark, d: pending_only(Policy.from_string(_ERRORS).check(events_of(spark, d, "events")), F.lit(5)).select(F.col("trace_id").alias("user_id"), F.col("max_idx").cast("bigint").alias("pos"), "key"),
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos, '[0,' || pos || ']' AS key FROM c WHERE name = 'error' AND pos >= 5",
+)
+
+
+def _incremental(spark, sf_dir):
+    events = events_of(spark, sf_dir, "events")
+    p = Policy.from_string(_ERRORS)
+    seen = p.check(events.where("trace_idx < 4"))
+    return new_keys(p.check(events), seen).select(F.col("trace_id").alias("user_id"), "key")
+
+
+add("incremental_new_keys", _incremental, f"WITH {CALLS} SELECT trace_id AS user_id, '[0,' || pos || ']' AS key FROM c WHERE name = 'error' AND pos >= 4")
+add(
+    "policy_multi_rule", lambda spark, d: Policy.from_string('raise Violation("a", m=m) if:\n    (m: Message)\n    "thou" in m.content\n\nraise Violation("b", m=m) if:\n    (m: Message)\n    m.role == "system"\n').check(events_of(spark, d, "conversations")).select(F.col("trace_id").alias("conv_id"), F.col("rule").cast("bigint").alias("rule"), "error", "key"),
+    "SELECT conv_id, 0::BIGINT AS rule, 'a' AS error, '[0,' || turn || ']' AS key FROM conversations WHERE contains(text, 'thou') UNION ALL SELECT conv_id, 1, 'b', '[1,' || turn || ']' FROM conversations WHERE role = 'system'",
+)
+
+
+def _asof(spark, sf_dir):
+    calls = T.calls(read(spark, sf_dir, "events")).select("trace_id", "pos", "tool_name")
+    before = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("tool_name") == "view", F.col("pos")), ignorenulls=True).over(before)
+    return calls.withColumn("link", last).where("tool_name = 'purchase'").select(F.col("trace_id").alias("user_id"), F.col("pos").cast("bigint").alias("pos"), F.col("link").cast("bigint").alias("link"))
+
+
+add("output_call_asof", _asof, f"WITH {CALLS} SELECT trace_id AS user_id, pos, (SELECT max(b.pos) FROM c b WHERE b.trace_id = a.trace_id AND b.pos < a.pos AND b.name = 'view') AS link FROM c a WHERE name = 'purchase'")
+
+
+# -- ranges
+def _offsets(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    return df.select("conv_id", "turn", F.explode(R.offsets(F.col("text"), F.lit("thou"))).alias("o")).select("conv_id", "turn", F.col("o.start").cast("bigint").alias("s"), F.col("o.end").cast("bigint").alias("e"))
+
+
+OFFSETS = "SELECT conv_id, turn, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 4) = 'thou'))::BIGINT AS s FROM conversations"
+add("literal_offsets", _offsets, f"SELECT conv_id, turn, s, s + 4 AS e FROM ({OFFSETS})")
+add("mask_ranges", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", R.mask(F.col("text"), R.offsets(F.col("text"), F.lit("thou"))).alias("masked")), "SELECT conv_id, turn, replace(text, 'thou', '****') AS masked FROM conversations")
+
+# -- detectors
+LATIN = ["Lu", "Ll", "Nd", "Po", "Sc", "Pd"]
+add(
+    "unicode_categories", lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(D.unicode_categories(F.col("text"), LATIN), ",").alias("found")),
+    "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '\\p{{{c}}}') THEN '{c}' END" for c in LATIN) + "], lambda x: x IS NOT NULL), ',') AS found FROM documents",
+)
+add("secrets_classes", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.secrets(F.col("text"))).alias("found")), " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches(text, '{p}')" for n, p in D.SECRETS.items()))
+add(
+    "copyright_license", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.array_contains(D.copyright_kinds(F.col("line")), "GNU_GPL")),
+    "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE starts_with(ltrim(line), 'GNU General Public License') OR len(list_intersect(string_split(trim(line), ' '), ['GNU', 'General', 'Public', 'License'])) >= 2",
+)
+add("pii_regex", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.pii(F.col("text"), ["EMAIL_ADDRESS", "PHONE_NUMBER"])).alias("found")), " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches(text, '{D.PII[n]}')" for n in ("EMAIL_ADDRESS", "PHONE_NUMBER")))
+add("html_links", lambda spark, d: read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+add("html_alt", lambda spark, d: read(spark, d, "pages").select("page_id", D.html_code(F.col("html")).alias("h")).select("page_id", F.size("h.alt").cast("bigint").alias("alts"), F.size("h.links").cast("bigint").alias("links")))
+add("python_code_imports", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", D.python_code(F.col("text")).alias("p")).select("conv_id", "turn", "p.syntax_error", F.array_join("p.imports", ",").alias("imports")))
+add("fuzzy_contains", lambda spark, d: read(spark, d, "conversations").where(D.fuzzy_contains(F.col("text"), "thou hand that")).select("conv_id", "turn"))
+add(
+    "moderation_windows", lambda spark, d: read(spark, d, "documents").select("doc_id", F.size(D.windows(F.col("text"))).cast("bigint").alias("n")),
+    "SELECT doc_id, coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda s: (length(s) + 1999) // 2000)), 0)::BIGINT AS n FROM documents",
+)
+add("label_moderation", lambda spark, d: read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+
+
+def _similar(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    targets = e.where("vec_id < 5").select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("t"))
+    return e.join(F.broadcast(targets), F.col("vec_id") != F.col("target_id")).select("target_id", "vec_id", F.round(D.dot(F.col("embedding"), F.col("t")), 6).alias("score")).where("score > 0.3")
+
+
+add("is_similar_thresholds", _similar, "SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings t ON t.vec_id < 5 AND e.vec_id <> t.vec_id WHERE round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) > 0.3")
+
+
+def _tool_params(spark, sf_dir):
+    """Tool declarations are made from the events' types: a call whose argument is declared by the tool of its name."""
+    names = read(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    tools = T.shaped(names, trace_id=F.col("user_id").cast("long"), pos=F.lit(-1), trace_idx=F.lit(-1), path=F.concat(F.lit("tools."), F.col("event_type")), kind=F.lit("Tool"), tool_name=F.col("event_type"), params=F.expr(f"array(cast(named_struct('name', 'k', 'type', 'int', 'description', null, 'required', true, 'raw', '{{}}') as {T.PARAMETER}))"))
+    events = events_of(spark, sf_dir, "events").unionByName(tools)
+    text = 'raise Violation("declared", t=t, p=p) if:\n    (t: Tool)\n    (p: ToolParameter) in t.inputSchema\n    p.name == "k"\n    p.required\n    t.name == "error"\n'
+    return Policy.from_string(text).models(events).select(F.col("trace_id").alias("user_id"), F.col("t__tool_name").alias("tool"), F.col("p__value.name").alias("parameter"))
+
+
+add("tool_params_cross_reference", _tool_params, "SELECT DISTINCT user_id, event_type AS tool, 'k' AS parameter FROM events WHERE event_type = 'error'")
+
+
+def _stream(spark, sf_dir):
+    """The monitor over a stream: errors of all events, fed in two batches by time, each reported once."""
+    import uuid
+
+    from ..streaming.monitor import watch
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    calls = T.calls(read(spark, sf_dir, "events"))
+    half = calls.withColumn("part", F.when(F.col("pos") < 4, 0).otherwise(1))
+    for k in (0, 1):
+        half.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema(T.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    q = watch(Policy.from_string(_ERRORS), stream, folder).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/violations").select(F.col("trace_id").alias("user_id"), "key")
+
+
+add("stream_monitor", _stream, f"WITH {CALLS} SELECT trace_id AS user_id, '[0,' || pos || ']' AS key FROM c WHERE name = 'error'")
