@@ -78,6 +78,11 @@ class ShardStore:
         named = [(p, b, rows.get(p.rsplit("/", 1)[1], 0)) for p, b in sorted(sizes.items())]
         return [{"path": p, "bytes": b, "rows": n, "tier": self.tier(b)} for p, b, n in named if n]
 
+    def _side_by_side(self, parts: list[DataFrame]) -> DataFrame:
+        """The union of one-task parts, a task each: a union of parts of equal partitioning would otherwise put them into one."""
+        self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+        return reduce(DataFrame.union, parts)
+
     def append(self, df: DataFrame, rows_per_file: int = ARRIVAL_ROWS) -> dict:
         base = self.manifest()
         shards = self._write(df, rows_per_file)
@@ -111,7 +116,7 @@ class ShardStore:
             schema = StructType.fromJson(json.loads(now["schema"]))
             wave = groups[:WAVE]
             read = [self.spark.read.schema(schema).parquet(*[s["path"] for s in g]).coalesce(1) for g in wave]
-            merged = self._write(reduce(DataFrame.union, read))
+            merged = self._write(self._side_by_side(read))
             old = [s for g in wave for s in g]
             if sum(s["rows"] for s in merged) != sum(s["rows"] for s in old):
                 raise RuntimeError("a merge changed the number of rows")
