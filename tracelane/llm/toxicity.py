@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fi
     """docs: doc_id, text; labels: doc_id, toxic. Counts come from all rows that have both; only the logistic fit takes a sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
-    rows = texts.join(known, F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") * FOLDS + F.col("fold")).alias("cell"))
+    # labels grow with the documents: the join is by key at every size, never one that ships a side whole
+    rows = texts.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") * FOLDS + F.col("fold")).alias("cell"))
     counted = rows.mapInArrow(count_grams, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
     every = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
     kept = counted.where(every >= LEAST).orderBy(F.desc(every), "gram").limit(model_grams).toArrow()
