@@ -47,7 +47,7 @@ def source_targets(totals: DataFrame) -> DataFrame:
     after = Window.orderBy("full_at", F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(0, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything).cast("double") * SHARE - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     levelled = sized.withColumn("level", level).withColumn("open", F.col("level") <= F.col("full_at"))
-    chosen = F.min(F.when(F.col("open"), F.struct("full_at", "level"))).over(everything)["level"]
+    chosen = F.max(F.when(F.col("open"), F.col("level"))).over(everything)  # levels fall from the first open source on, so this is its level
     return levelled.withColumn("chosen", chosen).select(
         "source", "source_size", F.when(F.col("chosen").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("chosen") * F.col("weight"))).alias("target")
     )
@@ -122,7 +122,7 @@ w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY sou
 f AS (SELECT *, cap / weight AS full_at FROM w),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY full_at, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY full_at, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-c AS (SELECT arg_min(level, full_at) FILTER (WHERE level <= full_at) AS chosen FROM l),
+c AS (SELECT max(level) FILTER (WHERE level <= full_at) AS chosen FROM l),
 g AS (SELECT source, source_size, CASE WHEN chosen IS NULL THEN cap ELSE least(cap, chosen * weight) END AS target FROM l, c),
 p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / weight, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
