@@ -170,8 +170,7 @@ rule(
     "count_min_closure", "events", 'raise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:signup\n    count(min=3):\n        (b: ToolCall)\n        a -> b\n        b is tool:purchase\n', {"user_id": "trace_id", "a_pos": "bigint(a__pos)"},
     f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'signup' AND (SELECT count(*) FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase') >= 3",
 )
-ROLES = "{1: ['admin'], 2: ['reader']}"
-calls_rule("rbac", 'should_allow_rbac(c, c.function.name, "ann", {"ann": ["reader", "buyer"]}, {"reader": {"view": True}, "buyer": {"purchase": True}}) or c is tool:click', "name = 'click'")
+calls_rule("rbac", 'should_allow_rbac(c, c.function.name, "ann", {"ann": ["reader", "buyer"]}, {"reader": {"view": True}, "buyer": {"purchase": True}}) or c is tool:click', "name IN ('click', 'view', 'purchase')")
 
 
 # -- traces, keys, pending

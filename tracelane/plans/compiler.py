@@ -884,9 +884,12 @@ def _f_tool_call(c, x):
 
 
 def _f_rbac(c, data, scope, user, roles, grants):
-    names = V.as_list(roles.fields[user.const])[0] if user.const in roles.fields else F.array().cast("array<string>")
-    granted = [role for role, scopes in grants.const.items() if scopes.get(scope.const)]
-    return Val("bool", F.exists(names, lambda r: r.isin(*granted)) if granted else F.lit(False))
+    """Whether a role of the user grants the scope; roles and grants are constants, user and scope may be any text."""
+    none = F.array().cast("array<string>")
+    table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]) if v else none)]) if d else F.create_map().cast("map<string,array<string>>")
+    granted = table({role: [s for s, yes in (scopes or {}).items() if yes] for role, scopes in grants.const.items()})
+    names = F.coalesce(F.try_element_at(table(roles.const), V.as_str(user)), none)
+    return Val("bool", F.exists(names, lambda r: F.coalesce(F.array_contains(F.try_element_at(granted, r), V.as_str(scope)), F.lit(False))))
 
 
 def _strings(col):
