@@ -69,3 +69,13 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     fixture(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Extra columns under the names that the stages use inside stay as they are."""
+    fixture(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 as size", "2 as taken", "'x' as _toxicity", "3 as node", "4 as toxic", "5 as score", "6 as spans", "7 as _keep", "8 as _id", "9 as weight")
+    for _, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.select("size", "taken", "_toxicity", "node", "toxic", "score", "spans", "_keep", "_id", "weight").distinct().collect()] == [(1, 2, "x", 3, 4, 5, 6, 7, 8, 9)]

@@ -92,23 +92,24 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes out what the mix takes: a row per complete copy, and a row with the first words (blank-separated) of a document taken in part."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    quality = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
-    weight = F.coalesce(*[F.when(F.col("_q") == q, F.lit(w)) for q, w in QUALITY_WEIGHTS.items()], F.lit(OTHER_WEIGHT))
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row_key"))
-    sizes = cut(sizes.join(quality, sizes["doc_id"] == quality["_id"], "left").select("doc_id", "source", "size", weight.alias("weight"), "row_key"))
-    taken = mix(sizes).where(F.col("taken") > 0).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_hash"), "size", "taken")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(F.desc("taken"))))
-    numbered = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_row")))
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (numbered["_hash"] == taken["_hash"]) & (numbered["_n"] == taken["_n"]))
-    copies = F.floor(F.col("taken") / F.col("size"))
-    part = F.col("taken") - copies * F.col("size")
-    piece = F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), copies.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_part")
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = joined.select(*[docs[c] for c in docs.columns if c != "_row"], piece)
-    text = F.when(F.col("_part") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1)).cast("int")), " "))
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_part") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_part")
+    """Writes out what the mix takes: a row per complete copy, and a row with the first words (blank-separated) of a document taken in part.
+    All columns of docs stay, whatever their names; n_chars, where there is one, follows a shortened text."""
+    sizes = cut(document_sizes(docs, table(spark, sf_dir, "labels")))
+    nth = F.row_number().over(Window.partitionBy("_mx_id", "_mx_hash").orderBy(F.desc("_mx_taken")))
+    taken = mix(sizes).where(F.col("taken") > 0).select(F.col("doc_id").alias("_mx_id"), F.col("row_key").alias("_mx_hash"), F.col("size").alias("_mx_size"), F.col("taken").alias("_mx_taken")).withColumn("_mx_n", nth)
+    whole = docs.select(F.struct(*docs.columns).alias("_mx_doc"), F.col("doc_id").alias("_mx_doc_id"), F.xxhash64("text").alias("_mx_text_hash"), F.monotonically_increasing_id().alias("_mx_row"))
+    whole = whole.withColumn("_mx_nth", F.row_number().over(Window.partitionBy("_mx_doc_id", "_mx_text_hash").orderBy("_mx_row")))
+    same = F.col("_mx_doc_id").eqNullSafe(F.col("_mx_id")) & (F.col("_mx_text_hash") == F.col("_mx_hash")) & (F.col("_mx_nth") == F.col("_mx_n"))
+    copies = F.floor(F.col("_mx_taken") / F.col("_mx_size"))
+    part = F.col("_mx_taken") - copies * F.col("_mx_size")
+    pieces = F.concat(F.array_repeat(F.lit(0).cast("long"), copies.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = whole.join(taken, same).select("_mx_doc", F.explode(pieces).alias("_mx_part"))
+    words = F.filter(F.split(F.col("_mx_doc.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("_mx_part") == 0, F.col("_mx_doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_mx_part"), F.lit(1)).cast("int")), " "))
+    columns = {c: F.col("_mx_doc")[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("_mx_part") == 0, F.col("_mx_doc.n_chars")).otherwise(F.length(text).cast("long"))
+    return rows.select(*[v.alias(c) for c, v in columns.items()])
 
 
 ORACLE = rf"""

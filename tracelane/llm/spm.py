@@ -335,7 +335,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    """One encoder per Python worker and model: what it has learnt serves the worker's later tasks."""
+    """One encoder per Python worker and model: what it has learnt about pairs of pieces serves the worker's later tasks."""
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.id] = Encoder(shared.value)
@@ -386,6 +386,7 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
 
                     lists = pc.if_else(null, pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), lists, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+        encoder.forget()  # an idle worker keeps no words
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, ids array<int>, round_trip boolean")
 

@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fi
 
     sample = texts.join(bounded(known, "_id", fit_rows), F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic")
     points = sample.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
+    without.destroy()
     model.fit(np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float))
     return model
 
@@ -200,11 +201,12 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     """docs with a column of scores appended; all columns stay."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most model_grams entries
 
     def scored(batches):
         for batch in batches:
-            scores = shared.value.score(batch.column("text").to_pylist())
+            scores = shared.value.score(batch.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
@@ -223,4 +225,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below THRESHOLD; the labels of all documents of `docs` are learnt from."""
     tune(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = "_toxicity" + "_" * sum(c.lower().startswith("_toxicity") for c in docs.columns)
+    return score(docs, model, name).where(F.col(name) < THRESHOLD).drop(name)
