@@ -8,13 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelane import reachable
+
 BATCH_ROWS = 1000
 PACK_CHARS = 1 << 20
 SHORT = 0xFFFF
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded rows and bytes: memory of a Python worker doesn't grow with the partition."""
+    """Arrow batches of bounded rows and bytes: memory of a Python worker doesn't grow with the partition. Workers can import the package."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
