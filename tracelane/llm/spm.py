@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import HashTable, table, tune
 
 BLANK, SEPARATOR = "▁", 0
-INDEX_CHARS, KNOWN_WORDS, GROUP_CHARS, MEMO_BITS = 1 << 19, 500_000, 1 << 20, 21
+INDEX_CHARS, KNOWN_WORDS, GROUP_CHARS, MEMO_BITS = 1 << 18, 300_000, 1 << 19, 20
 _WORD = re.compile(r"▁*[^▁]+|▁+")
 
 
@@ -111,13 +111,13 @@ class Encoder:
         self.piece_codes = np.zeros((len(model.pieces), 4 * self.width), np.uint16)
         for row, (p, _) in enumerate(model.pieces):
             self.piece_codes[row, : len(p)] = self.alphabet[[ord(c) for c in p]]
-        self.piece_len = np.array([len(p) for p, _ in model.pieces])
-        self.piece_id = np.array([i for _, i in model.pieces])
+        self.piece_len = np.array([len(p) for p, _ in model.pieces], np.int32)
+        self.piece_id = np.array([i for _, i in model.pieces], np.int32)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.at, self.filled = np.empty(1 << 20, np.int32), [0], 0
+        self.flat, self.at, self.filled = np.empty(1 << 18, np.int32), [0], 0
 
     # -- the suffix array and the pieces' ranges in it
 
@@ -142,7 +142,7 @@ class Encoder:
             rank = dense << np.uint64(32)
             rank[:-covered] |= dense[covered:]
             covered *= 2
-        array = array[array < codes.size]
+        array = array[array < codes.size].astype(np.int32)
         keys = np.stack([quads[np.minimum(array + 4 * j, quads.size - 1)] for j in range(self.width)], axis=1)
         low = self._search(keys, self._pack(self.piece_codes))
         beyond = self.piece_codes.copy()
@@ -150,9 +150,8 @@ class Encoder:
             beyond[row, n:] = 0xFFFF
         high = self._search(keys, self._pack(beyond))
         counts = high - low
-        rows = np.repeat(np.arange(counts.size), counts)
-        inner = np.arange(rows.size) - np.repeat(np.cumsum(counts) - counts, counts)
-        return array[np.repeat(low, counts) + inner], rows
+        rows = np.repeat(np.arange(counts.size, dtype=np.int32), counts)
+        return array[np.arange(rows.size, dtype=np.int32) + np.repeat((low - np.cumsum(counts) + counts).astype(np.int32), counts)], rows
 
     def _search(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """The number of keys below each wanted one, compared column by column, all wanted ones at once."""
@@ -246,15 +245,15 @@ class Encoder:
         codes[begins + lengths] = SEPARATOR
         starts, rows = self.edges(codes)
         ends = starts + self.piece_len[rows]
-        offset = np.arange(codes.size) - np.repeat(begins, lengths + 1)
-        order = np.argsort(np.minimum(offset[ends - 1], 0xFFFF).astype(np.uint16), kind="stable")
+        offset = (np.arange(codes.size) - np.repeat(begins, lengths + 1)).astype(np.int32)
+        order = np.argsort(np.minimum(offset[ends - 1], 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
         if offset.size and offset.max() >= 0xFFFF:
             order = np.argsort(offset[ends - 1], kind="stable")
         starts, ends, pieces = starts[order], ends[order], self.piece_id[rows[order]]
         steps = offset[ends - 1]
         # last[p]: the last piece of the encoding of its word up to p; -1: none ends there; -2: a word's begin or an unknown character before p
-        last = np.full(codes.size + 1, -1, np.int64)
-        came = np.full(codes.size + 1, -1, np.int64)
+        last = np.full(codes.size + 1, -1, np.int32)
+        came = np.full(codes.size + 1, -1, np.int32)
         last[begins] = -2
         unknown = np.flatnonzero((codes == SEPARATOR))
         strange = np.setdiff1d(unknown, begins + lengths, assume_unique=True)
