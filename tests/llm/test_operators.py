@@ -106,6 +106,29 @@ def test_toxicity_accuracy(spark):
     assert all((got[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in range(350, 500))
 
 
+def test_toxicity_by_table_equals_broadcast(spark):
+    r = random.Random(7)
+    words = "calm river stone bright window paper garden ticket été 漢字 don't".split()
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 25)) + (["zorgle", "zorgles"] if i % 4 == 0 else []))) for i in range(160)]
+    docs = spark.createDataFrame([*rows, (None, "zorgle"), (900, None), (901, "!!"), (902, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 160, 2)] + [(902, 1)], "doc_id long, toxic int")
+    small, large = toxicity.train(docs, labels), toxicity.train(docs, labels, model_grams=10)
+    assert isinstance(small, toxicity.ToxicityModel) and isinstance(large, toxicity.TableModel)
+    assert np.allclose(small.weights, large.weights, atol=1e-3)
+    ratios = {x.gram: x.ratio0 for x in large.table.collect()}
+    assert sorted(ratios) == small.keys.tolist() and np.allclose([ratios[k] for k in small.keys.tolist()], small.ratio, atol=1e-4)
+    a, b = ({(x.doc_id, x.text): x.score for x in toxicity.score(docs, m).collect()} for m in (small, large))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 for k in a)
+
+
+def test_toxicity_by_table_hard(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (5, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(hard_documents(spark), labels, model_grams=0)
+    scored = toxicity.score(hard_documents(spark).selectExpr("*", "1 as _k", "2 as key", "3 as n"), model).collect()
+    assert len(scored) == hard_documents(spark).count() and all(0 <= x.score <= 1 for x in scored)
+    assert toxicity.score(empty(spark), model).count() == 0
+
+
 def test_toxicity_hard(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (5, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(hard_documents(spark), labels)

@@ -7,21 +7,26 @@ word. A text is judged by its length-normalised log-likelihood ratio, as a whole
 logistic fit on a bounded sample of training rows turns these into a score. The fit is cross-fitted: the ratios of a sample row come from
 models without the texts of its fold, so that it meets texts as a new text is met; copies share a fold.
 
-Counting runs where the rows lie (one pass per partition, then a sum by n-gram); the driver holds at most `model_grams` n-grams.
+Counting runs where the rows lie (one pass per partition, then a sum by n-gram) and keeps every n-gram. Up to `model_grams` distinct ones
+the model is made on the driver and broadcast. Beyond, it stays a table (`model_table`): the ratios of distinct words are looked up by
+joins, and texts join their words (`looked_up`). Both ways give the same scores.
 Null and empty texts have ratios of 0. Labels that repeat an id count by their maximum; rows without a known class score the base rate.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import HashTable, bounded, id_hash_mod, packs, table, tune
+from .common import HashTable, bounded, cut, folded, id_hash_mod, packs, table, tune
 
 ORDER, DISCOUNT, CLIP, THRESHOLD, FOLDS = 5, 0.75, 8.0, 0.7, 5
-MODEL_GRAMS, FIT_ROWS, LEAST = 1 << 20, 8000, 2
+MODEL_GRAMS, FIT_ROWS, SALTS = 1 << 20, 8000, 32
 _CODE = np.uint64(0xFFF)
 
 
@@ -113,7 +118,7 @@ class ToxicityModel:
         self.keys, self.ratio = keys, np.clip(ratio, -CLIP, CLIP).astype(np.float32)
         self.contexts, where = np.unique(context, return_index=True)
         self.rest = np.clip(rest[where], -CLIP, CLIP).astype(np.float32)
-        self.weights = np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
+        self.weights = np.zeros(5)
         self._tables = None
 
     def __getstate__(self):
@@ -148,57 +153,162 @@ class ToxicityModel:
             out[first:last, 3] = np.log1p(100 * np.bincount(owner, weights=words > 2, minlength=last - first) / np.maximum(n, 1))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a small ridge."""
-        if y.size == 0 or y.min() == y.max():
-            self.weights = np.array([np.log((y.sum() + 0.5) / (y.size - y.sum() + 0.5)), 0.0, 0.0, 0.0, 0.0])
-            return
-        z, w = np.column_stack((np.ones(y.size), x)), np.zeros(5)
-        ridge = np.diag([1e-6, 0.1, 0.1, 0.1, 0.1])
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-            w += step / max(1.0, np.abs(step).max() / 5)
-            if np.abs(step).max() < 1e-6:
-                break
-        self.weights = w
-
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.features(texts) @ self.weights[1:], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps with a small ridge: the intercept and four weights."""
+    if y.size == 0 or y.min() == y.max():
+        return np.array([np.log((y.sum() + 0.5) / (y.size - y.sum() + 0.5)), 0.0, 0.0, 0.0, 0.0])
+    z, w = np.column_stack((np.ones(y.size), x)), np.zeros(5)
+    ridge = np.diag([1e-6, 0.1, 0.1, 0.1, 0.1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        w += step / max(1.0, np.abs(step).max() / 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def clipped(c: Column, most: float) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), c))
+
+
+def model_table(counted: DataFrame) -> DataFrame:
+    """The models as a table, for any number of grams: gram, ratio0.., rest0..; 0 is the model of all texts, f + 1 the one without fold f.
+    A ratio is null where the model lacks the gram. Groups are the grams of one context or one suffix, 4,096 at most."""
+    models = range(FOLDS + 1)
+    of = {(c, m): sum((F.col(f"{c}{f}") for f in range(FOLDS) if f != m - 1), F.lit(0)) for c in ("ordinary", "toxic") for m in models}
+    full = counted.select("gram", *[n.alias(f"{c}_{m}") for (c, m), n in of.items()])
+
+    def some(c: Column) -> Column:
+        return (c > 0).cast("long")
+
+    def suffix(order: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << (12 * order)) - 1))
+
+    lefts = {ORDER - 1: full.groupBy(suffix(ORDER - 1).alias("gram")).agg(*[F.sum(some(F.col(f"ordinary_{m}") + F.col(f"toxic_{m}"))).alias(f"l{m}") for m in models])}
+    for k in range(ORDER - 2, 0, -1):
+        lefts[k] = lefts[k + 1].groupBy(suffix(k).alias("gram")).agg(*[F.sum(some(F.col(f"l{m}"))).alias(f"l{m}") for m in models])
+    every = Window.partitionBy()  # over single characters: 4,096 rows at most
+    lower = lefts[1].select(F.col("gram").alias("_s"), *[(F.col(f"l{m}") / F.greatest(F.lit(1), F.sum(f"l{m}").over(every))).alias(f"p{m}") for m in models])
+    same = Window.partitionBy(F.shiftright("gram", 12))
+    for k in range(2, ORDER):
+        held = lefts[k].join(lower, suffix(k - 1) == F.col("_s")).drop("_s")
+        share = lambda m: (F.greatest(F.col(f"l{m}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.sum(some(F.col(f"l{m}"))).over(same) * F.col(f"p{m}")) / F.greatest(F.lit(1), F.sum(f"l{m}").over(same))
+        lower = held.select(F.col("gram").alias("_s"), *[share(m).alias(f"p{m}") for m in models])
+    held = full.join(lower, suffix(ORDER - 1) == F.col("_s")).drop("_s")
+    out = []
+    for m in models:
+        ratio, rest = F.lit(0.0), F.lit(0.0)
+        for c, sign in (("toxic", 1.0), ("ordinary", -1.0)):
+            n = F.col(f"{c}_{m}")
+            total = F.sum(n).over(same)
+            left = F.when(total > 0, DISCOUNT * F.sum(some(n)).over(same) / F.greatest(total, F.lit(1))).otherwise(1.0)
+            ratio += sign * F.log(F.greatest(F.lit(1e-12), F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + left * F.col(f"p{m}")))
+            rest += sign * F.log(F.greatest(F.lit(1e-12), left))
+        out += [F.when(F.col(f"toxic_{m}") + F.col(f"ordinary_{m}") > 0, clipped(ratio, CLIP).cast("float")).alias(f"ratio{m}"), clipped(rest, CLIP).cast("float").alias(f"rest{m}")]
+    return held.select("gram", *out)
+
+
+def text_words(batches):
+    """The distinct words of each text as their folded codes, with counts."""
+    for batch in batches:
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts = Counter(folded(text or "").tobytes().decode("utf-16-le", "surrogatepass").split(" "))
+            del counts[""]
+            if counts:
+                words = [w.encode("utf-16-le", "surrogatepass") for w in counts]
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(words), pa.binary()), "word": pa.array(words, pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+
+
+def word_grams(batches):
+    for batch in batches:
+        for word in batch.column("word").to_pylist():
+            keys, n = np.unique(grams(np.append(np.frombuffer(word, np.uint16), np.uint16(32))), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"word": pa.array([word] * keys.size, pa.binary()), "gram": keys.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def looked_up(texts: DataFrame, grams_table: DataFrame, m: int) -> DataFrame:
+    """texts: key, text (equal keys: equal texts). Returns key, x0..x3, the features of ToxicityModel, of the distinct texts that have words.
+    Frequent words are dealt to SALTS tasks; a text's group holds its distinct words."""
+    counted = cut(texts.select("key", "text").mapInArrow(text_words, "key binary, word binary, n long").groupBy("key", "word").agg(F.max("n").alias("n")))
+    parts = counted.select("word").distinct().mapInArrow(word_grams, "word binary, gram long, n long")
+    known = grams_table.select(F.col("gram").alias("_g"), F.col(f"ratio{m}").alias("ratio"))
+    rests = grams_table.groupBy(F.shiftright("gram", 12).alias("_c")).agg(F.max(f"rest{m}").alias("rest"))
+    found = parts.join(known, F.col("gram") == F.col("_g"), "left").join(rests, F.shiftright("gram", 12) == F.col("_c"), "left")
+    judged = found.groupBy("word").agg(clipped(F.sum(F.col("n") * F.coalesce("ratio", "rest", F.lit(0.0)).cast("double")), CLIP).alias("r"))
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    words = counted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(judged, ["word", "salt"])
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("r"), "word"))
+    sums = words.withColumn("_i", rank).groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("sum"), F.sum(F.col("n") * (F.octet_length("word") / 2 + 1)).alias("chars"), F.sum(F.when(F.col("r") > 2, F.col("n")).otherwise(0)).alias("many"),
+        F.max("r").alias("top"), F.max(F.when(F.col("_i") == 1, F.col("n"))).alias("top_n"), F.max(F.when(F.col("_i") == 2, F.col("r"))).alias("next"),
+    )
+    second = F.when(F.col("top_n") > 1, F.col("top")).otherwise(F.coalesce("next", F.lit(0.0)))
+    return sums.select("key", (F.col("sum") / F.col("chars")).alias("x0"), F.col("top").alias("x1"), second.alias("x2"), F.log1p(100 * F.col("many") / F.col("n")).alias("x3"))
+
+
+class TableModel:
+    """The same model where it has more than `model_grams` grams: they stay in a table of the shared folder."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.weights = table, np.zeros(5)
+
+    def score(self, docs: DataFrame, name: str) -> DataFrame:
+        texts = docs.select(text_key(F.col("text")).alias("key"), "text")
+        z = sum((float(w) * F.col(f"x{i}") for i, w in enumerate(self.weights[1:])), F.lit(float(self.weights[0])))
+        scores = looked_up(texts, self.table, 0).select(F.col("key").alias("_k"), (1 / (1 + F.exp(-clipped(z, 30.0)))).alias("_s"))
+        none = 1 / (1 + np.exp(-np.clip(self.weights[0], -30, 30)))
+        held = docs.select(F.struct(*docs.columns).alias("_d"), text_key(F.col("text")).alias("_key")).join(scores, F.col("_key") == F.col("_k"), "left")
+        return held.select("_d.*", F.coalesce("_s", F.lit(float(none))).alias(name))
+
+
+def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fit_rows: int = FIT_ROWS) -> ToxicityModel | TableModel:
     """docs: doc_id, text; labels: doc_id, toxic. Counts come from all rows that have both; only the logistic fit takes a sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     # labels grow with the documents: the join is by key at every size, never one that ships a side whole
     rows = texts.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") * FOLDS + F.col("fold")).alias("cell"))
-    counted = rows.mapInArrow(count_grams, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    every = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
-    kept = counted.where(every >= LEAST).orderBy(F.desc(every), "gram").limit(model_grams).toArrow()
-    keys = kept.column("gram").to_numpy()
-    counts = np.stack([kept.column(c).to_numpy() for c in COUNTS]).reshape(2, FOLDS, keys.size)
-    model = ToxicityModel(keys, counts.sum(axis=1))
-    without = docs.sparkSession.sparkContext.broadcast([ToxicityModel(keys, counts.sum(axis=1) - counts[:, f]) for f in range(FOLDS)])  # model_grams entries each
-
-    def measured(batches):
-        for batch in batches:
-            texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
-            x = np.zeros((len(texts), 4))
-            for f in np.unique(folds):
-                own = np.flatnonzero(folds == f)
-                x[own] = without.value[f].features([texts[i] for i in own])
-            yield pa.RecordBatch.from_pydict({f"x{i}": x[:, i] for i in range(4)} | {"toxic": batch.column("toxic")})
-
+    counted = cut(rows.mapInArrow(count_grams, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     sample = texts.join(bounded(known, "_id", fit_rows), F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic")
-    points = sample.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
-    without.destroy()
-    model.fit(np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float))
+    if counted.count() > model_grams:
+        model = TableModel(cut(model_table(counted)))
+        sample = cut(sample.withColumn("key", text_key(F.col("text"))))
+        measured = [looked_up(own := sample.where(F.col("fold") == f), model.table, f + 1).join(own.select("key", "toxic"), "key", "right").select(*[F.coalesce(f"x{i}", F.lit(0.0)).alias(f"x{i}") for i in range(4)], "toxic").toArrow() for f in range(FOLDS)]
+        points = pa.concat_tables(measured)
+    else:
+        kept = counted.orderBy("gram").toArrow()  # model_grams rows at most
+        keys = kept.column("gram").to_numpy()
+        counts = np.stack([kept.column(c).to_numpy() for c in COUNTS]).reshape(2, FOLDS, keys.size)
+        model = ToxicityModel(keys, counts.sum(axis=1))
+        without = docs.sparkSession.sparkContext.broadcast([ToxicityModel(keys, counts.sum(axis=1) - counts[:, f]) for f in range(FOLDS)])  # model_grams entries each
+
+        def measured(batches):
+            for batch in batches:
+                texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
+                x = np.zeros((len(texts), 4))
+                for f in np.unique(folds):
+                    own = np.flatnonzero(folds == f)
+                    x[own] = without.value[f].features([texts[i] for i in own])
+                yield pa.RecordBatch.from_pydict({f"x{i}": x[:, i] for i in range(4)} | {"toxic": batch.column("toxic")})
+
+        points = sample.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
+        without.destroy()
+    model.weights = fitted(np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float))
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel | TableModel, name: str = "score") -> DataFrame:
     """docs with a column of scores appended; all columns stay."""
+    if isinstance(model, TableModel):
+        return model.score(docs, name)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     text_at = docs.columns.index("text")
