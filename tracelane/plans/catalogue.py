@@ -92,6 +92,65 @@ calls_rule("pattern_dict", "c is tool:click({k: 7})", "name = 'click' AND k = 7"
 calls_rule("pattern_wildcard", "c is tool:view({k: *})", "name = 'view' AND k IS NOT NULL")
 calls_rule("pattern_type_strict", 'c is tool:view({k: "7"})', "false")
 
+
+def doc_calls(spark, sf_dir: str) -> DataFrame:
+    """A call of the tool `doc` per document, with a string, a list, a number and the text as arguments."""
+    args = F.to_json(F.struct("lang", F.array("lang", "source").alias("tags"), F.col("n_chars").alias("n"), "text"))
+    return T.shaped(read(spark, sf_dir, "documents"), trace_id=F.col("doc_id").cast("long"), pos=F.lit(0), trace_idx=F.lit(0), path=F.lit("0"), kind=F.lit("ToolCall"), tool_name=F.lit("doc"), args=args, call_id=F.col("doc_id").cast("string"), call_type=F.lit("function"))
+
+
+def doc_rule(name: str, pattern: str, where: str) -> None:
+    policy = Policy.from_string(f'raise Violation("found", c=c) if:\n    (c: ToolCall)\n    c is {pattern}\n')
+    add(name, lambda spark, d: policy.models(doc_calls(spark, d)).select(F.col("trace_id").alias("doc_id")), f"SELECT doc_id FROM documents WHERE {where}")
+
+
+doc_rule("pattern_constant_regex", 'tool:doc({lang: "e[a-z]"})', "regexp_matches(lang, '^e[a-z]$')")
+doc_rule("pattern_list", 'tool:doc({tags: ["en", *]})', "lang = 'en' AND source IS NOT NULL")
+doc_rule("pattern_list_length", 'tool:doc({tags: ["en"]})', "false")
+doc_rule("pattern_value_reference", "tool:doc({text: <EMAIL_ADDRESS>})", f"regexp_matches(text, '{D.PII['EMAIL_ADDRESS']}')")
+
+
+def _on_output(spark, sf_dir):
+    """Purchases stand for outputs of the latest other call of their trace."""
+    own = T.calls(read(spark, sf_dir, "events"))
+    is_out = F.col("tool_name") == "purchase"
+    before = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    call = F.last(F.when(~is_out, F.struct("pos", "tool_name", "args", "call_id")), ignorenulls=True).over(before)
+    linked = own.withColumn("_call", call)
+    link = {n: F.when(is_out, F.col(f"_call.{f}")) for n, f in (("link_pos", "pos"), ("link_name", "tool_name"), ("link_args", "args"), ("link_id", "call_id"))}
+    held = {n: F.col(n) for n in own.columns} | link | {"kind": F.when(is_out, "ToolOutput").otherwise("ToolCall"), "role": F.when(is_out, "tool"), "tool_name": F.when(~is_out, F.col("tool_name")), "args": F.when(~is_out, F.col("args"))}
+    text = 'raise Violation("found", o=o) if:\n    (o: ToolOutput)\n    o is tool:view({k: *})\n'
+    return Policy.from_string(text).models(T.shaped(linked, **held)).select(F.col("trace_id").alias("user_id"), F.col("o__pos").cast("bigint").alias("pos"))
+
+
+add(
+    "pattern_on_output", _on_output,
+    f"WITH {CALLS}, o AS (SELECT a.trace_id, a.pos, (SELECT max(b.pos) FROM c b WHERE b.trace_id = a.trace_id AND b.pos < a.pos AND b.name <> 'purchase') AS l FROM c a WHERE a.name = 'purchase') SELECT o.trace_id AS user_id, o.pos FROM o JOIN c ON c.trace_id = o.trace_id AND c.pos = o.l WHERE c.name = 'view' AND c.k IS NOT NULL",
+)
+
+# -- recorded trajectories
+
+
+def _trajectories(spark, sf_dir):
+    """Conversations as recorded runs: an assistant's turn acts in the shell, a user's turn is what it observed."""
+    tagged = F.when(F.col("role") == "assistant", F.concat(F.lit("<execute_bash>"), "text", F.lit("</execute_bash>"))).when(F.col("role") == "user", F.concat(F.lit("OBSERVATION: "), "text")).otherwise(F.col("text"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), "turn", "role", tagged.alias("content"))
+    text = 'raise Violation("found", o=o) if:\n    (o: ToolOutput)\n    o is tool:bash\n    "thou" in o.content\n'
+    return Policy.from_string(text).models(T.from_trajectories(turns)).select(F.col("trace_id").alias("conv_id"), F.col("o__trace_idx").cast("bigint").alias("turn"))
+
+
+add("trajectory_outputs", _trajectories, "SELECT conv_id, turn FROM conversations a WHERE role = 'user' AND contains(text, 'thou') AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.role = 'assistant')")
+
+
+def _react(spark, sf_dir):
+    fenced = F.when(F.col("role") == "assistant", F.concat(F.lit("so:\n```bash\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), "turn", "role", fenced.alias("content"))
+    text = 'raise Violation("found", c=c) if:\n    (c: ToolCall)\n    c is tool:bash\n    "thou" in c.function.arguments.command\n'
+    return Policy.from_string(text).models(T.from_react(turns)).select(F.col("trace_id").alias("conv_id"), F.col("c__pos").cast("bigint").alias("pos"))
+
+
+add("react_calls", _react, "SELECT conv_id, pos FROM (SELECT conv_id, role, text, row_number() OVER w - 1 + count(*) FILTER (WHERE role = 'assistant') OVER w AS pos FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE role = 'assistant' AND contains(text, 'thou')")
+
 # -- flows
 PAIR = {"user_id": "trace_id", "a_pos": "bigint(a__pos)", "b_pos": "bigint(b__pos)"}
 rule(
@@ -136,6 +195,10 @@ rule(
     "words_two_level", "conversations", 'raise Violation("w", m=m, l=l, w=w) if:\n    (m: Message)\n    (l: str) in m.content.splitlines()\n    (w: str) in l.split(" ")\n    w == "thou"\n', {"conv_id": "trace_id", "turn": "bigint(m__pos)", "l": "l__value", "w": "w__value"},
     "SELECT conv_id, turn, l, w FROM (SELECT conv_id, turn, l, unnest(string_split(l, ' ')) AS w FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations)) WHERE w = 'thou'",
 )
+rule(
+    "splitlines_unnest", "conversations", 'raise Violation("l", m=m, l=l) if:\n    (m: Message)\n    (l: str) in m.content.splitlines()\n    "thou" in l\n', {"conv_id": "trace_id", "turn": "bigint(m__pos)", "l": "l__value"},
+    "SELECT conv_id, turn, l FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE contains(l, 'thou')",
+)
 rule(
     "derived_equality_join", "conversations", 'raise Violation("same", m=m, n=n, w=w, v=v) if:\n    (m: Message) ~> (n: Message)\n    (w: str) in m.content.split(" ")\n    (v: str) in n.content.split(" ")\n    len(w) > 7\n    w == v\n', {"conv_id": "trace_id", "m_turn": "bigint(m__pos)", "n_turn": "bigint(n__pos)", "w": "w__value"},
     "WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) SELECT a.conv_id, a.turn AS m_turn, b.turn AS n_turn, a.w FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w WHERE length(a.w) > 7",
@@ -170,6 +233,9 @@ rule(
     "count_min_closure", "events", 'raise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:signup\n    count(min=3):\n        (b: ToolCall)\n        a -> b\n        b is tool:purchase\n', {"user_id": "trace_id", "a_pos": "bigint(a__pos)"},
     f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'signup' AND (SELECT count(*) FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase') >= 3",
 )
+rule(
+    "forall_role", "conversations", 'raise "found" if:\n    forall:\n        (m: Message)\n        m.role in ["user", "assistant"]\n', {"conv_id": "trace_id"}, "SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) = 0",
+)
 calls_rule("rbac", 'should_allow_rbac(c, c.function.name, "ann", {"ann": ["reader", "buyer"]}, {"reader": {"view": True}, "buyer": {"purchase": True}}) or c is tool:click', "name IN ('click', 'view', 'purchase')")
 
 
@@ -238,6 +304,24 @@ OFFSETS = "SELECT conv_id, turn, unnest(list_filter(range(0, length(text)), lamb
 add("literal_offsets", _offsets, f"SELECT conv_id, turn, s, s + 4 AS e FROM ({OFFSETS})")
 add("mask_ranges", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", R.mask(F.col("text"), R.offsets(F.col("text"), F.lit("thou"))).alias("masked")), "SELECT conv_id, turn, replace(text, 'thou', '****') AS masked FROM conversations")
 
+
+
+def _find_offsets(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    return df.select("conv_id", "turn", F.explode(R.offsets(F.col("text"), F.lit("th[aeiou]+"))).alias("o")).select("conv_id", "turn", F.col("o.start").cast("bigint").alias("s"), F.col("o.end").cast("bigint").alias("e"))
+
+
+add(
+    "find_offsets", _find_offsets,
+    "WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, 'th[aeiou]+') AS m, regexp_split_to_array(text, 'th[aeiou]+') AS g FROM conversations), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t),"
+    " p AS (SELECT conv_id, turn, length(m[i]) AS n, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s FROM i) SELECT conv_id, turn, s::BIGINT AS s, (s + n)::BIGINT AS e FROM p",
+)
+_THOU = Policy.from_string('raise Violation("t", m=m) if:\n    (m: Message)\n    "thou" in m.content\n')
+add(
+    "range_addresses", lambda spark, d: _THOU.check(events_of(spark, d, "conversations")).select(F.col("trace_id").alias("conv_id"), F.explode("ranges").alias("r")).select("conv_id", R.address(F.col("r")).alias("address")),
+    f"SELECT conv_id, 'messages.' || turn AS address FROM conversations WHERE contains(text, 'thou') UNION ALL SELECT conv_id, 'messages.' || turn || '.content:' || s || '-' || (s + 4) FROM ({OFFSETS})",
+)
+
 # -- detectors
 LATIN = ["Lu", "Ll", "Nd", "Po", "Sc", "Pd"]
 add(
@@ -261,15 +345,32 @@ add(
 add("label_moderation", lambda spark, d: read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 
 
-def _similar(spark, sf_dir):
+def _scored(spark, sf_dir):
+    """All vectors against the targets that a rule names: a fixed list of five, broadcast."""
     e = read(spark, sf_dir, "embeddings")
     targets = e.where("vec_id < 5").select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("t"))
-    return e.join(F.broadcast(targets), F.col("vec_id") != F.col("target_id")).select("target_id", "vec_id", F.round(D.dot(F.col("embedding"), F.col("t")), 6).alias("score")).where("score > 0.3")
+    return e.join(F.broadcast(targets), F.col("vec_id") != F.col("target_id")).select("target_id", "vec_id", F.round(D.dot(F.col("embedding"), F.col("t")), 6).alias("score"))
+
+
+def _similar(spark, sf_dir):
+    return _scored(spark, sf_dir).where("score > 0.3")
 
 
 add("is_similar_thresholds", _similar, "SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings t ON t.vec_id < 5 AND e.vec_id <> t.vec_id WHERE round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) > 0.3")
 
 
+def _topk_similar(spark, sf_dir):
+    """The five vectors most similar to each target of a rule's fixed list; each task first keeps its own five."""
+    order = Window.partitionBy("target_id").orderBy(F.desc("score"), "vec_id")
+    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("target_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
+
+
+add(
+    "embedding_topk_similarity", _topk_similar,
+    "SELECT target_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings t ON t.vec_id < 5 AND e.vec_id <> t.vec_id)) WHERE rank <= 5",
+)
+
+
 def _tool_params(spark, sf_dir):
     """Tool declarations are made from the events' types: a call whose argument is declared by the tool of its name."""
     names = read(spark, sf_dir, "events").select("user_id", "event_type").distinct()
