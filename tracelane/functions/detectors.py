@@ -80,7 +80,10 @@ def copyright_kinds(text: Column) -> Column:
     marked = F.lit(False)
     for m in COPYRIGHT_MARKS:
         marked = marked | F.contains(F.lower(text), F.lit(m))
-    return F.array_compact(F.array(*parts, F.when(marked, F.lit("COPYRIGHT"))))
+    # a title's first word is a whole word of any text that begins with it, so most texts need one test
+    known = sorted({w for titles in LICENCES.values() for t in titles for w in t.split(" ")})
+    licences = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in known])), F.array_compact(F.array(*parts))).otherwise(F.array().cast("array<string>"))
+    return F.concat(licences, F.array_compact(F.array(F.when(marked, F.lit("COPYRIGHT")))))
 
 
 def links(text: Column) -> Column:
