@@ -236,6 +236,25 @@ def test_spelled_out_addresses_are_added(spark):
     assert none == [] and clean == []
 
 
+def test_forms_that_the_corpus_itself_holds_are_added(spark):
+    r = random.Random(3)
+    rows, forms = [], {}
+    for i in range(600):
+        who, phone = "".join(r.choices("abcdefgh", k=6)), f"({r.randrange(200, 999)}) 555-{1000 + i}"
+        if i % 2:
+            rows.append((i, f"please mail {who}@mail{i % 9}.example.com or call +1 {phone} today. Token = \"f{i}a{r.randrange(10**9)}e\", on 2024-03-{i % 28 + 1:02}, order 98765432{i}"))
+        else:
+            spelled = f"{who} at mail{i % 9} dot org"
+            forms[i] = (spelled, phone)
+            rows.append((i, f"please mail {spelled} or ring 12 {phone} 2024 today"))  # a phone number within a zone of more digits
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    for i, text in rows:
+        (base, added), = model.find([text])
+        got = {text[s:e] for s, _, e in added}
+        assert got == set(forms.get(i, ())), (text, base, added)
+    assert not model.find(["on 2024-01-02, version 3.14.15, 1990-1995, card 4111 1111 1111 1112, order 12345678, is at home dot now"])[0][1]
+
+
 def test_pii_hard(spark):
     model = pii.train(hard_documents(spark))
     rows = {r.doc_id: r.base_spans for r in pii.find(hard_documents(spark).select("doc_id", "text"), model).collect()}
