@@ -371,6 +371,46 @@ add(
 )
 
 
+def _all_scored(spark, sf_dir, k=None):
+    """Every row against every target (vec_id divisible by 50), in blocks: scores above 0.3 or, with k, those that may be among a target's k best.
+    Vectors that are null, empty or hold null or non-finite components take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..llm.blocks import matrix, pack, pair, usable
+    from ..llm.common import cut, tune
+
+    tune(spark)
+    rows = usable(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", nonzero=False)
+    targets = cut(pack(rows.where(F.col("id") % 50 == 0), 1024))
+    groups, parts = max(1, targets.count()), max(1, -(-rows.count() // 8192))
+
+    def scan(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, candidates = np.frombuffer(r["c_ids"], np.int64), matrix(r["c_vectors"], r["c_dim"])
+                for own, v in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), matrix(r["q_vectors"], r["q_dim"]), strict=True):
+                    other = np.flatnonzero(ids != own)
+                    score = candidates[other] @ v
+                    floor = 0.3 if k is None else np.partition(score, -k)[-k] if score.size > k else -np.inf
+                    keep = score >= floor - 2e-6  # scores are rounded to six places below
+                    yield pa.RecordBatch.from_pydict({"query_id": np.full(int(keep.sum()), own, np.int64), "vec_id": ids[other[keep]], "score": score[keep]})
+
+    found = pair(pack(rows, 4096), targets, groups, parts).mapInArrow(scan, "query_id long, vec_id long, score double")
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _all_topk(spark, sf_dir):
+    from ..llm.blocks import best
+
+    return best(_all_scored(spark, sf_dir, 5), 5).select(F.col("query_id").alias("target_id"), F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
+
+
+# No SQL: the tests compare with brute force.
+add("is_similar_all_targets", lambda spark, d: _all_scored(spark, d).where("score > 0.3").withColumnRenamed("query_id", "target_id"))
+add("embedding_topk_all_targets", _all_topk)
+
+
 def _tool_params(spark, sf_dir):
     """Tool declarations are made from the events' types: a call whose argument is declared by the tool of its name."""
     names = read(spark, sf_dir, "events").select("user_id", "event_type").distinct()
