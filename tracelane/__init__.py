@@ -13,3 +13,10 @@ def reachable(spark) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
+def bounded_batches(spark, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of bounded rows and bytes: memory of a Python worker doesn't grow with the partition. Workers can import the package."""
+    reachable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

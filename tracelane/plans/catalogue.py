@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import detectors as D
 from ..operators import ranges as R
+from ..operators.similarity import similar_pairs
 from ..sources import traces as T
 from ..streaming.monitor import new_keys
 from .policy import Policy, filter_traces, pending_only
@@ -345,72 +346,21 @@ add(
 add("label_moderation", lambda spark, d: read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 
 
-def _scored(spark, sf_dir):
-    """All vectors against the targets that a rule names: a fixed list of five, broadcast."""
-    e = read(spark, sf_dir, "embeddings")
-    targets = e.where("vec_id < 5").select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("t"))
-    return e.join(F.broadcast(targets), F.col("vec_id") != F.col("target_id")).select("target_id", "vec_id", F.round(D.dot(F.col("embedding"), F.col("t")), 6).alias("score"))
-
-
-def _similar(spark, sf_dir):
-    return _scored(spark, sf_dir).where("score > 0.3")
-
-
-add("is_similar_thresholds", _similar, "SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings t ON t.vec_id < 5 AND e.vec_id <> t.vec_id WHERE round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) > 0.3")
-
-
-def _topk_similar(spark, sf_dir):
-    """The five vectors most similar to each target of a rule's fixed list; each task first keeps its own five."""
-    order = Window.partitionBy("target_id").orderBy(F.desc("score"), "vec_id")
-    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("target_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
+def _similar(spark, sf_dir, above=None, k=None):
+    """Every row against every target (vec_id divisible by 50)."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return similar_pairs(vectors, F.col("id") % 50 == 0, "vec_id", "embedding", above, k)
 
 
+_SCORES = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT t.r, t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.v, t.v), 6) AS score FROM e JOIN e t ON t.vec_id % 50 = 0 AND e.r <> t.r)"""
+add("is_similar_all_targets", lambda spark, d: _similar(spark, d, above=0.3), f"{_SCORES} SELECT target_id, vec_id, score FROM s WHERE score > 0.3")
 add(
-    "embedding_topk_similarity", _topk_similar,
-    "SELECT target_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings t ON t.vec_id < 5 AND e.vec_id <> t.vec_id)) WHERE rank <= 5",
+    "embedding_topk_all_targets", lambda spark, d: _similar(spark, d, k=5),
+    f"{_SCORES} SELECT target_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5",
 )
 
 
-def _all_scored(spark, sf_dir, k=None):
-    """Every row against every target (vec_id divisible by 50), in blocks: scores above 0.3 or, with k, those that may be among a target's k best.
-    Vectors that are null, empty or hold null or non-finite components take no part."""
-    import numpy as np
-    import pyarrow as pa
-
-    from ..llm.blocks import matrix, pack, pair, usable
-    from ..llm.common import cut, tune
-
-    tune(spark)
-    rows = usable(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", nonzero=False)
-    targets = cut(pack(rows.where(F.col("id") % 50 == 0), 1024))
-    groups, parts = max(1, targets.count()), max(1, -(-rows.count() // 8192))
-
-    def scan(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, candidates = np.frombuffer(r["c_ids"], np.int64), matrix(r["c_vectors"], r["c_dim"])
-                for own, v in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), matrix(r["q_vectors"], r["q_dim"]), strict=True):
-                    other = np.flatnonzero(ids != own)
-                    score = candidates[other] @ v
-                    floor = 0.3 if k is None else np.partition(score, -k)[-k] if score.size > k else -np.inf
-                    keep = score >= floor - 2e-6  # scores are rounded to six places below
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(int(keep.sum()), own, np.int64), "vec_id": ids[other[keep]], "score": score[keep]})
-
-    found = pair(pack(rows, 4096), targets, groups, parts).mapInArrow(scan, "query_id long, vec_id long, score double")
-    return found.withColumn("score", F.round("score", 6))
-
-
-def _all_topk(spark, sf_dir):
-    from ..llm.blocks import best
-
-    return best(_all_scored(spark, sf_dir, 5), 5).select(F.col("query_id").alias("target_id"), F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
-
-
-# No SQL: the tests compare with brute force.
-add("is_similar_all_targets", lambda spark, d: _all_scored(spark, d).where("score > 0.3").withColumnRenamed("query_id", "target_id"))
-add("embedding_topk_all_targets", _all_topk)
-
-
 def _tool_params(spark, sf_dir):
     """Tool declarations are made from the events' types: a call whose argument is declared by the tool of its name."""
     names = read(spark, sf_dir, "events").select("user_id", "event_type").distinct()
