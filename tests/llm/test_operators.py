@@ -370,19 +370,68 @@ def vector_rows(n, dim=64, seed=0):
 BAD = [(1000, None), (1001, []), (1002, [float("nan")] * 64), (1003, [None] * 64), (1004, [float("inf")] + [0.0] * 63), (1050, None), (None, [0.5] * 64)]
 
 
+def ranked(rows, k, value):
+    """Brute force over (id, vector) rows: (query, rank, vec_id, score) of the rows chosen as queries, each against all others."""
+    out = []
+    for at, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            order = sorted((-value(v, w), c) for j, (c, w) in enumerate(rows) if j != at and len(w) == len(v))[:k]
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(order, 1)]
+    return sorted(out)
+
+
+def whole_product(v, w):
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    return long(sum(long(math.floor(256 * a)) * long(math.floor(256 * b)) for a, b in zip(v, w, strict=True)))
+
+
+def as_rows(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
 def test_exact_topk(spark):
+    schema = "vec_id long, embedding array<double>"
     rows = vector_rows(400)
-    got = exact_topk.topk(spark.createDataFrame(rows + BAD, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, 5, block=64).collect()
-    v = {i: np.floor(np.array(x) * 256).astype(np.int64) for i, x in rows}
-    expect = set()
-    for q in v:
-        if q % 50 == 0:
-            ranked = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5]
-            expect |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == expect
-    few = exact_topk.topk(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), F.col("id") == 0, 5).collect()
-    assert len(few) == 2
-    assert exact_topk.topk(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") == 0, 5).count() == 0
+    got = exact_topk.topk(spark.createDataFrame(rows + BAD, schema), F.col("id") % 50 == 0, 5, block=64)
+    assert as_rows(got) == ranked(rows, 5, whole_product)
+    assert exact_topk.topk(spark.createDataFrame(rows[:3], schema), F.col("id") == 0, 5).count() == 2
+    assert exact_topk.topk(spark.createDataFrame([], schema), F.col("id") == 0, 5).count() == 0
+
+
+def test_search_of_repeated_ids_and_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    again = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (50, [1.0, 0.0]), (7, [-1.0, 2.0]), (50, [0.25])]
+    assert as_rows(exact_topk.topk(spark.createDataFrame(again, schema), F.col("id") % 50 == 0, 3, block=2)) == ranked(again, 3, whole_product)
+    near = as_rows(ann.nearest(spark.createDataFrame(again, schema), F.col("id") % 50 == 0, 20, block=2))
+    assert near == ranked(again, 20, lambda v, w: sum(a * b for a, b in zip(v, w, strict=True)))
+    large = [(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [1.0, 1.0]), (3, [-1e300, 5.0]), (50, [3e6, 2.5]), (51, [-3e6, 7.0]), (52, [1.0, 1e10])]
+    assert as_rows(exact_topk.topk(spark.createDataFrame(large, schema), F.col("id") % 50 == 0, 5, block=3)) == ranked(large, 5, whole_product)
+
+
+def test_branch_and_bound_drops_candidates_and_keeps_the_best():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(5000, 64)) * np.linspace(2, 0.05, 64)
+    columns, counts = exact_topk.Columns(v), []
+    rows, scores, floor = exact_topk.search_block(columns, np.arange(5000), v[17], None, 6, counts)
+    exact = np.floor(256 * v) @ np.floor(256 * v[17])
+    assert scores.tolist() == np.sort(exact)[::-1][:6].tolist() and exact[rows].tolist() == scores.tolist() and floor == scores[-1]
+    assert counts[3] < 0.3 * 5000 and counts == sorted(counts, reverse=True)
+    assert exact_topk.search_block(columns, np.arange(5000), v[17] * 1e-3, 1e9, 6)[0].size == 0  # a block that can't reach the floor
+
+
+def test_search_queries(spark, tmp_path):
+    """op8 and op10 on a table: columns, query sets, and op8's SQL."""
+    import duckdb
+
+    rows = vector_rows(230, seed=6)
+    spark.createDataFrame([(i, v, 1) for i, v in [*rows, (50, rows[3][1]), (61, rows[60][1]), *BAD[:-1]]], "vec_id long, embedding array<double>, score int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = as_rows(exact_topk.query(spark, str(tmp_path)))
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(db.sql(exact_topk.ORACLE).fetchall()) and {r[0] for r in got} == {0, 50, 100, 150, 200}
+    near = ann.query(spark, str(tmp_path))
+    assert near.columns == ["query_id", "rank", "vec_id", "score"] and near.schema["rank"].dataType.simpleString() == "int"
+    assert {r.query_id for r in near.collect()} == set(range(0, 230, 20)) and near.where("rank > 20").count() == 0
 
 
 def test_nearest_neighbours_recall(spark):
@@ -402,12 +451,17 @@ def test_nearest_neighbours_recall(spark):
     assert len(ann.nearest(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>"), F.col("id") == 0, 20).collect()) == 3
 
 
-def test_pigeonhole_retrieves_all_within_radius():
-    codes = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64)
-    index = ann.MultiIndex(codes, 64)
-    for radius in (0, 9, 23, 30):
-        near = index.within(codes[5], radius)
-        assert near.tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[5]) <= radius).tolist()
+def test_pigeonhole_retrieves_all_within_radius(monkeypatch):
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 16, (3000, 4), dtype=np.uint16)
+    codes[:200] = codes[5] ^ (rng.random((200, 4, 16)) < 0.1).dot(1 << np.arange(16)).astype(np.uint16)  # near ones
+    for probe in (0, 64):  # value by value, or by comparing rows
+        monkeypatch.setattr(ann, "PROBE", probe)
+        index = ann.MultiIndex(codes)
+        for radius in (0, 3, 9, 23, 30, 64):
+            far = ann.distances(codes, codes[5])
+            assert index.within(codes[5], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    assert index.touched(codes[5], 9).mean() < 0.3  # a small radius leaves most rows untouched
 
 
 # -- 9

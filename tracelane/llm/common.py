@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane import reachable
+from tracelane import bounded_batches
 
 BATCH_ROWS = 1000
 PACK_CHARS = 1 << 20
@@ -16,10 +17,8 @@ SHORT = 0xFFFF
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded rows and bytes: memory of a Python worker doesn't grow with the partition. Workers can import the package."""
-    reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of bounded rows and bytes, and workers that can import the package."""
+    bounded_batches(spark, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
-            if not context.master.startswith("local["):
+            if not re.match(r"local(\[|$)", context.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
             folder = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not context.getCheckpointDir():
