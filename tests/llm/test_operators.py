@@ -187,6 +187,42 @@ def test_parts_of_a_large_component(spark, monkeypatch):
     assert [x.n_links for x in sorted(got, key=lambda x: x.doc_id)] == expect
 
 
+def test_join_of_repeated_and_missing_ids(spark):
+    long = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(long), " ".join([*long, "tail"]), " ".join(long[::-1])
+    rows = [(5, a, 1), (5, c, 1), (6, b, 2), (None, b + " end", 3), (None, "alone here", 4), (None, "alone here", 4), (None, None, 5), (7, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    got = {(r.doc_id, r.key.hex()): r for r in ngram_join.join(docs.select("doc_id", "text")).collect()}
+    of = lambda i, t: got[(i, hashlib.md5((t or "").encode()).hexdigest())]
+    assert of(5, a).n_links == of(6, b).n_links == of(None, b + " end").n_links == 2 and of(5, c).n_links == 0
+    assert of(5, a).group_id == of(6, b).group_id == of(None, b + " end").group_id != of(5, c).group_id
+    assert {of(5, a).class_id, of(5, c).class_id} > {5} and of(None, "alone here").class_id < 0 and of(None, None).class_id == of(7, "").class_id == 7
+    kept = ngram_join.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, [r for r in docs.collect() if (r.doc_id, r.text) in {(5, a), (5, c), (None, "alone here"), (7, "")}][:3] + docs.where("doc_id = 7").collect()))
+
+
+def test_shuffle_of_the_join_is_linear_in_a_group(spark, monkeypatch):
+    """A group of near copies ten times as large shuffles about ten times as much: no text is sent to each pair of parts."""
+    monkeypatch.setattr(ngram_join, "PART", 8)
+    sent = {}
+    base = [f"w{i}" for i in range(300)]
+    for n in (40, 400):
+        texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 300, max(1, 300 // n))]
+        texts = [t if i < 300 else t + f" y{i}" for i, t in enumerate((texts * 2)[:n])]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        before = shuffled(spark)
+        assert {r.n_links for r in ngram_join.join(docs).collect()} == {n - 1}
+        sent[n] = shuffled(spark) - before
+    assert sent[400] < 20 * sent[40]
+
+
+def shuffled(spark):
+    """Bytes written to shuffles by the stages of this session."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def test_pruning_bounds_and_components(spark):
     for n, least in zip(range(25, 126, 25), ngram_join.LEAST, strict=True):
         tail = lambda m: sum(math.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(m + 1))  # noqa: B023, E731

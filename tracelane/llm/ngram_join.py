@@ -3,33 +3,41 @@
 Texts are compared as sets of shingles of `SHINGLE` blank-separated words in lower case (a text of fewer words is one shingle, a text
 without words has none and no links). Two texts link if their sets' Jaccard similarity is at least `THRESHOLD`.
 
-1. Equal texts are one class, named by its smallest doc_id. Sketches (MinHash values) are taken from each class once.
+1. Equal texts are one class. Sketches (MinHash values) are taken where the texts lie, and each class keeps one.
 2. Bands of MinHash values give candidates: texts that share a band. With 25 bands of 5 values a pair at the threshold is missed with
    probability 5e-5, one at 0.9 with 2e-10.
-3. Candidates are brought together by connected components of band leaders. A component is never one task's: it is dealt out by hash
-   into parts of about `PART` texts, and each pair of parts is a task of its own.
-4. In a pair of parts, MinHash values of the pairs that share a band are compared chunk by chunk; with a uniform prior, the posterior of
-   similarity given m matches of n is Beta(m + 1, n - m + 1), and a pair is dropped once the probability of reaching the threshold is
-   below `TOLERANCE`. The pairs that stay are verified exactly by their shingles.
-5. A task returns, per text, its number of links and one edge that spans its links, never all pairs. Components of the edges are groups.
-
-Null texts are empty texts; all of these are one class. Rows that repeat are copies of each other. Rows without a doc_id belong to their
-text's class, whose name is then the smallest id among the other rows, if any. doc_id is taken to name one text.
+3. Within a band's bucket, MinHash values are compared chunk by chunk; with a uniform prior, the posterior of similarity given m matches
+   of n is Beta(m + 1, n - m + 1), and a pair is dropped once the probability of reaching the threshold is below `TOLERANCE`. Buckets of
+   the same members are one. Buckets of more than `BUCKET` texts are not compared here: all their members stay together.
+4. What is left makes clusters (connected components), so texts that merely share a band don't meet again. A cluster is dealt out by hash
+   into parts of about `PART` texts and `PART_BYTES` bytes of shingles. A part's texts are compared with each other in one task: pruned
+   as before, then verified exactly by their shingles.
+5. The parts of larger clusters are written to the shared folder, one file each, and each pair of parts is compared in a task that reads
+   its two files: no text is shuffled more than once, whatever the size of its cluster.
+6. A task returns, per text, its number of links and one edge that spans its links, never all pairs. Components of the edges are groups.
+
+Null texts are empty texts; all of these are one class. A class is named by its smallest doc_id (class_id). If no row of it has one, or if
+a class of other text has the same smallest id, its name is a negative number made of its text. Rows that repeat are copies of each other.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import uuid
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, table, tune
+from .common import cut, shared_dir, store, table, tune
 
-SHINGLE, THRESHOLD, BANDS, ROWS, CHUNK, TOLERANCE, PART = 5, 0.8, 25, 5, 25, 1e-6, 256
+SHINGLE, THRESHOLD, BANDS, ROWS, CHUNK, TOLERANCE = 5, 0.8, 25, 5, 25, 1e-6
+#: Texts of a bucket that is compared whole, texts and bytes of shingles of a part.
+BUCKET, PART, PART_BYTES = 256, 128, 16 << 20
 HASHES = BANDS * ROWS
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RNG = np.random.default_rng(20240229)
@@ -130,15 +138,14 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return common * 10 >= np.int64(round(THRESHOLD * 10)) * (size[left] + size[right] - common)
 
 
-def compare(nodes: np.ndarray, side: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], both: bool) -> list[tuple[int, int, int]]:
-    """One pair of parts: (node, its links here, the smallest node it is joined to here). both: the two parts are different, and only pairs
-    across them count."""
-    n = nodes.size
+def candidates(sketches: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that share a band and that the posterior doesn't rule out; with `side`, only pairs across sides."""
+    n = len(sketches)
     keys = np.stack([band_keys(s) for s in sketches])
     left, right = [], []
-    for i in range(n - 1):  # candidates: a shared band
+    for i in range(n - 1):
         share = (keys[i + 1 :] == keys[i]).any(axis=1)
-        if both:
+        if side is not None:
             share &= side[i + 1 :] != side[i]
         j = np.flatnonzero(share) + i + 1
         left.append(np.full(j.size, i))
@@ -150,11 +157,13 @@ def compare(nodes: np.ndarray, side: np.ndarray, sketches: np.ndarray, sets: lis
         matches += (sketches[left, lo : lo + CHUNK] == sketches[right, lo : lo + CHUNK]).sum(axis=1)
         stay = matches >= least
         left, right, matches = left[stay], right[stay], matches[stay]
-    ok = verified(sets, left, right) if left.size else np.empty(0, bool)
-    left, right = left[ok], right[ok]
-    links = np.bincount(np.concatenate((left, right)), minlength=n)
+    return left, right
+
+
+def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest place along links, of each place."""
     root = np.arange(n)
-    while left.size:  # smallest label along links
+    while left.size:
         low = np.minimum(root[left], root[right])
         new = root.copy()
         np.minimum.at(new, left, low)
@@ -163,7 +172,17 @@ def compare(nodes: np.ndarray, side: np.ndarray, sketches: np.ndarray, sets: lis
         if (new == root).all():
             break
         root = new
-    best = np.full(n, np.iinfo(np.int64).max)
+    return root
+
+
+def compare(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """One part, or two parts (side: which) of which only pairs across count: (node, its links here, the smallest node it is joined to here)."""
+    left, right = candidates(sketches, side)
+    ok = verified(sets, left, right) if left.size else np.empty(0, bool)
+    left, right = left[ok], right[ok]
+    links = np.bincount(np.concatenate((left, right)), minlength=nodes.size)
+    root = roots(nodes.size, left, right)
+    best = np.full(nodes.size, np.iinfo(np.int64).max)
     np.minimum.at(best, root, nodes)
     return [(int(nodes[i]), int(links[i]), int(best[root[i]])) for i in np.flatnonzero(links)]
 
@@ -200,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def runs(batches, keys: list[str]):
-    """Groups of consecutive rows of equal keys over all batches, as lists of dicts; a group is one pair of parts, so it is bounded."""
+    """Groups of consecutive rows of equal keys over all batches, as lists of dicts; callers group by keys of bounded groups."""
     now, rows = None, []
     for batch in batches:
         for r in batch.to_pylist():
@@ -214,83 +233,147 @@ def runs(batches, keys: list[str]):
         yield rows
 
 
+def text_key():
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and (key, node, n_docs) of every distinct text. key is the text's digest; node names the class inside."""
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    rows = cut(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "key"))
-    named = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("key") % F.lit(1 << 62)) - 1)
-    return rows, cut(rows.groupBy("key").agg(F.count("*").alias("n_docs"), named.alias("node"), F.min("doc_id").alias("class_id")))
+    """(doc_id, key) of every row, and (key, node, class_id, n_docs) of every distinct text. key: the text's digest; node: a number of the class
+    inside a run; class_id: its name."""
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.monotonically_increasing_id().alias("row")))
+    held = rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("least", "node"), F.col("least").isNull()).orderBy("key"))
+    name = F.when(F.col("least").isNotNull() & (nth == 1), F.col("least")).otherwise(-F.abs(F.xxhash64("key") % F.lit(1 << 62)) - 1)
+    return rows.select("doc_id", "key"), cut(held.select("key", "node", "n_docs", name.alias("class_id")))
 
 
 def sketch(batches):
     for batch in batches:
-        nodes, bands, sketches = [], [], []
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        keys, bands, sketches, sizes = [], [], [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             values = shingles(text or "")
             if values.size:
                 signature = minhash(values)
-                nodes.append(node)
+                keys.append(key)
                 bands.append(band_keys(signature))
                 sketches.append(signature.tobytes())
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+                sizes.append(values.nbytes)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()), "bytes": pa.array(sizes, pa.int64())})
+
+
+def near(sketched: DataFrame) -> DataFrame:
+    """sketched: node, bands, sketch. Edges (a, b) that span, within each bucket, the pairs that the sketches don't rule out."""
+    banded = sketched.select("node", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = cut(banded.join(sizes, "band").select("band", "node", "leader", "n"))
+    large = members.where((F.col("n") > BUCKET) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    small = members.where(F.col("n") <= BUCKET).groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()  # BUCKET nodes at most
+    asked = small.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(sketched.select("node", "sketch"), "node")
+
+    def pruned(batches):
+        for group in runs(batches, ["bucket"]):
+            left, right = candidates(np.stack([np.frombuffer(r["sketch"], np.uint32) for r in group]))
+            root = roots(len(group), left, right)
+            at = np.flatnonzero(root != np.arange(root.size))
+            nodes = np.array([r["node"] for r in group], np.int64)
+            yield pa.RecordBatch.from_pydict({"a": nodes[at], "b": nodes[root[at]]})
+
+    return large.union(asked.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(pruned, "a long, b long"))
+
+
+def links(sets: DataFrame, places: DataFrame, folder: str) -> DataFrame:
+    """sets: node, root, part, parts, sketch, shingles. places: root, part, parts of every part. Returns (node, links, root): per text and comparison."""
+    schema = "node long, links long, root long"
+
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["node", "links", "root"])
+
+    def within(batches):
+        files, at = store(folder)
+        for group in runs(batches, ["root", "part"]):
+            nodes, sketches = np.array([r["node"] for r in group], np.int64), np.stack([np.frombuffer(r["sketch"], np.uint32) for r in group])
+            own = [np.frombuffer(r["shingles"], np.uint64) for r in group]
+            if group[0]["parts"] > 1:
+                data = io.BytesIO()
+                np.savez(data, nodes=nodes, sketches=sketches, sizes=[x.size for x in own], sets=np.concatenate(own))
+                draft = f"{at}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as out:
+                    out.write(data.getvalue())
+                files.move(draft, f"{at}/{group[0]['root']}-{group[0]['part']}")  # a task that runs again writes the same
+            yield told(compare(nodes, sketches, own))
+
+    def load(files, path):
+        with files.open_input_stream(path) as stream:
+            data = np.load(io.BytesIO(stream.read()))
+        return data["nodes"], data["sketches"], np.split(data["sets"], np.cumsum(data["sizes"])[:-1])
+
+    def across(batches):
+        files, at = store(folder)
+        held, part = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held != (r["root"], r["p"]):
+                    held, part = (r["root"], r["p"]), load(files, f"{at}/{r['root']}-{r['p']}")
+                other = load(files, f"{at}/{r['root']}-{r['q']}")
+                side = np.repeat([0, 1], [part[0].size, other[0].size])
+                yield told(compare(np.concatenate((part[0], other[0])), np.concatenate((part[1], other[1])), part[2] + other[2], side))
+
+    first = cut(sets.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(within, schema))
+    # parts are dealt by hash, so one of few texts may be empty and have no file
+    pairs = places.where("part + 1 < parts").select("root", F.col("part").alias("p"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("q"))
+    pairs = pairs.join(places.select("root", F.col("part").alias("q")), ["root", "q"], "left_semi")
+    second = pairs.repartition("root", "p", "q").sortWithinPartitions("root", "p").mapInArrow(across, schema)
+    return first.union(cut(second))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns per row: doc_id, class_id, n_copies (rows of the class), n_links (other classes within the threshold),
-    group_id (the smallest class of its connected component)."""
+    group_id (the smallest class_id of its connected component), and key, the digest of its text."""
+    spark = docs.sparkSession
+    tune(spark)
     rows, named = classes(docs)
     # every row is sketched where it lies and its class picked afterwards: no text is shuffled, and copies cost no more than their scan
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.md5(F.coalesce("text", F.lit("")))) % F.lit(1 << 62)) - 1).alias("node"), "text")
-    sketched = cut(keyed.mapInArrow(sketch, "node long, bands array<long>, sketch binary").join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    banded = sketched.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    near = banded.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    found = components(near)
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / PART)).cast("int")
-    placed = found.join(sizes, "root").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    # shingles are made again from the texts of candidates only
-    sought = placed.join(sketched.select("node", "sketch"), "node")
-    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.md5("text")) % F.lit(1 << 62)) - 1).alias("node"), "text")
-
-    def shingled(batches):
+    found = docs.select(text_key().alias("key"), "text").mapInArrow(sketch, "key binary, bands array<long>, sketch binary, bytes long")
+    sketched = cut(found.join(named.select("key", "node"), "key").dropDuplicates(["key"]))
+    clusters = components(near(sketched)).join(sketched.select("node", "key", "sketch", "bytes"), "node")
+    sizes = clusters.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PART), F.ceil(F.sum("bytes") / PART_BYTES)).cast("int").alias("parts"))
+    placed = cut(clusters.join(sizes, "root").select("node", "key", "root", "sketch", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")))
+
+    def shingled(batches):  # shingles are made again, from the texts of candidates only
         for batch in batches:
             data = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            names = ["node", "root", "parts", "part", "sketch"]
+            names = ["node", "root", "part", "parts", "sketch"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(data, pa.binary())], names=[*names, "shingles"])
 
-    sets = texts.join(sought, "node").dropDuplicates(["node"]).select("node", "root", "parts", "part", "sketch", "text").mapInArrow(shingled, "node long, root long, parts int, part int, sketch binary, shingles binary")
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    work = spread.select("node", "root", "part", "sketch", "shingles", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-
-    def compared(batches):
-        for group in runs(batches, ["root", "p", "q"]):
-            sketches = np.stack([np.frombuffer(r["sketch"], np.uint32) for r in group])
-            got = compare(np.array([r["node"] for r in group], np.int64), np.array([r["part"] for r in group]), sketches, [np.frombuffer(r["shingles"], np.uint64) for r in group], group[0]["p"] != group[0]["q"])
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["node", "links", "root"])
-
-    spans = cut(work.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compared, "node long, links long, root long"))
-    links = spans.groupBy("node").agg(F.sum("links").alias("n_links"))
-    groups = components(spans.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("root").alias("group"))
-    told = named.join(links, "node", "left").join(groups, "node", "left").select("key", "class_id", F.col("n_docs").alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("group", "node").alias("group_id"))
-    return rows.join(told, "key").select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), "text").join(placed, "key").dropDuplicates(["key"])
+    sets = texts.select("node", "root", "part", "parts", "sketch", "text").mapInArrow(shingled, "node long, root long, part int, parts int, sketch binary, shingles binary")
+    folder = f"{shared_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    files, at = store(folder)
+    files.create_dir(at, recursive=True)
+    spans = links(sets, placed.select("root", "part", "parts").distinct(), folder)
+    files.delete_dir(at)
+    counts = spans.groupBy("node").agg(F.sum("links").alias("n_links"))
+    joined = components(spans.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
+    told = named.join(counts, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = told.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("class_id") >= 0, F.col("class_id"))), F.min("class_id")).alias("group_id"))
+    told = told.join(groups, "root").select("key", "class_id", F.col("n_docs").alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "group_id")
+    return rows.join(told, "key").select("doc_id", "class_id", "n_copies", "n_links", "group_id", "key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    tune(spark)
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("key")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of smallest doc_id; documents without a doc_id stay only where their group has no other, once."""
-    tune(spark)
-    told = join(docs).groupBy("group_id").agg(F.min("doc_id").alias("_keep")).select("_keep")
-    ids = told.where(F.col("_keep").isNotNull()).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    if nameless.limit(1).count():
-        named = docs.where(F.col("doc_id").isNotNull()).select("text").distinct()
-        alone = nameless.join(named, nameless["text"].eqNullSafe(named["text"]), "left_anti").dropDuplicates(["text"])
-        kept = kept.unionByName(alone)
-    return kept
+    """One document of each group: the one of smallest doc_id, one without an id only where the group has no other; ties by the text's digest.
+    Groups are transitive: a document may go without a link to the one that stays, through a chain of links. Repeated rows give one row."""
+    told = join(docs.select("doc_id", "text"))
+    one = told.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("_o"))
+
+    def row(doc_id, key):
+        return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit(" "), F.hex(key))
+
+    kept = one.select(row(F.col("_o.doc_id"), F.col("_o.key")).alias("_row"))
+    names = list(docs.columns)
+    held = docs.select(F.struct(*names).alias("_doc"), row(F.col("doc_id"), text_key()).alias("_row"))
+    return held.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_doc.*")

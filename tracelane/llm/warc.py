@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .common import shared_dir, table, tune
+from .common import shared_dir, store, table, tune
 
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 COLUMNS = ["record_id", "record_type", "target_uri", "page_id", "payload_bytes", "payload_digest", "refers_to", "payload"]
@@ -33,17 +33,6 @@ PARTITION_BYTES, FILE_BYTES, HEAD = 64 << 20, 256 << 20, 4096
 EPOCH = "1970-01-01T00:00:00Z"
 
 
-def store(path: str):
-    """(file system, path in it) of a URI."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
