@@ -6,6 +6,7 @@ import math
 import random
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pytest
@@ -62,7 +63,49 @@ def test_language_accuracy_and_filter(spark):
     keys = np.arange(1000, dtype=np.uint64) * np.uint64(977)
     masks = np.where(keys % 2 == 0, 1, 2).astype(np.uint64)
     f = langid.LanguageFilter(["a", "b"], keys, masks)
-    assert ((f.languages_of(keys).astype(np.uint64) & masks) == masks).all()  # no false negatives
+    assert ((f.languages_of(keys)[:, 0].astype(np.uint64) & masks) == masks).all()  # no false negatives
+
+
+def test_counts_are_corrected_for_false_positives():
+    """Scores against plain sets: hits of a text's n-grams less the share that an overfull filter adds."""
+    rng = np.random.default_rng(2)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    words = {"a": [letters(6) for _ in range(300)], "b": [letters(6) for _ in range(300)]}
+    of = lambda s: [p[i : i + 4] for p in [f" {s}   "] for i in range(len(s)) if p[i + 1] != " "]
+    grams = {x: set(of(" ".join(ws * 3))) for x, ws in words.items()}
+    keys = sorted(grams["a"] | grams["b"])
+    number = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(k)) for k in keys], np.uint64)
+    f = langid.LanguageFilter(["a", "b"], number, np.array([(k in grams["a"]) | (k in grams["b"]) << 1 for k in keys], np.uint64))
+    text = " ".join(rng.choice(words["a"], 60).tolist() + [letters(6) for _ in range(40)])
+    own = of(text)
+    (name,), (score,) = f.predict([text])
+    assert name == "a" and abs(score - sum(g in grams["a"] for g in own) / len(own)) < 0.03
+    assert 0 < f.false_rate[0] < 0.2
+
+
+def test_more_than_64_languages(spark):
+    r = random.Random(8)
+    alphabet = "".join(chr(c) for c in range(0x0430, 0x0450)) + "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{i:02}": ["".join(r.choices(alphabet, k=7)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(r.choices(vocabulary[f"l{i % 70:02}"], k=20)), f"l{i % 70:02}") for i in range(560)]
+    model = langid.train(spark.createDataFrame(rows[:490], "doc_id long, text string, lang string"))
+    assert len(model.languages) == 70 and model.predict([t for _, t, _ in rows[490:]])[0] == [x for *_, x in rows[490:]]
+
+
+def test_a_rare_language_is_learnt(spark):
+    rows = [(i, t, x) for i, t, x in language_rows(900) if x != "fr" or i < 60]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=30)
+    assert set(model.languages) == {"en", "de", "fr"}
+
+
+def test_language_query(spark, tmp_path):
+    rows = [*[(i, t, x, "s") for i, t, x in language_rows(120)], (500, None, "en", "s"), (None, "the thing", "en", "s"), (501, "42 !", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    held = {r.doc_id: (r.held_out, r.lang_pred) for r in got.collect()}
+    assert len(held) == 123 and held[500][1] == held[501][1] == "und" and held[None] == (False, "en")
+    assert all(held[i][0] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in held if i is not None)
 
 
 def test_language_hard(spark):

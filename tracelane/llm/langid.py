@@ -1,10 +1,10 @@
 """Language identification with language-bitmask n-gram filters.
 
-A Bloom filter is bit-sliced: each of its positions holds a word with one bit per language, so the AND of a few positions gives at
-once all languages that contain an n-gram. Per language the hits of a text's n-grams are counted, corrected for the share of false
+A Bloom filter is bit-sliced: each of its positions holds one bit per language (words of 64), so the AND of a few positions gives at
+once all languages that contain an n-gram, however many there are. Per language the hits of a text's n-grams are counted, corrected for the share of false
 positives that the filter's fill gives that language, and the largest count decides (ties: the smaller name).
 
-Training: a bounded sample of labelled rows (`train_rows`). A language contains an n-gram (4 folded characters, spaces at word ends)
+Training: a bounded sample of the labelled rows of each language (`train_rows` of each), so a rare language is learnt too. A language contains an n-gram (4 folded characters, spaces at word ends)
 if it occurs at least `least` times there, at a rate of at least `share` of the rate in the language where it is most frequent.
 Null or empty texts, and texts without letters, are `und` with score 0. Without any labelled row every text is `und`.
 """
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_hash_mod, packs, table, tune
+from .common import id_hash_mod, packs, table, tune
 
-N, HASHES, BITS_PER_GRAM, TRAIN_ROWS, LEAST, SHARE = 4, 3, 16, 12000, 3, 0.2
+N, HASHES, BITS_PER_GRAM, TRAIN_ROWS, LEAST, SHARE = 4, 3, 16, 3000, 3, 0.2
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 SPACES = np.uint64(0x0020002000200020)
 
@@ -38,22 +38,27 @@ def useful(keys: np.ndarray) -> np.ndarray:
 
 
 class LanguageFilter:
+    """masks: (n-grams, words of 64 languages), a bit per language."""
+
     def __init__(self, languages: list[str], keys: np.ndarray, masks: np.ndarray):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
         self.languages = languages
         self.bits = max(10, int(np.ceil(np.log2(max(1, keys.size) * BITS_PER_GRAM))))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        self.slices = np.zeros(1 << self.bits, dtype=kind)
+        self.slices = np.zeros((1 << self.bits, max(1, -(-len(languages) // 64))), dtype=kind)
         for h in range(HASHES):
-            np.bitwise_or.at(self.slices, self._at(keys, h), masks.astype(kind))
-        fill = np.array([((self.slices >> kind(b)) & kind(1)).mean() for b in range(len(languages))])
-        self.false_rate = fill**HASHES
+            np.bitwise_or.at(self.slices, self._at(keys, h), masks.reshape(-1, self.slices.shape[1]).astype(kind))
+        self.false_rate = np.array([self._bit(self.slices, b).mean() for b in range(len(languages))]) ** HASHES
+
+    @staticmethod
+    def _bit(words: np.ndarray, b: int) -> np.ndarray:
+        """Whether each row of words has language b."""
+        return (words[:, b // 64] >> words.dtype.type(b % 64)) & words.dtype.type(1)
 
     def _at(self, keys: np.ndarray, h: int) -> np.ndarray:
         return ((keys * _MULTIPLIERS[h]) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def languages_of(self, keys: np.ndarray) -> np.ndarray:
+        """A row of words per key: the languages that contain it, and false positives."""
         found = self.slices[self._at(keys, 0)]
         for h in range(1, HASHES):
             found &= self.slices[self._at(keys, h)]
@@ -66,9 +71,9 @@ class LanguageFilter:
         for first, last, codes, starts in packs([t or "" for t in texts], 1):
             keys = grams(codes)
             use = useful(keys)
-            found = self.languages_of(keys) * use.astype(self.slices.dtype)
+            found = self.languages_of(keys) * use.astype(self.slices.dtype)[:, None]
             n = np.add.reduceat(use, starts, dtype=np.int64)
-            hits = np.stack([np.add.reduceat((found >> self.slices.dtype.type(b)) & self.slices.dtype.type(1), starts, dtype=np.int64) for b in range(len(self.languages))])
+            hits = np.stack([np.add.reduceat(self._bit(found, b), starts, dtype=np.int64) for b in range(len(self.languages))])
             fixed = np.maximum(0, hits - n * self.false_rate[:, None]) / (1 - self.false_rate[:, None])
             best = np.argmax(fixed, axis=0)
             for i in np.flatnonzero(n):
@@ -93,9 +98,18 @@ def count_grams(batches):
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * keys.size, pa.string()), "gram": keys.astype(np.int64), "n": n.astype(np.int64)})
 
 
+def sampled(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """About train_rows rows of each language (all, if it has fewer), chosen by a hash of doc_id: the same rows in every run."""
+    counts = labelled.groupBy("lang").count().collect()  # a row per language
+    share = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, train_rows / r["count"])))]
+    if not share:
+        return labelled
+    return labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * F.element_at(F.create_map(*share), F.col("lang")))
+
+
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageFilter:
     """labelled: doc_id, text, lang. What reaches the driver are the frequent n-grams of the sample."""
-    rows = bounded(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", train_rows).select("text", "lang")
+    rows = sampled(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), train_rows).select("text", "lang")
     counted = rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
     if not languages:
@@ -106,12 +120,15 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageFilter:
     n[which, at] = counted.column("n").to_numpy()
     rates = n / np.maximum(1, n.sum(axis=1, keepdims=True))
     holds = (rates > 0) & (rates >= SHARE * rates.max(axis=0))
-    masks = (holds.astype(np.uint64) << np.arange(len(languages), dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
+    masks = np.zeros((keys.size, -(-len(languages) // 64)), np.uint64)
+    for b, held in enumerate(holds):
+        masks[held, b // 64] |= np.uint64(1) << np.uint64(b % 64)
     return LanguageFilter(languages, keys, masks)
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score."""
+    tune(docs.sparkSession)
 
     def predict(batches):
         for batch in batches:
