@@ -334,6 +334,59 @@ def test_forms_that_the_corpus_itself_holds_are_added(spark):
     assert not model.find(["on 2024-01-02, version 3.14.15, 1990-1995, card 4111 1111 1111 1112, order 12345678, is at home dot now"])[0][1]
 
 
+def test_candidates_include_reformatted_spans():
+    """The generators' recall on base spans in other forms, alone and among other numbers."""
+    r = random.Random(6)
+    hit = total = 0
+    for i in range(400):
+        text = f"write to {r.choice('abc')}{i}@host{i % 7}.example.org or +{r.randrange(1, 99)} ({r.randrange(200, 999)}) 555-{1000 + i}, host {i % 256}.{r.randrange(256)}.0.{r.randrange(256)}, card 4111 1111 1111 1111 ok"
+        for base in pii.base_spans(text):
+            for t, span in pii.variants(text, base):
+                total, hit = total + 1, hit + (span in set(pii.proposals(t)) | set(pii.base_spans(t)))
+    assert total > 4000 and hit / total > 0.97
+    assert [(s, e) for s, k, e in pii.proposals("call 555-123-4567 555-123-4568 555-123-4569 today") if k == 3] == [(5, 17), (18, 30), (31, 43)]
+
+
+def test_planted_addresses_are_added(spark):
+    """Trained on a table of base spans, the trees add addresses in forms that no base pattern fits, and leave times and versions alone."""
+    r = random.Random(9)
+    rows = [(i, f"see host {r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{i % 256} at 12:{i % 60:02}:33 in v{i % 9}.{i % 7}.2, mail x{i}@y{i % 5}.org or call +1 (555) 555-{1000 + i}") for i in range(300)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    for i in range(40):
+        form = [f"10[.]{i}[.]7[.]{200 - i}", f"2001:db8:{i:x}c::{i + 17:x}f", f"192 dot 168 dot {i} dot 9"][i % 3]
+        text = f"the server at {form} was up at 12:30:{i:02}, build 3.{i}.1"
+        (_, added), = model.find([text])
+        assert [(text[s:e], k) for s, k, e in added] == [(form, 1)]
+
+
+def test_very_long_texts_of_personal_data_are_linear(spark):
+    import time
+
+    class Sure:
+        def predict(self, x):
+            return np.ones(len(x))
+
+    unit = "call 555-123-4567 or x@y.org, mail bob at example dot org, +1 (555) 555-0199 and 10.0.0.1; card 4111 1111 1111 1111 2024 77. "
+    model, took = pii.SpanModel(Sure(), [0.5] * 4), []
+    for n in (500, 5000):
+        began = time.perf_counter()
+        (base, added), = model.find([unit * n])
+        assert len(base) == 3 * n and len(added) >= 2 * n and len(pii.redact(unit * n, base + added)) > n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0]
+
+
+def test_pii_query(spark, tmp_path):
+    rows = [(1, "x@y.org 10.0.0.1 +1 555 555 0199", "a"), (2, None, None), (3, "4111-1111-1111-1111 é x@y.org", "b"), (None, "", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.query(spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        base = plain_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x == n for _, x, _ in base) for n in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        assert got[i].spans.startswith(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)[:5])
+
+
 def test_pii_hard(spark):
     model = pii.train(hard_documents(spark))
     rows = {r.doc_id: r.base_spans for r in pii.find(hard_documents(spark).select("doc_id", "text"), model).collect()}
@@ -362,6 +415,24 @@ def test_pieces_equal_the_library_and_decode(spark):
         assert stepped.encode([t])[0].tolist() == ids[at[i] : at[i + 1]].tolist()
 
 
+def test_runs_of_blanks_and_words_without_end(monkeypatch):
+    import time
+
+    import sentencepiece
+
+    library, e = sentencepiece.SentencePieceProcessor(model_file=spm.default_model()), spm.Encoder(spm.PieceModel())
+    r = random.Random(5)
+    texts = ["a" + " " * n + "b" for n in (2, 3, 17, 500, 3001)] + ["".join(r.choice("ab  \u2581") for _ in range(300)) for _ in range(30)]
+    assert [e.encode([t])[0].tolist() for t in texts] == [library.encode(t) for t in texts]
+    began = time.perf_counter()
+    assert len(e.encode([" " * 200_000])[0]) > 0
+    assert time.perf_counter() - began < 20
+    monkeypatch.setattr(spm, "KNOWN_CHARS", 20_000)
+    for i in range(12):  # words of thousands of characters aren't kept for ever
+        e.encode([f"{i}" + "xyz" * 3000])
+        assert e.chars <= 30_000 and len(e.known) < 8
+
+
 def test_pieces_hard(spark):
     model = spm.PieceModel()
     rows = spm.encode(hard_documents(spark), model).collect()

@@ -17,6 +17,7 @@ blanks in its place; all others decode to themselves. The model's path is a para
 from __future__ import annotations
 
 import re
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import HashTable, table, tune
 
 BLANK, SEPARATOR = "▁", 0
-INDEX_CHARS, KNOWN_WORDS, GROUP_CHARS, MEMO_BITS = 1 << 18, 300_000, 1 << 19, 20
+INDEX_CHARS, KNOWN_WORDS, KNOWN_CHARS, GROUP_CHARS, MEMO_BITS = 1 << 18, 300_000, 1 << 22, 1 << 19, 20
 _WORD = re.compile(r"▁*[^▁]+|▁+")
 
 
@@ -38,18 +39,32 @@ def default_model() -> str:
 
 
 def merge(word: str, ids: dict, rank: np.ndarray) -> list[tuple[str, tuple | None]]:
-    """Merges of lowest rank first, the leftmost first among equal ones: (piece, its two parts or None)."""
-    parts: list[tuple[str, tuple | None]] = [(c, None) for c in word]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            k = ids.get(parts[i][0] + parts[i + 1][0])
-            if k is not None and (best is None or rank[k] < best):
-                best, at = rank[k], i
-        if best is None:
-            break
-        parts[at : at + 2] = [(parts[at][0] + parts[at + 1][0], (parts[at][0], parts[at + 1][0]))]
-    return parts
+    """Merges of lowest rank first, the leftmost first among equal ones: (piece, its two parts or None). A heap of neighbours that may merge, a
+    list linked by places: n log n."""
+    n = len(word)
+    parts: list = [(c, None) for c in word]
+    before, after, heap = list(range(-1, n - 1)), list(range(1, n + 1)), []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            whole = parts[i][0] + parts[after[i]][0]
+            k = ids.get(whole)
+            if k is not None:
+                heappush(heap, (rank[k], i, after[i], whole))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, j, whole = heappop(heap)
+        if parts[i] is None or parts[j] is None or after[i] != j or parts[i][0] + parts[j][0] != whole:
+            continue  # a part has merged with another since
+        parts[i], parts[j] = (whole, (parts[i][0], parts[j][0])), None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None]
 
 
 class PieceModel:
@@ -97,7 +112,7 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes words with a PieceModel; keeps what it has learnt about pairs of pieces, and a bounded number of words."""
+    """Encodes words with a PieceModel; keeps what it has learnt about pairs of pieces, and a bounded number of words and of their characters."""
 
     def __init__(self, model: PieceModel):
         self.m = model
@@ -117,6 +132,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.at, self.filled = np.empty(1 << 18, np.int32), [0], 0
 
     # -- the suffix array and the pieces' ranges in it
@@ -306,12 +322,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:  # a text without blanks is one word
             self.forget()
         split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             self.learn(sorted(new))
+            self.chars += sum(map(len, new))
         known = self.known
         numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
         at = np.asarray(self.at)
@@ -367,6 +384,7 @@ def _groups(texts: list[str | None]):
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, ids (null for null), and whether decoding the ids gives the text again."""
+    tune(docs.sparkSession)
     shared = _Shared(docs.sparkSession, model)
 
     def scan(batches):
@@ -392,6 +410,7 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """encoded: doc_id, ids. Returns doc_id, text."""
+    tune(encoded.sparkSession)
     shared = _Shared(encoded.sparkSession, model)
 
     def scan(batches):
