@@ -4,12 +4,14 @@ Two models of order 5 (toxic, ordinary) are learnt from all labelled training ro
 one shared lower-order model, which is made of continuation counts (distinct left contexts) pooled over both classes: an expression that
 neither class knows gets the same probability from both, and counts for neither. The context of a character is what precedes it in its
 word. A text is judged by its length-normalised log-likelihood ratio, as a whole and in its two worst words (each held within +-CLIP); a
-logistic fit on a bounded sample of training rows turns these into a score. The fit is cross-fitted: the ratios of a sample row come from
+logistic fit on a bounded sample of each class's training rows, its intercept corrected by the classes' true counts, turns these into a
+score. The fit is cross-fitted: the ratios of a sample row come from
 models without the texts of its fold, so that it meets texts as a new text is met; copies share a fold.
 
 Counting runs where the rows lie (one pass per partition, then a sum by n-gram) and keeps every n-gram. Up to `model_grams` distinct ones
 the model is made on the driver and broadcast. Beyond, it stays a table (`model_table`): the ratios of distinct words are looked up by
-joins, and texts join their words (`looked_up`). Both ways give the same scores.
+joins, and texts join their words (`looked_up`). Both ways hold the same numbers in double precision and give the same scores but for
+the last digits. In these joins, keys with more than 1 / HOT of the rows (so fewer than HOT keys) are looked up in a broadcast table.
 Null and empty texts have ratios of 0. Labels that repeat an id count by their maximum; rows without a known class score the base rate.
 """
 
@@ -23,25 +25,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HashTable, bounded, cut, folded, id_hash_mod, packs, table, tune
+from .common import HashTable, cut, folded, id_hash_mod, packs, table, tune
 
 ORDER, DISCOUNT, CLIP, THRESHOLD, FOLDS = 5, 0.75, 8.0, 0.7, 5
-MODEL_GRAMS, FIT_ROWS, SALTS = 1 << 20, 8000, 32
-_CODE = np.uint64(0xFFF)
+MODEL_GRAMS, FIT_ROWS, HOT = 1 << 20, 4000, 1024
+#: Bits of a gram's last character, and of each before it.
+LAST, EACH = 16, 12
+
+
+def _before() -> np.ndarray:
+    """EACH bits for every code: itself below 0x800, which holds blanks and the alphabets of few letters; above, a hash that shares no value with those."""
+    codes = np.arange(1 << 16)
+    return np.where(codes < 0x800, codes, 0x800 + (codes * 40503 >> 5) % 0x800).astype(np.uint64)
+
+
+_BEFORE = _before()
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """The ORDER characters that end at each position, 12 bits each, those before its word as spaces; codes beyond 12 bits share values."""
-    small = np.concatenate((np.full(ORDER - 1, 32, np.uint16), codes & np.uint16(0xFFF)))
-    out = small[ORDER - 1 :].astype(np.uint64)
+    """The ORDER characters that end at each position, the last one exactly, those before its word as blanks."""
+    wide = np.concatenate((np.full(ORDER - 1, 32, np.uint16), codes))
+    out = codes.astype(np.uint64)
     inside = np.ones(codes.size, dtype=bool)
     for i in range(1, ORDER):
-        before = small[ORDER - 1 - i : small.size - i]
+        before = wide[ORDER - 1 - i : wide.size - i]
         inside &= before != 32
-        out |= np.where(inside, before, np.uint16(32)).astype(np.uint64) << np.uint64(12 * i)
+        out |= np.where(inside, _BEFORE[before], np.uint64(32)) << np.uint64(LAST + EACH * (i - 1))
     return out
 
 
+def bits(order: int) -> int:
+    """Of a gram's last `order` characters."""
+    return LAST + EACH * (order - 1)
+
+
 def useful(codes: np.ndarray) -> np.ndarray:
     """Letters, and the one space after a letter."""
     letter = codes != 32
@@ -90,11 +107,11 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def shared_model(keys: np.ndarray, order: int) -> np.ndarray:
     """Kneser-Ney probabilities of the last character of each key (distinct grams of `order` + 1 characters) given the ones before it,
     without the first: from the number of distinct characters before the shorter gram, pooled over the classes."""
-    short = keys & np.uint64((1 << (12 * order)) - 1)
+    short = keys & np.uint64((1 << bits(order)) - 1)
     unique, at, lefts = np.unique(short, return_inverse=True, return_counts=True)
     if order == 1:
         return (lefts / lefts.sum())[at]
-    total, kinds = _sums(unique >> np.uint64(12), lefts.astype(np.float64))
+    total, kinds = _sums(unique >> np.uint64(LAST), lefts.astype(np.float64))
     lower = shared_model(unique, order - 1)
     return ((np.maximum(lefts - DISCOUNT, 0) + DISCOUNT * kinds * lower) / total)[at]
 
@@ -107,7 +124,7 @@ class ToxicityModel:
         some = counts.sum(axis=0) > 0
         keys, counts = keys[some], counts[:, some]
         shared = shared_model(keys, ORDER - 1) if keys.size else np.empty(0)
-        context = keys >> np.uint64(12)
+        context = keys >> np.uint64(LAST)
         ratio, rest = np.zeros(keys.size), np.zeros(keys.size)
         for c, sign in ((1, 1.0), (0, -1.0)):
             total, kinds = _sums(context, counts[c].astype(np.float64)) if keys.size else (ratio, ratio)
@@ -115,9 +132,9 @@ class ToxicityModel:
             p = np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(total, 1) + left * shared
             ratio += sign * np.log(np.maximum(p, 1e-12))
             rest += sign * np.log(np.maximum(left, 1e-12))
-        self.keys, self.ratio = keys, np.clip(ratio, -CLIP, CLIP).astype(np.float32)
+        self.keys, self.ratio = keys, np.clip(ratio, -CLIP, CLIP)
         self.contexts, where = np.unique(context, return_index=True)
-        self.rest = np.clip(rest[where], -CLIP, CLIP).astype(np.float32)
+        self.rest = np.clip(rest[where], -CLIP, CLIP)
         self.weights = np.zeros(5)
         self._tables = None
 
@@ -127,7 +144,7 @@ class ToxicityModel:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """(n, 4): mean log ratio of a text's characters, log ratios of its two worst words, and the share of words with a ratio above 2."""
         if self._tables is None:
-            self._tables = HashTable(self.keys, self.ratio, np.float32(0)), HashTable(self.contexts, self.rest, np.float32(0))
+            self._tables = HashTable(self.keys, self.ratio, 0.0), HashTable(self.contexts, self.rest, 0.0)
         out = np.zeros((len(texts), 4))
         for first, last, codes, starts in packs([t or "" for t in texts], 1):
             at = np.flatnonzero(useful(codes))
@@ -136,13 +153,13 @@ class ToxicityModel:
             keys = grams(codes)[at]
             ratio, known = self._tables[0].get(keys)
             miss = np.flatnonzero(~known)
-            ratio[miss] = self._tables[1].get(keys[miss] >> np.uint64(12))[0]
+            ratio[miss] = self._tables[1].get(keys[miss] >> np.uint64(LAST))[0]
             begins = np.flatnonzero(np.concatenate(([True], codes[at[:-1]] == 32)))  # of words, in `at`
-            words = np.clip(np.add.reduceat(ratio.astype(np.float64), begins), -CLIP, CLIP)
+            words = np.clip(np.add.reduceat(ratio, begins), -CLIP, CLIP)
             owner = np.searchsorted(starts, at[begins], side="right") - 1
             some = np.unique(owner)  # texts with words
             edges = np.searchsorted(owner, some)
-            chars = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=last - first)
+            chars = np.bincount(owner, weights=np.diff(np.append(begins, at.size)), minlength=last - first)  # a word's blank is its text's
             n = np.bincount(owner, minlength=last - first)
             out[first:last, 0] = np.bincount(owner, weights=words, minlength=last - first) / np.maximum(chars, 1)
             top = np.maximum.reduceat(words, edges)
@@ -178,7 +195,7 @@ def clipped(c: Column, most: float) -> Column:
 
 def model_table(counted: DataFrame) -> DataFrame:
     """The models as a table, for any number of grams: gram, ratio0.., rest0..; 0 is the model of all texts, f + 1 the one without fold f.
-    A ratio is null where the model lacks the gram. Groups are the grams of one context or one suffix, 4,096 at most."""
+    A ratio is null where the model lacks the gram. Groups are the grams of one context or one suffix, 65,536 at most."""
     models = range(FOLDS + 1)
     of = {(c, m): sum((F.col(f"{c}{f}") for f in range(FOLDS) if f != m - 1), F.lit(0)) for c in ("ordinary", "toxic") for m in models}
     full = counted.select("gram", *[n.alias(f"{c}_{m}") for (c, m), n in of.items()])
@@ -187,14 +204,14 @@ def model_table(counted: DataFrame) -> DataFrame:
         return (c > 0).cast("long")
 
     def suffix(order: int) -> Column:
-        return F.col("gram").bitwiseAND(F.lit((1 << (12 * order)) - 1))
+        return F.col("gram").bitwiseAND(F.lit((1 << bits(order)) - 1))
 
     lefts = {ORDER - 1: full.groupBy(suffix(ORDER - 1).alias("gram")).agg(*[F.sum(some(F.col(f"ordinary_{m}") + F.col(f"toxic_{m}"))).alias(f"l{m}") for m in models])}
     for k in range(ORDER - 2, 0, -1):
         lefts[k] = lefts[k + 1].groupBy(suffix(k).alias("gram")).agg(*[F.sum(some(F.col(f"l{m}"))).alias(f"l{m}") for m in models])
-    every = Window.partitionBy()  # over single characters: 4,096 rows at most
+    every = Window.partitionBy()  # over single characters: 65,536 rows at most
     lower = lefts[1].select(F.col("gram").alias("_s"), *[(F.col(f"l{m}") / F.greatest(F.lit(1), F.sum(f"l{m}").over(every))).alias(f"p{m}") for m in models])
-    same = Window.partitionBy(F.shiftright("gram", 12))
+    same = Window.partitionBy(F.shiftrightunsigned("gram", LAST))
     for k in range(2, ORDER):
         held = lefts[k].join(lower, suffix(k - 1) == F.col("_s")).drop("_s")
         share = lambda m: (F.greatest(F.col(f"l{m}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.sum(some(F.col(f"l{m}"))).over(same) * F.col(f"p{m}")) / F.greatest(F.lit(1), F.sum(f"l{m}").over(same))
@@ -209,7 +226,7 @@ def model_table(counted: DataFrame) -> DataFrame:
             left = F.when(total > 0, DISCOUNT * F.sum(some(n)).over(same) / F.greatest(total, F.lit(1))).otherwise(1.0)
             ratio += sign * F.log(F.greatest(F.lit(1e-12), F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + left * F.col(f"p{m}")))
             rest += sign * F.log(F.greatest(F.lit(1e-12), left))
-        out += [F.when(F.col(f"toxic_{m}") + F.col(f"ordinary_{m}") > 0, clipped(ratio, CLIP).cast("float")).alias(f"ratio{m}"), clipped(rest, CLIP).cast("float").alias(f"rest{m}")]
+        out += [F.when(F.col(f"toxic_{m}") + F.col(f"ordinary_{m}") > 0, clipped(ratio, CLIP)).alias(f"ratio{m}"), clipped(rest, CLIP).alias(f"rest{m}")]
     return held.select("gram", *out)
 
 
@@ -235,17 +252,30 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def joined(rows: DataFrame, key: Column, found: DataFrame, key_name: str) -> DataFrame:
+    """rows left-joined with found on key == key_name (distinct there, dropped). rows: read more than once. Keys that hold more than 1 / HOT of rows are
+    fewer than HOT; their rows meet a broadcast of so many."""
+    keyed = rows.withColumn("_key", key)
+    least = rows.count() / HOT
+    hot = keyed.where(F.col("_key").isNotNull()).groupBy("_key").count().where(F.col("count") > least).select(F.col("_key").alias("_hot"))  # under HOT rows
+    near = F.broadcast(found.join(F.broadcast(hot), F.col(key_name) == F.col("_hot"), "left_semi"))
+    marked = keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+    often = marked.where(F.col("_hot").isNotNull()).join(near, F.col("_key") == F.col(key_name), "left")
+    rest = marked.where(F.col("_hot").isNull()).join(found.hint("merge"), F.col("_key") == F.col(key_name), "left")
+    return often.unionByName(rest).drop("_key", "_hot", key_name)
+
+
 def looked_up(texts: DataFrame, grams_table: DataFrame, m: int) -> DataFrame:
     """texts: key, text (equal keys: equal texts). Returns key, x0..x3, the features of ToxicityModel, of the distinct texts that have words.
-    Frequent words are dealt to SALTS tasks; a text's group holds its distinct words."""
+    A text's group holds its distinct words."""
     counted = cut(texts.select("key", "text").mapInArrow(text_words, "key binary, word binary, n long").groupBy("key", "word").agg(F.max("n").alias("n")))
-    parts = counted.select("word").distinct().mapInArrow(word_grams, "word binary, gram long, n long")
+    parts = cut(counted.select("word").distinct().mapInArrow(word_grams, "word binary, gram long, n long"))
     known = grams_table.select(F.col("gram").alias("_g"), F.col(f"ratio{m}").alias("ratio"))
-    rests = grams_table.groupBy(F.shiftright("gram", 12).alias("_c")).agg(F.max(f"rest{m}").alias("rest"))
-    found = parts.join(known, F.col("gram") == F.col("_g"), "left").join(rests, F.shiftright("gram", 12) == F.col("_c"), "left")
-    judged = found.groupBy("word").agg(clipped(F.sum(F.col("n") * F.coalesce("ratio", "rest", F.lit(0.0)).cast("double")), CLIP).alias("r"))
-    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    words = counted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(judged, ["word", "salt"])
+    rests = grams_table.groupBy(F.shiftrightunsigned("gram", LAST).alias("_c")).agg(F.max(f"rest{m}").alias("rest"))
+    found = cut(joined(parts, F.col("gram"), known, "_g"))
+    found = joined(found, F.shiftrightunsigned("gram", LAST), rests, "_c")
+    judged = cut(found.groupBy("word").agg(clipped(F.sum(F.col("n") * F.coalesce("ratio", "rest", F.lit(0.0))), CLIP).alias("r")).withColumnRenamed("word", "_w"))
+    words = joined(counted, F.col("word"), judged, "_w")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("r"), "word"))
     sums = words.withColumn("_i", rank).groupBy("key").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("sum"), F.sum(F.col("n") * (F.octet_length("word") / 2 + 1)).alias("chars"), F.sum(F.when(F.col("r") > 2, F.col("n")).otherwise(0)).alias("many"),
@@ -270,14 +300,24 @@ class TableModel:
         return held.select("_d.*", F.coalesce("_s", F.lit(float(none))).alias(name))
 
 
+def sampled(known: DataFrame, fit_rows: int) -> tuple[DataFrame, float]:
+    """About fit_rows labels of each class, chosen by a hash of the id: the same in every run; and what to add to an intercept that is fitted on them."""
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    share = {c: min(1.0, fit_rows / counts[c]) if c in counts else 1.0 for c in (0, 1)}
+    kept = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * F.when(F.col("toxic") > 0, share[1]).otherwise(share[0])
+    return known.where(kept), float(np.log(share[0] / share[1]))
+
+
 def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fit_rows: int = FIT_ROWS) -> ToxicityModel | TableModel:
-    """docs: doc_id, text; labels: doc_id, toxic. Counts come from all rows that have both; only the logistic fit takes a sample."""
+    """docs: doc_id, text; labels: doc_id, toxic. Counts come from all rows that have both; only the logistic fit takes a sample, fit_rows of each class."""
+    tune(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     # labels grow with the documents: the join is by key at every size, never one that ships a side whole
     rows = texts.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") * FOLDS + F.col("fold")).alias("cell"))
     counted = cut(rows.mapInArrow(count_grams, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]))
-    sample = texts.join(bounded(known, "_id", fit_rows), F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic")
+    chosen, shift = sampled(known, fit_rows)
+    sample = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic")
     if counted.count() > model_grams:
         model = TableModel(cut(model_table(counted)))
         sample = cut(sample.withColumn("key", text_key(F.col("text"))))
@@ -288,20 +328,28 @@ def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fi
         keys = kept.column("gram").to_numpy()
         counts = np.stack([kept.column(c).to_numpy() for c in COUNTS]).reshape(2, FOLDS, keys.size)
         model = ToxicityModel(keys, counts.sum(axis=1))
-        without = docs.sparkSession.sparkContext.broadcast([ToxicityModel(keys, counts.sum(axis=1) - counts[:, f]) for f in range(FOLDS)])  # model_grams entries each
+        shared = docs.sparkSession.sparkContext.broadcast((keys, counts))  # model_grams entries
 
         def measured(batches):
+            without, made = None, None
             for batch in batches:
                 texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
                 x = np.zeros((len(texts), 4))
-                for f in np.unique(folds):
+                for f in np.unique(folds).tolist():
+                    if f != made:  # one model at a time; a task's rows come fold by fold
+                        keys, counts = shared.value
+                        without, made = ToxicityModel(keys, counts.sum(axis=1) - counts[:, f]), f
                     own = np.flatnonzero(folds == f)
-                    x[own] = without.value[f].features([texts[i] for i in own])
+                    x[own] = without.features([texts[i] for i in own])
                 yield pa.RecordBatch.from_pydict({f"x{i}": x[:, i] for i in range(4)} | {"toxic": batch.column("toxic")})
 
-        points = sample.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
-        without.destroy()
-    model.weights = fitted(np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float))
+        by_fold = sample.repartition(FOLDS, "fold").sortWithinPartitions("fold")  # the bounded sample
+        points = by_fold.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
+        shared.destroy()
+    x, y = np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))
+    model.weights = fitted(x[order], y[order])
+    model.weights[0] += shift
     return model
 
 
@@ -311,6 +359,7 @@ def score(docs: DataFrame, model: ToxicityModel | TableModel, name: str = "score
         return model.score(docs, name)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    tune(docs.sparkSession)
     text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most model_grams entries
 
