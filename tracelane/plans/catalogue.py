@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import detectors as D
 from ..operators import ranges as R
 from ..operators.similarity import similar_pairs
+from ..shared import scratch
 from ..sources import traces as T
 from ..streaming.monitor import new_keys
 from .policy import Policy, filter_traces, pending_only
@@ -375,11 +376,9 @@ add("tool_params_cross_reference", _tool_params, "SELECT DISTINCT user_id, event
 
 def _stream(spark, sf_dir):
     """The monitor over a stream: errors of all events, fed in two batches by time, each reported once."""
-    import uuid
-
     from ..streaming.monitor import watch
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     calls = T.calls(read(spark, sf_dir, "events"))
     half = calls.withColumn("part", F.when(F.col("pos") < 4, 0).otherwise(1))
     for k in (0, 1):
