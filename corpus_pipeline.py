@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelane.llm import mixing, ngram_join, pii, spm, toxicity
-from tracelane.llm.common import shared_dir
+from tracelane.llm.common import scratch
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -23,7 +21,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the others' results lie in the shared folder while they are needed."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)

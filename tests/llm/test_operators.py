@@ -581,16 +581,63 @@ def test_compaction(spark, tmp_path):
     rows = [(i, f"text {i} " + "".join(random.Random(i).choices("abcdef", k=300)), None, "s", i) for i in range(900)]
     for k in range(3):
         s.append(spark.createDataFrame(rows[k * 300 : (k + 1) * 300], DOC).coalesce(1), rows_per_file=30)
-    before = s.manifest()
-    after = s.compact(keep_old=True)
+    before, held = s.manifest(), s.read()
+    after = s.compact()
     assert len(before["shards"]) == 30 and len(after["shards"]) < 15 and after["version"] > before["version"]
     assert sorted(tuple(r) for r in s.read().collect()) == sorted(rows, key=lambda r: r[0]) == sorted(tuple(r) for r in s.read(before["version"]).collect())
-    with pytest.raises(Exception):  # noqa: B017  another writer took this version
+    with pytest.raises(sharding.Conflict):  # another writer took this version
         s.commit(before, after["schema"], [])
-    hard = sharding.ShardStore(spark, f"file://{tmp_path}/h")
-    hard.append(hard_documents(spark))
-    hard.compact()
-    assert hard.read().count() == 11
+    assert held.count() == 900 and s.vacuum(keep=1) == 30 and s.versions() == [after["version"]] and s.read().count() == 900  # a reader of the older version lasts until then
+    hard = sharding.ShardStore(spark, f"file://{tmp_path}/h", fanout=2)
+    for _ in range(2):
+        hard.append(hard_documents(spark).selectExpr("*", "timestamp'2020-01-02 03:04:05' as t", "array(1.5d, null) as a", "map('k', 1) as m", "cast(1.25 as decimal(9, 2)) as d"), rows_per_file=3)
+    plain = sorted(map(str, hard.read().collect()))
+    hard.compact(keep=1)
+    assert len(hard.manifest()["shards"]) < 6 and sorted(map(str, hard.read().collect())) == plain and len(plain) == 22
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """Arrivals and merges of two writers: a commit that loses is made again, and the manifest is folded after many segments."""
+    monkeypatch.setattr(sharding, "SEGMENTS", 3)
+    one, two = (sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=40_000, fanout=3) for _ in range(2))
+    docs = lambda lo: spark.createDataFrame([(i, f"text {i}", None, "s", i) for i in range(lo, lo + 20)], DOC).coalesce(1)
+    commit = sharding.ShardStore.commit
+
+    def late(self, *args):  # the other writer appends in between, once
+        if self is one and not done:
+            done.append(1)
+            two.append(docs(1000))
+        return commit(self, *args)
+
+    monkeypatch.setattr(sharding.ShardStore, "commit", late)
+    done = []
+    assert one.append(docs(0), rows_per_file=5)["version"] == 2
+    done.clear()
+    one.compact()
+    assert one.read().count() == 60 and len(one.manifest()["segments"]) <= 4
+    for k in range(6):
+        one.append(docs(2000 + 20 * k))
+    assert two.read().count() == 180 and len(two.manifest()["segments"]) <= 4
+    done.clear()
+
+    def steal(self, groups, schema):  # the other writer merges the same shards first
+        new = merge(self, groups, schema)
+        if self is one and not done:
+            done.append(1)
+            two.compact()
+        return new
+
+    merge = sharding.ShardStore._merge
+    monkeypatch.setattr(sharding.ShardStore, "_merge", steal)
+    one.compact()
+    assert one.read().count() == 180 == sum(s["rows"] for s in two.manifest()["shards"])
+
+
+def test_shard_query(spark, tmp_path):
+    rows = [(i, f"text {i % 7}" if i % 5 else None, None, "s", i, "x") for i in range(300)]
+    spark.createDataFrame(rows, DOC + ", shard string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.query(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300)) and len({r.shard for r in got}) <= 4 and len({r.version for r in got}) == 1
 
 
 # -- 8 and 10
@@ -713,7 +760,7 @@ def test_archives(spark, tmp_path):
     files, at = warc.store(folder)
     files.create_dir(at)
     warc.plan_records(spark.createDataFrame(rows, page)).write.format("warc").mode("append").save(folder)
-    got = spark.read.format("warc").load(folder).collect()
+    got = spark.read.format("warc").load(folder).where("record_type != 'warcinfo'").collect()
     first = {}
     for i, _, h, _ in rows:
         first[h or ""] = min([x for x in (first.get(h or ""), i) if x is not None], default=None)
@@ -726,12 +773,12 @@ def test_archives(spark, tmp_path):
     assert {r.payload for r in got if r.page_id == 5} == {("é" * 60_000).encode()}
     some = spark.read.format("warc").load(folder).where("record_type = 'revisit' and page_id > 1")
     assert sorted(r.page_id for r in some.collect()) == [2, 4, 6, 6]
-    heads = spark.read.format("warc").option("payload", "false").load(folder).where("page_id is null")
+    heads = spark.read.format("warc").option("payload", "false").load(folder).where("page_id is null and record_type <> 'warcinfo'")
     assert heads.count() == 2
     import gzip
 
     plain = b"".join(gzip.open(f).read() for f in tmp_path.glob("w/*.warc.gz"))  # ordinary gzip members
-    assert plain.count(b"WARC/1.1\r\n") == 9
+    assert plain.count(b"WARC/1.1\r\n") == 9 + plain.count(b"WARC-Type: warcinfo") > 9
 
 
 def test_pushed_filters_skip_payloads(monkeypatch):
@@ -743,6 +790,52 @@ def test_pushed_filters_skip_payloads(monkeypatch):
     assert asked == [0, 1, 2, 3, 4] and [c["page_id"] for c, _ in out] == [3] and warc.payload_of(out[0][1]) == b"x" * 50_000
 
 
+def foreign(kind, body, digest=None, http=True):
+    block = (b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" if http else b"") + body
+    heads = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nContent-Type: {'application/http;msgtype=response' if http else 'text/plain'}\r\n"
+    return (heads + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "") + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """No or other digests, names in gzip headers, plain files, and records that are no pages."""
+    import gzip
+    import io
+
+    warc.register(spark)
+    body = b"<p>hello</p>" * 3000
+    good = [foreign("warcinfo", b"software: x", http=False), foreign("response", body), foreign("response", body, "sha256:" + hashlib.sha256(body).hexdigest()), foreign("response", body, "md5:00"), foreign("resource", body, "sha1:" + warc.digest(body), http=False)]
+    plain, zipped = tmp_path / "_up" / "plain", tmp_path / "_up" / "zipped"
+    plain.mkdir(parents=True)
+    zipped.mkdir()
+    (plain / "a.warc").write_bytes(b"".join(good))
+    data = io.BytesIO()
+    for r in good:
+        with gzip.GzipFile("name of a file", "wb", fileobj=data) as f:
+            f.write(r)
+    (zipped / "a.warc.gz").write_bytes(data.getvalue())
+    for folder in (plain, zipped):
+        read = spark.read.format("warc").load(f"file://{folder}")
+        assert [r.record_type for r in read.collect()] == ["warcinfo", "response", "response", "response", "resource"]
+        assert [r.payload for r in read.where("record_type <> 'warcinfo'").collect()] == [body] * 4
+        assert spark.read.format("warc").option("payload", "false").load(f"file://{folder}").where("record_type = 'resource'").count() == 1
+    (plain / "b.warc").write_bytes(foreign("response", body, "sha1:" + warc.digest(b"other")))
+    with pytest.raises(Exception, match="payload digest differs"):
+        spark.read.format("warc").load(f"file://{plain}").collect()
+
+
+def test_archive_query(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"http://x/{i}", [None, "", "<p>same</p>", f"<p>{i}</p>"][i % 4]) for i in range(60)] + [(2, "again", "<p>same</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = warc.query(spark, str(tmp_path))
+    assert "PushedFilters: [In(record_type" in got._jdf.queryExecution().executedPlan().toString() or got.count() == 61
+    expect = db.sql(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({warc.ORACLE})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expect))
+
+
 def test_empty_pages(spark, tmp_path):
     folder = f"file://{tmp_path}/{uuid.uuid4().hex}"
     files, at = warc.store(folder)

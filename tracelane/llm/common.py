@@ -1,15 +1,15 @@
-"""What the corpus operators share: the shared folder, lineage cuts, packed text arrays, a hash table for numpy."""
+"""What the corpus operators share: lineage cuts, packed text arrays, a hash table for numpy."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane import bounded_batches
+from .. import bounded_batches
+from ..shared import scratch, shared_dir, store
+
+__all__ = ["HashTable", "cut", "scratch", "shared_dir", "store", "table", "tune"]
 
 BATCH_ROWS = 1000
 PACK_CHARS = 1 << 20
@@ -21,32 +21,6 @@ def tune(spark: SparkSession) -> None:
     bounded_batches(spark, BATCH_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new temporary one only where the session is local and names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
-        if not folder:
-            if not re.match(r"local(\[|$)", context.master):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-            folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def store(path: str):
-    """(file system, path in it) of a URI."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there: later jobs survive the loss of executors."""
     shared_dir(df.sparkSession)

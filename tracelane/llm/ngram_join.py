@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_dir, store, table, tune
+from .common import cut, scratch, store, table, tune
 
 SHINGLE, THRESHOLD, BANDS, ROWS, CHUNK, TOLERANCE = 5, 0.8, 25, 5, 25, 1e-6
 #: Texts of a bucket that is compared whole, texts and bytes of shingles of a part.
@@ -347,11 +347,8 @@ def join(docs: DataFrame) -> DataFrame:
 
     texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), "text").join(placed, "key").dropDuplicates(["key"])
     sets = texts.select("node", "root", "part", "parts", "sketch", "text").mapInArrow(shingled, "node long, root long, part int, parts int, sketch binary, shingles binary")
-    folder = f"{shared_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
-    files, at = store(folder)
-    files.create_dir(at, recursive=True)
+    folder = scratch(spark, "parts")
     spans = links(sets, placed.select("root", "part", "parts").distinct(), folder)
-    files.delete_dir(at)
     counts = spans.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = components(spans.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
     told = named.join(counts, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
