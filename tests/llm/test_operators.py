@@ -562,6 +562,26 @@ def test_mixing_targets(spark):
     assert np.mean(heavy) > np.mean(light)
 
 
+def test_mixing_query(spark, tmp_path):
+    """op6 against its SQL, and whatever the number of ranges."""
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(i, "w " * r.randrange(40) if i % 9 else None, f"s{min(r.randrange(9), 4)}" if i % 11 else None, 7) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, size int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 700, 3)] + [(6, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = mixing.query(spark, str(tmp_path))
+    plain = lambda rows: sorted((d, n, s, round(t, 6), k) for d, n, s, t, k in rows)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert plain(map(tuple, got.collect())) == plain(db.sql(mixing.ORACLE).fetchall())
+    sizes = mixing.document_sizes(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    taken = [{x.doc_id: x.taken for x in mixing.mix(sizes, b).collect()} for b in (1, 7, 500)]
+    assert taken[0] == taken[1] == taken[2]
+
+
 def test_mixing_hard(spark, tmp_path):
     spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (hard_documents(spark), empty(spark)):

@@ -5,11 +5,14 @@ within a source the smallest keys come first. A source's target is met by comple
 until the rest of the budget is spent; the last document gives only the words that are missing.
 
 A source is never sorted as a whole: u**(1/w) falls into one of `buckets` ranges of equal width, sums per (source, range) give the
-words before a range, and rows are ordered only within a range. So a hot source is spread over all tasks.
+words before a range, and rows are ordered only within a range. So a hot source is spread over all tasks. There are about as many ranges
+as a range of a whole table in one source has rows: the square root of the number of rows, so neither grows out of a task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +22,7 @@ from .common import cut, table
 #: The weights of the sources in the order of their names, the share of all words to take, the most epochs of a source,
 #: the weights of documents by labels.quality.
 WEIGHTS, SHARE, MOST_EPOCHS, QUALITY_WEIGHTS, OTHER_WEIGHT = (3, 1, 2), 1.5, 2, {1: 2.0, 0: 0.5}, 1.0
-BUCKETS = 4096
+LEAST_BUCKETS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,10 +56,12 @@ def source_targets(totals: DataFrame) -> DataFrame:
     )
 
 
-def mix(sizes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def mix(sizes: DataFrame, buckets: int | None = None) -> DataFrame:
     """sizes: row_key (distinct per row), doc_id, source, size, weight (null or not above 0: 1). Returns them with source_size, target, taken.
+    It is read more than once. The number of buckets changes no result.
 
     Null sources are one source. Documents without words take 0. Rows that repeat share a key and are ordered by row_key."""
+    buckets = buckets or max(LEAST_BUCKETS, math.isqrt(sizes.count()))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(OTHER_WEIGHT))
     keyed = (
         sizes.withColumn("_u", uniform(F.col("doc_id")))
