@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import HashTable, cut, folded, id_hash_mod, packs, table, tune
 
 ORDER, DISCOUNT, CLIP, THRESHOLD, FOLDS = 5, 0.75, 8.0, 0.7, 5
-MODEL_GRAMS, FIT_ROWS, HOT = 1 << 20, 4000, 1024
+MODEL_GRAMS, FIT_ROWS, FOLD_TASKS, HOT = 1 << 20, 4000, 8, 1024
 #: Bits of a gram's last character, and of each before it.
 LAST, EACH = 16, 12
 
@@ -317,7 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fi
     rows = texts.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") * FOLDS + F.col("fold")).alias("cell"))
     counted = cut(rows.mapInArrow(count_grams, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     chosen, shift = sampled(known, fit_rows)
-    sample = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic")
+    # the sample's labels are about 2 * fit_rows, so they go to the texts
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "fold", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLD_TASKS)).alias("part"))
     if counted.count() > model_grams:
         model = TableModel(cut(model_table(counted)))
         sample = cut(sample.withColumn("key", text_key(F.col("text"))))
@@ -343,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, model_grams: int = MODEL_GRAMS, fi
                     x[own] = without.features([texts[i] for i in own])
                 yield pa.RecordBatch.from_pydict({f"x{i}": x[:, i] for i in range(4)} | {"toxic": batch.column("toxic")})
 
-        by_fold = sample.repartition(FOLDS, "fold").sortWithinPartitions("fold")  # the bounded sample
+        by_fold = sample.repartition(FOLDS * FOLD_TASKS, "fold", "part").sortWithinPartitions("fold")  # copies share a fold, not a task
         points = by_fold.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
         shared.destroy()
     x, y = np.column_stack([points.column(f"x{i}").to_numpy() for i in range(4)]), points.column("toxic").to_numpy().astype(float)
