@@ -36,8 +36,8 @@ from pyspark.sql.window import Window
 from .common import cut, scratch, store, table, tune
 
 SHINGLE, THRESHOLD, BANDS, ROWS, CHUNK, TOLERANCE = 5, 0.8, 25, 5, 25, 1e-6
-#: Texts of a bucket that is compared whole, texts and bytes of shingles of a part.
-BUCKET, PART, PART_BYTES = 256, 128, 16 << 20
+#: Texts of a bucket that is compared whole, texts and bytes of shingles of a part, digests that a task keeps.
+BUCKET, PART, PART_BYTES, SEEN = 256, 128, 16 << 20, 200_000
 HASHES = BANDS * ROWS
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RNG = np.random.default_rng(20240229)
@@ -237,20 +237,31 @@ def text_key():
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
+def unnamed(key):
+    """A negative number made of a text's digest."""
+    return -F.abs(F.xxhash64(key) % F.lit(1 << 62)) - 1
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and (key, node, class_id, n_docs) of every distinct text. key: the text's digest; node: a number of the class
-    inside a run; class_id: its name."""
+    """(doc_id, key) of every row, and (key, node, class_id, teller, n_docs) of every distinct text. key: the text's digest; node: a number of the
+    class inside a run; class_id: its name; teller: the doc_id of the row that stands for the class, or `unnamed`."""
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.monotonically_increasing_id().alias("row")))
     held = rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("row").alias("node"), F.min("doc_id").alias("least"))
     nth = F.row_number().over(Window.partitionBy(F.coalesce("least", "node"), F.col("least").isNull()).orderBy("key"))
-    name = F.when(F.col("least").isNotNull() & (nth == 1), F.col("least")).otherwise(-F.abs(F.xxhash64("key") % F.lit(1 << 62)) - 1)
-    return rows.select("doc_id", "key"), cut(held.select("key", "node", "n_docs", name.alias("class_id")))
+    name = F.when(F.col("least").isNotNull() & (nth == 1), F.col("least")).otherwise(unnamed("key"))
+    return rows.select("doc_id", "key"), cut(held.select("key", "node", "n_docs", name.alias("class_id"), F.coalesce("least", unnamed("key")).alias("teller")))
 
 
 def sketch(batches):
+    """Sketches of the texts of a task; a text that it has met among its last SEEN ones is not sketched again."""
+    seen: set[bytes] = set()
     for batch in batches:
         keys, bands, sketches, sizes = [], [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if key in seen:
+                continue
+            seen = {key} if len(seen) >= SEEN else seen
+            seen.add(key)
             values = shingles(text or "")
             if values.size:
                 signature = minhash(values)
@@ -332,12 +343,12 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     rows, named = classes(docs)
-    # every row is sketched where it lies and its class picked afterwards: no text is shuffled, and copies cost no more than their scan
+    # texts are sketched where they lie, once in each task, and their class picked afterwards: no text is shuffled, and few sketches of copies
     found = docs.select(text_key().alias("key"), "text").mapInArrow(sketch, "key binary, bands array<long>, sketch binary, bytes long")
-    sketched = cut(found.join(named.select("key", "node"), "key").dropDuplicates(["key"]))
-    clusters = components(near(sketched)).join(sketched.select("node", "key", "sketch", "bytes"), "node")
+    sketched = cut(found.join(named.select("key", "node", "teller"), "key").dropDuplicates(["key"]))
+    clusters = components(near(sketched)).join(sketched.select("node", "key", "teller", "sketch", "bytes"), "node")
     sizes = clusters.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PART), F.ceil(F.sum("bytes") / PART_BYTES)).cast("int").alias("parts"))
-    placed = cut(clusters.join(sizes, "root").select("node", "key", "root", "sketch", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")))
+    placed = cut(clusters.join(sizes, "root").select("node", "key", "teller", "root", "sketch", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")))
 
     def shingled(batches):  # shingles are made again, from the texts of candidates only
         for batch in batches:
@@ -345,7 +356,9 @@ def join(docs: DataFrame) -> DataFrame:
             names = ["node", "root", "part", "parts", "sketch"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(data, pa.binary())], names=[*names, "shingles"])
 
-    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("key"), "text").join(placed, "key").dropDuplicates(["key"])
+    # copies lie under their own ids, so those of one text go to many tasks, and only the row that stands for the class meets its sketch
+    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), unnamed(text_key())).alias("teller"), text_key().alias("key"), "text")
+    texts = texts.join(placed, ["teller", "key"]).dropDuplicates(["teller", "key"])
     sets = texts.select("node", "root", "part", "parts", "sketch", "text").mapInArrow(shingled, "node long, root long, part int, parts int, sketch binary, shingles binary")
     folder = scratch(spark, "parts")
     spans = links(sets, placed.select("root", "part", "parts").distinct(), folder)
