@@ -25,13 +25,17 @@ PII = {
     "PHONE_NUMBER": r"\+[0-9][ ().0-9-]{7,20}[0-9]",
     "CREDIT_CARD": r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])",
 }
-#: Titles of software licences.
+#: Titles of software licences, in the order they are tried, and marks of copyright.
 LICENCES = {
-    "GNU_GPL": ["GNU General Public License"], "GNU_LGPL": ["GNU Lesser General Public License"], "GNU_AGPL": ["GNU Affero General Public License"], "MIT": ["MIT License", "The MIT License"], "APACHE": ["Apache License"],
-    "BSD": ["BSD 2-Clause License", "BSD 3-Clause License"], "MOZILLA": ["Mozilla Public License"], "CREATIVE_COMMONS": ["Creative Commons"],
-}
-#: Marks of copyright.
-COPYRIGHT_MARKS = ("©", "(c)", "copyright")
+    "GNU_AGPL_V3": "GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007",
+    "GNU_GPL_V2": "GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007",
+    "GNU_LGPL_V3": "GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007",
+    "MOZILLA_PUBLIC_LICENSE_2.0": "Mozilla Public License Version 2.0",
+    "APACHE_LICENSE_2.0": "Apache License\n                           Version 2.0, January 2004",
+    "MIT_LICENSE": "MIT License",
+    "BOOST_SOFTWARE_LICENSE": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+COPYRIGHT_MARKS = ("Copyright (C)", "Copyright ©")
 #: Unicode general categories.
 CATEGORIES = tuple("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co Cn".split())
 URL = r"https?://[^\s<>\"')\]]+"
@@ -67,23 +71,24 @@ def unicode_categories(text: Column, categories: list[str] | None = None) -> Col
     return F.array_compact(F.array(*[F.when(text.rlike(rf"\p{{{c}}}"), F.lit(c)) for c in (categories or CATEGORIES) if c != "Cs"]))
 
 
-def copyright_kinds(text: Column) -> Column:
-    """Licences whose title begins the text or shares half of its blank-separated words, and a mark of copyright."""
-    words = F.split(F.trim(text), " ")
-    parts = []
-    for name, titles in LICENCES.items():
-        hits = F.lit(False)
-        for t in titles:
-            own = t.split(" ")
-            hits = hits | F.startswith(F.ltrim(text), F.lit(t)) | (F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))) / len(set(own)) >= 0.5)
-        parts.append(F.when(hits, F.lit(name)))
-    marked = F.lit(False)
-    for m in COPYRIGHT_MARKS:
-        marked = marked | F.contains(F.lower(text), F.lit(m))
-    # a title's first word is a whole word of any text that begins with it, so most texts need one test
-    known = sorted({w for titles in LICENCES.values() for t in titles for w in t.split(" ")})
-    licences = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in known])), F.array_compact(F.array(*parts))).otherwise(F.array().cast("array<string>"))
-    return F.concat(licences, F.array_compact(F.array(F.when(marked, F.lit("COPYRIGHT")))))
+def copyright_kinds(text: Column, threshold: float = 0.5) -> Column:
+    """The licence whose title begins the text, or else those of which a share of blank-separated title words are words of the text, and COPYRIGHT
+    once for each mark that the text holds."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    words = F.split(bare, " ")
+    names = F.array().cast("array<string>")
+    first, parts, known = None, [], set()
+    for name, title in LICENCES.items():
+        own = [w for w in title.split(" ") if w]
+        known |= set(own)
+        begins = F.startswith(bare, F.lit(title))
+        first = F.when(begins, F.lit(name)) if first is None else first.when(begins, F.lit(name))
+        share = sum((F.array_contains(words, w).cast("int") for w in own), F.lit(0)) / len(own)
+        parts.append(F.when(share >= threshold, F.lit(name)))
+    # most texts hold no word of any title, so they need one test
+    some = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(known)])), F.array_compact(F.array(*parts))).otherwise(names)
+    licences = F.when(first.isNotNull(), F.array(first)).otherwise(some if threshold > 0 else F.array_compact(F.array(*parts)))
+    return F.concat(licences, F.array_compact(F.array(*[F.when(F.contains(text, F.lit(m)), F.lit("COPYRIGHT")) for m in COPYRIGHT_MARKS])))
 
 
 def links(text: Column) -> Column:
@@ -100,14 +105,21 @@ def windows(text: Column, size: int = 2000) -> Column:
 SCORERS: dict[str, object] = {}
 
 
-def register_scorer(name: str, function) -> None:
-    """function: pandas Series of texts -> Series of scores, for `prompt_injection`, `moderation`, `llm`, `ocr`, `semgrep` or `embedding`."""
+def register_scorer(name: str, function, categories: tuple[str, ...] | None = None) -> None:
+    """function: pandas Series of texts -> Series of scores, for `prompt_injection`, `moderation`, `llm`, `ocr` or `semgrep`; with categories
+    (moderation): -> DataFrame of a column of scores for each; for `embedding`: two columns -> a column of similarities."""
     SCORERS[name] = function
+    CATEGORIES_OF.pop(name, None)
+    if categories is not None:
+        CATEGORIES_OF[name] = tuple(categories)
+
+
+CATEGORIES_OF: dict[str, tuple[str, ...]] = {}
 
 
 #: The stand-ins' phrases.
 INJECTION_PHRASES = ("ignore previous instructions", "ignore all previous instructions", "ignore the above", "disregard previous", "you are now", "system prompt", "attention!")
-UNSAFE_WORDS = ("kill", "hate you", "murder", "bomb", "suicide")
+UNSAFE_WORDS = {"violence": ("kill", "murder", "bomb"), "harassment": ("hate you",), "self-harm": ("suicide",)}
 
 
 def scored(name: str, text: Column, phrases: tuple[str, ...]) -> Column:
@@ -124,10 +136,26 @@ def prompt_injection(text: Column, threshold: float = 0.9) -> Column:
     return F.coalesce(scored("prompt_injection", text, INJECTION_PHRASES) > threshold, F.lit(False))
 
 
-def moderated(text: Column, threshold: float = 0.5) -> Column:
-    if "moderation" in SCORERS:
+def moderated(text: Column, threshold: float = 0.5, cat_thresholds: dict | None = None) -> Column:
+    """Whether a category's score exceeds its threshold (cat_thresholds, or else `threshold`) in some window of the text."""
+    limits = cat_thresholds or {}
+    if "moderation" in SCORERS and "moderation" not in CATEGORIES_OF:
         return F.coalesce(scored("moderation", text, ()) > threshold, F.lit(False))
-    return F.coalesce(F.exists(windows(text), lambda w: scored("", w, UNSAFE_WORDS) > threshold), F.lit(False))
+    if "moderation" in SCORERS:
+        names, function = CATEGORIES_OF["moderation"], SCORERS["moderation"]
+        scores = F.pandas_udf(lambda s: function(s)[list(names)].astype(float), "struct<" + ",".join(f"`{n}`:double" for n in names) + ">")(text)
+        over = F.lit(False)
+        for n in names:
+            over = over | F.coalesce(scores[n] > float(limits.get(n, threshold)), F.lit(False))
+        return over
+
+    def unsafe(w: Column) -> Column:
+        over = F.lit(False)
+        for n, words in UNSAFE_WORDS.items():
+            over = over | (scored("", w, words) > float(limits.get(n, threshold)))
+        return over
+
+    return F.coalesce(F.exists(windows(text), unsafe), F.lit(False))
 
 
 # -- UDFs
@@ -219,13 +247,13 @@ def read_html(text: str | None) -> dict:
     p = _Html()
     p.feed(text or "")
     p.close()
-    return {"alt": p.alts, "links": list(dict.fromkeys(p.links + re.findall(URL, text or "")))}
+    return {"alt_texts": p.alts, "links": list(dict.fromkeys(p.links + re.findall(URL, text or "")))}
 
 
 def html_code(text: Column) -> Column:
-    @F.pandas_udf("struct<alt:array<string>,links:array<string>>")
+    @F.pandas_udf("struct<alt_texts:array<string>,links:array<string>>")
     def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_html(t) for t in texts], columns=["alt", "links"])
+        return pd.DataFrame([read_html(t) for t in texts], columns=["alt_texts", "links"])
 
     return read(text)
 

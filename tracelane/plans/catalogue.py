@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import detectors as D
 from ..operators import ranges as R
@@ -92,7 +91,7 @@ calls_rule("dict_methods", '"k" in c.function.arguments.keys()\nc.function.argum
 calls_rule("pattern_tool", "c is tool:purchase", "name = 'purchase'")
 calls_rule("pattern_dict", "c is tool:click({k: 7})", "name = 'click' AND k = 7")
 calls_rule("pattern_wildcard", "c is tool:view({k: *})", "name = 'view' AND k IS NOT NULL")
-calls_rule("pattern_type_strict", 'c is tool:view({k: "7"})', "false")
+calls_rule("pattern_type_strict", 'c is tool:view({k: "7"}) or c is tool:click({k: 7})', "name = 'click' AND k = 7")
 
 
 def doc_calls(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +107,7 @@ def doc_rule(name: str, pattern: str, where: str) -> None:
 
 doc_rule("pattern_constant_regex", 'tool:doc({lang: "e[a-z]"})', "regexp_matches(lang, '^e[a-z]$')")
 doc_rule("pattern_list", 'tool:doc({tags: ["en", *]})', "lang = 'en' AND source IS NOT NULL")
-doc_rule("pattern_list_length", 'tool:doc({tags: ["en"]})', "false")
+doc_rule("pattern_list_length", 'tool:doc({tags: ["en"]}) or c is tool:doc({tags: ["fr", *]})', "lang = 'fr' AND source IS NOT NULL")
 doc_rule("pattern_value_reference", "tool:doc({text: <EMAIL_ADDRESS>})", f"regexp_matches(text, '{D.PII['EMAIL_ADDRESS']}')")
 
 
@@ -116,9 +115,7 @@ def _on_output(spark, sf_dir):
     """Purchases stand for outputs of the latest other call of their trace."""
     own = T.calls(read(spark, sf_dir, "events"))
     is_out = F.col("tool_name") == "purchase"
-    before = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    call = F.last(F.when(~is_out, F.struct("pos", "tool_name", "args", "call_id")), ignorenulls=True).over(before)
-    linked = own.withColumn("_call", call)
+    linked = T.latest_call(own, F.when(~is_out, F.struct("pos", "tool_name", "args", "call_id")), F.col("trace_id"), ["pos"])
     link = {n: F.when(is_out, F.col(f"_call.{f}")) for n, f in (("link_pos", "pos"), ("link_name", "tool_name"), ("link_args", "args"), ("link_id", "call_id"))}
     held = {n: F.col(n) for n in own.columns} | link | {"kind": F.when(is_out, "ToolOutput").otherwise("ToolCall"), "role": F.when(is_out, "tool"), "tool_name": F.when(~is_out, F.col("tool_name")), "args": F.when(~is_out, F.col("args"))}
     text = 'raise Violation("found", o=o) if:\n    (o: ToolOutput)\n    o is tool:view({k: *})\n'
@@ -238,6 +235,28 @@ rule(
 rule(
     "forall_role", "conversations", 'raise "found" if:\n    forall:\n        (m: Message)\n        m.role in ["user", "assistant"]\n', {"conv_id": "trace_id"}, "SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) = 0",
 )
+SIGNUPS = {"user_id": "trace_id", "a_pos": "bigint(a__pos)"}
+rule(
+    "predicate_count", "events", 'many(m: ToolCall) :=\n    count(min=3):\n        (b: ToolCall)\n        m -> b\n        b is tool:purchase\n\nraise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:signup\n    many(a)\n', SIGNUPS,
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'signup' AND (SELECT count(*) FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'purchase') >= 3",
+)
+rule(
+    "predicate_calls_predicate", "events",
+    'bought(x: ToolCall) :=\n    (y: ToolCall)\n    x -> y\n    y is tool:purchase\n    y.function.arguments.k > 50\n\nviewed(m: ToolCall) :=\n    (b: ToolCall)\n    m -> b\n    b is tool:view\n    bought(b)\n\n'
+    'raise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:error\n    viewed(a)\n', SIGNUPS,
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'error' AND EXISTS (SELECT 1 FROM c b JOIN c d ON d.trace_id = b.trace_id AND d.pos > b.pos WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.name = 'view' AND d.name = 'purchase' AND d.k > 50)",
+)
+rule(
+    "predicate_shadow", "events", 'later(a: ToolCall) :=\n    (b: ToolCall)\n    a -> b\n    b is tool:purchase\n\nraise Violation("found", a=a, b=b) if:\n    (b: ToolCall) -> (a: ToolCall)\n    a is tool:error\n    b is tool:signup\n    later(b)\n    not later(a)\n', PAIR,
+    f"WITH {CALLS}, e AS (SELECT trace_id, pos FROM c WHERE name = 'purchase') SELECT a.trace_id AS user_id, a.pos AS a_pos, b.pos AS b_pos FROM c a JOIN c b ON a.trace_id = b.trace_id AND a.pos > b.pos WHERE a.name = 'error' AND b.name = 'signup'"
+    " AND EXISTS (SELECT 1 FROM e WHERE e.trace_id = b.trace_id AND e.pos > b.pos) AND NOT EXISTS (SELECT 1 FROM e WHERE e.trace_id = a.trace_id AND e.pos > a.pos)",
+)
+rule(
+    "nested_count_assigned", "events", 'raise Violation("found", a=a) if:\n    (a: ToolCall)\n    a is tool:signup\n    x := a.function.arguments.k + 40\n    count(min=2):\n        (b: ToolCall)\n        a -> b\n        b.function.arguments.k > x\n', SIGNUPS,
+    f"WITH {CALLS} SELECT trace_id AS user_id, pos AS a_pos FROM c a WHERE name = 'signup' AND (SELECT count(*) FROM c b WHERE b.trace_id = a.trace_id AND b.pos > a.pos AND b.k > a.k + 40) >= 2",
+)
+calls_rule("assignment", "x := c.function.arguments.k\nx > 90", "k > 90")
+messages_rule("continued_lines", 'm.role == "user" and\n"thou" in m.content', "role = 'user' AND contains(text, 'thou')")
 calls_rule("rbac", 'should_allow_rbac(c, c.function.name, "ann", {"ann": ["reader", "buyer"]}, {"reader": {"view": True}, "buyer": {"purchase": True}}) or c is tool:click', "name IN ('click', 'view', 'purchase')")
 
 
@@ -288,9 +307,8 @@ add(
 
 def _asof(spark, sf_dir):
     calls = T.calls(read(spark, sf_dir, "events")).select("trace_id", "pos", "tool_name")
-    before = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("tool_name") == "view", F.col("pos")), ignorenulls=True).over(before)
-    return calls.withColumn("link", last).where("tool_name = 'purchase'").select(F.col("trace_id").alias("user_id"), F.col("pos").cast("bigint").alias("pos"), F.col("link").cast("bigint").alias("link"))
+    linked = T.latest_call(calls, F.when(F.col("tool_name") == "view", F.struct("pos")), F.col("trace_id"), ["pos"])
+    return linked.withColumn("link", F.col("_call.pos")).where("tool_name = 'purchase'").select(F.col("trace_id").alias("user_id"), F.col("pos").cast("bigint").alias("pos"), F.col("link").cast("bigint").alias("link"))
 
 
 add("output_call_asof", _asof, f"WITH {CALLS} SELECT trace_id AS user_id, pos, (SELECT max(b.pos) FROM c b WHERE b.trace_id = a.trace_id AND b.pos < a.pos AND b.name = 'view') AS link FROM c a WHERE name = 'purchase'")
@@ -324,27 +342,79 @@ add(
     f"SELECT conv_id, 'messages.' || turn AS address FROM conversations WHERE contains(text, 'thou') UNION ALL SELECT conv_id, 'messages.' || turn || '.content:' || s || '-' || (s + 4) FROM ({OFFSETS})",
 )
 
-# -- detectors
-LATIN = ["Lu", "Ll", "Nd", "Po", "Sc", "Pd"]
+_CAPITALS = Policy.from_string('raise Violation("u", m=m) if:\n    (m: Message)\n    not empty(unicode(m.content, categories=["Lu"]))\n')
 add(
-    "unicode_categories", lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(D.unicode_categories(F.col("text"), LATIN), ",").alias("found")),
-    "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '\\p{{{c}}}') THEN '{c}' END" for c in LATIN) + "], lambda x: x IS NOT NULL), ',') AS found FROM documents",
+    "detector_ranges", lambda spark, d: _CAPITALS.check(events_of(spark, d, "conversations")).select(F.col("trace_id").alias("conv_id"), F.explode("ranges").alias("r")).where("r.start IS NOT NULL").select("conv_id", R.address(F.col("r")).alias("address")),
+    "SELECT conv_id, 'messages.' || turn || '.content:' || s || '-' || (s + 1) AS address FROM (SELECT conv_id, turn, unnest(list_filter(range(0, length(text)), lambda i: regexp_matches(substr(text, i + 1, 1), '\\p{Lu}'))) AS s FROM conversations)",
 )
-add("secrets_classes", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.secrets(F.col("text"))).alias("found")), " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches(text, '{p}')" for n, p in D.SECRETS.items()))
+
+# -- detectors. Those without SQL are compared with plain Python by the tests.
+add("unicode_categories", lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(D.unicode_categories(F.col("text")), ",").alias("found")))
+#: What is planted into documents, by the id's remainder.
+PLANTED_SECRETS = ("ghp_" + "a1" * 18, "AKIA" + "B2" * 8, "AccountKey=" + "c3/" * 29 + "=", "xoxb-12-345-ab", "ghp_short")
+
+
+def _planted(column: str, key: str, texts: tuple[str, ...]):
+    """(a function that gives the Spark column, SQL) of a table's text with a planted one after it."""
+
+    def planted():
+        return F.concat(F.col(column), F.lit("\n"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(F.col(key), F.lit(len(texts))) + 1).cast("int")))
+
+    listed = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return planted, f"({column} || chr(10) || ([{listed}])[({key} % {len(texts)}) + 1])"
+
+
+_SECRET, _SECRET_SQL = _planted("text", "doc_id", PLANTED_SECRETS)
 add(
-    "copyright_license", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.array_contains(D.copyright_kinds(F.col("line")), "GNU_GPL")),
-    "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE starts_with(ltrim(line), 'GNU General Public License') OR len(list_intersect(string_split(trim(line), ' '), ['GNU', 'General', 'Public', 'License'])) >= 2",
-)
-add("pii_regex", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.pii(F.col("text"), ["EMAIL_ADDRESS", "PHONE_NUMBER"])).alias("found")), " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches(text, '{D.PII[n]}')" for n in ("EMAIL_ADDRESS", "PHONE_NUMBER")))
-add("html_links", lambda spark, d: read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
-add("html_alt", lambda spark, d: read(spark, d, "pages").select("page_id", D.html_code(F.col("html")).alias("h")).select("page_id", F.size("h.alt").cast("bigint").alias("alts"), F.size("h.links").cast("bigint").alias("links")))
-add("python_code_imports", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", D.python_code(F.col("text")).alias("p")).select("conv_id", "turn", "p.syntax_error", F.array_join("p.imports", ",").alias("imports")))
-add("fuzzy_contains", lambda spark, d: read(spark, d, "conversations").where(D.fuzzy_contains(F.col("text"), "thou hand that")).select("conv_id", "turn"))
+    "secrets_classes", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.secrets(_SECRET())).alias("found")),
+    " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches({_SECRET_SQL}, '{p}')" for n, p in D.SECRETS.items()),
+)
+
+
+def _licences_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    first = " ".join(f"WHEN starts_with(bare, {quoted(t)}) THEN [{quoted(n)}]" for n, t in D.LICENCES.items())
+    share = ", ".join(f"CASE WHEN ({' + '.join(f'list_contains(words, {quoted(w)})::INT' for w in t.split(' ') if w)}) / {len([w for w in t.split(' ') if w])} >= 0.5 THEN {quoted(n)} END" for n, t in D.LICENCES.items())
+    marks = ", ".join(f"CASE WHEN contains(line, {quoted(m)}) THEN 'COPYRIGHT' END" for m in D.COPYRIGHT_MARKS)
+    lines = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
+    bare = f"SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM ({lines})"
+    return f"SELECT doc_id, line, unnest(list_filter(list_concat(CASE {first} ELSE [{share}] END, [{marks}]), lambda x: x IS NOT NULL)) AS found FROM (SELECT *, string_split(bare, ' ') AS words FROM ({bare}))"
+
+
+add(
+    "copyright_license", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "line", F.explode(D.copyright_kinds(F.col("line"))).alias("found")),
+    _licences_sql(),
+)
+add("pii_regex", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.pii(F.col("text"))).alias("found")))
+_PAGE = lambda: F.concat(F.lit('<p><img src="i.png" alt="alt '), "page_id", F.lit('"> <a href="/p/'), "page_id", F.lit('">x</a> see https://h.org/'), "page_id", F.lit(" </p>"))
+add(
+    "html_links", lambda spark, d: read(spark, d, "pages").select("page_id", F.explode(D.links(F.concat("html", _PAGE()))).alias("link")),
+    "SELECT page_id, unnest(list_distinct(regexp_extract_all(html || ' https://h.org/' || page_id || ' ', '" + D.URL.replace("'", "''") + "'))) AS link FROM pages",
+)
+add(
+    "html_alt", lambda spark, d: read(spark, d, "pages").select("page_id", D.html_code(_PAGE()).alias("h")).select("page_id", F.array_join("h.alt_texts", ",").alias("alts"), F.array_join("h.links", ",").alias("links")),
+    "SELECT page_id, 'alt ' || page_id AS alts, '/p/' || page_id || ',https://h.org/' || page_id AS links FROM pages",
+)
+_CODE = lambda: F.when(F.col("turn") % 3 == 0, F.lit("def (")).otherwise(F.concat(F.lit("!ls\nimport os.path\nfrom a"), "turn", F.lit(" import b\nprint(len('x'))\n")))
+add(
+    "python_code_imports", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", D.python_code(_CODE()).alias("p")).select("conv_id", "turn", "p.syntax_error", F.array_join("p.imports", ",").alias("imports"), F.array_join("p.function_calls", ",").alias("calls")),
+    "SELECT conv_id, turn, turn % 3 = 0 AS syntax_error, CASE WHEN turn % 3 = 0 THEN '' ELSE 'a' || turn || ',os' END AS imports, CASE WHEN turn % 3 = 0 THEN '' ELSE 'len,print' END AS calls FROM conversations",
+)
+_TYPO, _ = _planted("text", "turn", ("my pasword iz hunter2", "my passwd", "my password is hunter2"))
+add(
+    "fuzzy_contains", lambda spark, d: read(spark, d, "conversations").where(D.fuzzy_contains(_TYPO(), "my password is hunter2")).select("conv_id", "turn"),
+    "SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1",
+)
 add(
     "moderation_windows", lambda spark, d: read(spark, d, "documents").select("doc_id", F.size(D.windows(F.col("text"))).cast("bigint").alias("n")),
     "SELECT doc_id, coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda s: (length(s) + 1999) // 2000)), 0)::BIGINT AS n FROM documents",
 )
-add("label_moderation", lambda spark, d: read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi"), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+_UNSAFE, _UNSAFE_SQL = _planted("text", "turn", ("a bomb", "I hate you", "nothing"))
+_MODERATED = Policy.from_string('raise Violation("m", m=m) if:\n    (m: Message)\n    moderated(m.content, cat_thresholds={"violence": 0.999})\n')
+add(
+    "moderation_categories", lambda spark, d: _MODERATED.models(T.messages(read(spark, d, "conversations").withColumn("text", _UNSAFE()))).select(F.col("trace_id").alias("conv_id"), F.col("m__pos").cast("bigint").alias("turn")),
+    "SELECT conv_id, turn FROM conversations WHERE " + " OR ".join(f"contains(lower({_UNSAFE_SQL}), '{w}')" for n, ws in D.UNSAFE_WORDS.items() if n != "violence" for w in ws),
+)
 
 
 def _similar(spark, sf_dir, above=None, k=None):

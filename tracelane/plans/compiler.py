@@ -85,15 +85,19 @@ def python_regex(p: str) -> str:
 
 
 class Compiler:
-    def __init__(self, context: Context, rule_body: tuple, outer: dict[str, Val] | None = None, head: Node | None = None):
-        self.c, self.lines, self.head = context, rule_body, head
+    def __init__(self, context: Context, rule_body: tuple, outer: dict[str, Val] | None = None, head: Node | None = None, scope: str = "", deps: dict[str, set] | None = None):
+        """scope: prefix of the columns of this body's own variables, so that those of inner bodies never meet outer ones. deps: for each outer
+        name, the prefixes of the columns that its value is made of."""
+        self.c, self.lines, self.head, self.scope = context, rule_body, head, scope
+        self.outer_deps = dict(deps or {})
         self.env: dict[str, Val] = dict(outer or {})
         self.bound_names = set(self.env)
         self.assigned: dict[str, Node] = {}
         self.variables: list[Variable] = []
         self.kinds: dict[str, str] = {}
         self.columns: dict[int, Column] = {}  # of quantifiers and predicates that are materialised
-        self.marks: list[Column] = []
+        self.marks: dict[tuple, Column] = {}  # ranges by the node that makes them: a line is compiled again at each stage
+        self.quiet = 0  # within a comprehension, whose element is no column of the rows
         for line in rule_body:
             self._declare(line)
 
@@ -160,8 +164,34 @@ class Compiler:
         walk(node, frozenset())
         return {n for n in out if n in own}
 
+    def prefix(self, name: str) -> str:
+        return f"{self.scope}{name}__"
+
+    def deps(self, node: Node) -> set[str]:
+        """Prefixes of the columns that a node's value is made of: those of its variables here and in outer bodies, through names, arguments
+        and inner bodies. A name that an inner body declares anew may count too, which does no harm."""
+        own, out, seen = {v.name for v in self.variables}, set(), set()
+
+        def walk(n: Node) -> None:
+            name = n.value if n.kind == "name" else n.value[0] if n.kind in ("typed", "typed_in") else None
+            if name is not None and name not in seen:
+                seen.add(name)
+                if name in own:
+                    out.add(self.prefix(name))
+                elif name in self.assigned:
+                    walk(self.assigned[name])
+                out.update(self.outer_deps.get(name, ()))
+            for p in n.parts if n.kind == "quantifier" else self._children(n):
+                walk(p)
+
+        walk(node)
+        return out
+
     # -- stages
 
+    def run_from_traces(self, want_false: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
+        return self.run(self.c.traces, want_false)
+
     def run(self, start: DataFrame, want_false: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
         """(rows that match, rows that are definitely false) of a body, from rows that have trace_id and what outer variables need."""
         df, base = start, True
@@ -220,7 +250,7 @@ class Compiler:
         return out
 
     def _bind(self, df: DataFrame, v: Variable, first: bool) -> tuple[DataFrame, bool]:
-        p = f"{v.name}__"
+        p = self.prefix(v.name)
         if v.source is None or v.type in EVENT_TYPES:
             view = self._view(v.type, p)
             extra = None
@@ -245,7 +275,8 @@ class Compiler:
             ok = {"str": schema == "STRING", "bool": schema == "BOOLEAN", "int": schema == "BIGINT", "float": schema.startswith("DECIMAL") | (schema == "DOUBLE")}[v.type]
             value = F.try_variant_get(F.col(name), "$", {"str": "string", "int": "bigint", "float": "double", "bool": "boolean"}[v.type])
             return df.filter(ok).withColumn(f"{p}value", value).drop(name), False
-        return df.withColumn(f"{p}value", F.explode(col)), False
+        df = df.withColumn(f"{p}value", F.explode(col))
+        return df if kind != "variant" else df.withColumn(f"{p}key", F.to_json(F.col(f"{p}value"))), False
 
     def _collection(self, x: Val, type_name: str) -> tuple[Column, str]:
         """The array a variable ranges over: elements of its type, flattened once."""
@@ -268,7 +299,7 @@ class Compiler:
         return F.filter(col, lambda e: F.lit(False)), kind
 
     def _variable(self, v: Variable) -> Val:
-        p = f"{v.name}__"
+        p = self.prefix(v.name)
         if v.type in EVENT_TYPES:
             return Val("obj", None, type=v.type, at=p, path=F.col(f"{p}path"))
         if v.type in PARTS or v.type == "ToolParameter":
@@ -327,30 +358,34 @@ class Compiler:
                 df = self._subquery(df, node)
         return df
 
+    def _keys(self, df: DataFrame, prefixes: set[str]) -> list[str]:
+        """Columns that tell the values of variables apart: an event's place, a value's text."""
+        keys = ["trace_id"]
+        for p in sorted(prefixes):
+            keys += [k for k in (f"{p}pos", f"{p}key", f"{p}value") if k in df.columns][:1]
+        return keys
+
     def _subquery(self, df: DataFrame, node: Node) -> DataFrame:
-        """Adds a boolean column for a quantifier or predicate: its body runs over the distinct outer keys, its result is joined back."""
+        """Adds a boolean column for a quantifier or predicate: its body runs over the distinct outer values that it depends on, its result is
+        joined back."""
         name = self.c.fresh("q")
-        outer = dict(self.env)
+        prefixes = self.deps(node)
         if node.kind == "call":
             predicate = self._predicate(node.value.value)
             if len(node.parts[0]) != len(predicate.parameters) or node.parts[1]:
                 raise PolicyError(f"{predicate.name} takes {len(predicate.parameters)} positional arguments", self.c.module.source, node.at)
-            passed = {p: self.expr(a) for (p, _), a in zip(predicate.parameters, node.parts[0], strict=True)}
-            inner, lines, kind, options = passed, predicate.body, "exists", {}
-            used = self.free(node)
+            pairs = [(p, a) for (p, _), a in zip(predicate.parameters, node.parts[0], strict=True)]
+            inner, deps = {p: self.expr(a) for p, a in pairs}, {p: self.deps(a) for p, a in pairs}
+            lines, kind, options = predicate.body, "exists", {}
         else:
-            (kind, options), lines, inner = node.value, node.parts, outer
-            used = self.free(node) | {n for n in outer if any(x.kind == "name" and x.value == n for line in lines for x in line.walk())}
-        keys = ["trace_id"]
-        for u in sorted(used):
-            v = self.env.get(u)
-            if v is None:
-                continue
-            key = f"{u}__pos" if v.kind == "obj" and v.type in EVENT_TYPES else f"{u}__value"
-            if key in df.columns:
-                keys.append(key)
-        outer_rows = df.dropDuplicates(keys) if len(keys) > 1 else df.select("trace_id").distinct()
-        body = Compiler(self.c, lines, inner)
+            (kind, options), lines = node.value, node.parts
+            used = {x.value for line in lines for x in self._names(line)}
+            inner = self.env | {n: self.expr(self.assigned[n]) for n in used if n in self.assigned and n not in self.env}
+            deps = self.outer_deps | {v.name: {self.prefix(v.name)} for v in self.variables} | {n: self.deps(e) for n, e in self.assigned.items()}
+        keys = self._keys(df, prefixes)
+        needed = [c for c in df.columns if c == "trace_id" or c.startswith("_q") or any(c.startswith(p) for p in prefixes)]
+        outer_rows = df.select(*needed).dropDuplicates(keys) if len(keys) > 1 else df.select("trace_id").distinct()
+        body = Compiler(self.c, lines, inner, scope=self.c.fresh("s") + "_", deps=deps)
         if kind == "forall":
             _, false = body.run(outer_rows, want_false=True)
             hits = None if false is None else false.select(*keys).distinct().withColumn(name, F.lit(False))
@@ -369,7 +404,11 @@ class Compiler:
             return out
         if kind != "count":
             raise PolicyError(f"unknown quantifier {kind}", self.c.module.source, node.at)
-        out = self._join_back(df, true.groupBy(*keys).agg(F.count("*").alias(name)), keys, name)
+        spots = body.spots()
+        columns = [F.count("*").alias(name), *([F.array_distinct(F.flatten(F.collect_list(spots))).alias(f"{name}r")] if spots is not None else [])]
+        out = self._join_back(df, true.groupBy(*keys).agg(*columns), keys, name)
+        if spots is not None:  # ranges of what was counted belong to the match
+            self.marks[(id(node), 0)] = F.coalesce(F.col(f"{name}r"), F.array().cast(f"array<{R.RANGE}>"))
         n, low, high = F.coalesce(F.col(name), F.lit(0)), options.get("min"), options.get("max")
         ok = F.lit(True)
         if low is not None:
@@ -379,11 +418,28 @@ class Compiler:
         self.columns[id(node)] = ok
         return out
 
+    @classmethod
+    def _names(cls, node: Node):
+        if node.kind == "name":
+            yield node
+        for p in node.parts if node.kind == "quantifier" else cls._children(node):
+            yield from cls._names(p)
+
+    def spots(self) -> Column | None:
+        """Ranges of a match: its events, and what its lines marked in texts."""
+        events = [self.env[v.name] for v in self.variables if v.name in self.env and self.env[v.name].kind == "obj" and v.type in EVENT_TYPES]
+        own = [F.array_compact(F.array(*[F.when(v.path.isNotNull(), R.object_range(v.path)) for v in events]))] if events else []
+        return F.concat(*[x.cast(f"array<{R.RANGE}>") for x in (*own, *self.marks.values())]) if own or self.marks else None
+
+    def mark(self, node: Node, ranges: Column, nth: int = 0) -> None:
+        if not self.quiet:
+            self.marks[(id(node), nth)] = ranges
+
     @staticmethod
     def _join_back(df: DataFrame, hits: DataFrame | None, keys: list[str], name: str) -> DataFrame:
         if hits is None:
             return df.withColumn(name, F.lit(None).cast("boolean"))
-        right = hits.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], name)
+        right = hits.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], *[c for c in hits.columns if c not in keys and c.startswith(name)])
         on = df["trace_id"] == right[f"{name}_trace_id"]
         for k in keys[1:]:
             on = on & df[k].eqNullSafe(right[f"{name}_{k}"])
@@ -491,9 +547,11 @@ class Compiler:
 
         def within(e: Column, node: Node) -> Val:
             self.env[n.value] = V.element(kind, e)
+            self.quiet += 1
             try:
                 return self.expr(node)
             finally:
+                self.quiet -= 1
                 if saved is None:
                     self.env.pop(n.value, None)
                 else:
@@ -546,7 +604,7 @@ class Compiler:
             raise PolicyError("`is` compares with None, True, False or a pattern", self.c.module.source, n.at)
         if op == "in":
             if a.kind == "str" and b.kind in ("str", "content") and b.path is not None and a.col is not None:
-                self.marks.append(R.text_ranges(b.path, b.col, F.regexp_replace(V.as_str(a), r"([\\^$.|?*+()\[\]{}])", r"\\$1")))
+                self.mark(n, R.text_ranges(b.path, b.col, F.regexp_replace(V.as_str(a), r"([\\^$.|?*+()\[\]{}])", r"\\$1")))
             return V.contains(a, b)
         if op == "contains_only":  # a superset test: every element on the right is on the left
             x, y = V.as_list(a)[0], V.as_list(b)[0]
@@ -590,6 +648,8 @@ class Compiler:
 
     def _attribute(self, x: Val, name: str, n: Node) -> Val:
         if x.type == "Input":
+            if name == "data":  # the trace itself
+                return x
             if name not in self.c.parameters:
                 raise MissingPolicyParameter(name)
             return lit(self.c.parameters[name])
@@ -747,6 +807,7 @@ class Compiler:
             return self.c.functions[name](*values, **options)
         if name not in FUNCTIONS:
             raise PolicyError(f"unknown function {name}", self.c.module.source, n.at)
+        self.call = n  # functions mark ranges under it
         return FUNCTIONS[name](self, *values, **options)
 
     def _inline(self, name: str, args: tuple, n: Node) -> Val:
@@ -754,8 +815,9 @@ class Compiler:
         if len(args) != len(p.parameters):
             raise PolicyError(f"{name} takes {len(p.parameters)} positional arguments", self.c.module.source, n.at)
         inner = Compiler(self.c, p.body, {k: self.expr(a) for (k, _), a in zip(p.parameters, args, strict=True)})
+        inner.quiet = self.quiet
         tris = [t for t in (inner._line(line, set(), False) for line in p.body) if t is not None]
-        self.marks += inner.marks
+        self.marks |= {(id(n), *k): m for k, m in inner.marks.items()}
         return Val("bool", inner._all(tris))
 
     def _method(self, x: Val, name: str, args: list[Val], n: Node) -> Val:
@@ -772,7 +834,9 @@ class Compiler:
             if name == "values":
                 return Val("list", F.map_values(entries), elem="variant")
             if name == "items":
-                return Val("list", F.transform(F.map_entries(entries), lambda e: e["key"]), elem="str")
+                quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+                pairs = F.transform(F.map_entries(entries), lambda e: F.parse_json(F.concat(F.lit("["), quoted(e["key"]), F.lit(","), F.to_json(e["value"]), F.lit("]"))))
+                return Val("list", pairs, elem="variant")
             got = F.try_variant_get(x.variant(), jpath("$", args[0].const), "variant")
             if len(args) > 1 and args[1].kind == "str":
                 return Val("str", F.coalesce(V.as_str(Val("variant", got)), args[1].col))
@@ -853,7 +917,7 @@ def _numbers(x):
 def _f_find(c, p, x):
     text, pattern = _texts(x), python_regex(p.const)
     if x.path is not None:
-        c.marks.append(R.text_ranges(x.path, text, F.lit(pattern)))
+        c.mark(c.call, R.text_ranges(x.path, text, F.lit(pattern)))
     return Val("list", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), elem="str")
 
 
@@ -903,14 +967,70 @@ def _f_python(c, x, ipython_mode=None):
 
 def _f_html(c, x):
     s = D.html_code(_texts(x))
-    return Val("struct", None, fields={"alt": _strings(s["alt"]), "links": _strings(s["links"])})
+    return Val("struct", None, fields={"alt_texts": _strings(s["alt_texts"]), "links": _strings(s["links"])})
 
 
-def _f_similar(c, data, target, threshold=None):
-    t = D.SIMILARITY.get(threshold.const, threshold.const) if threshold is not None else 0.5
+def _f_similarity(c, data, target, mode=None):
+    """The best (or, by mode, the worst) similarity of the texts to the target's, by the registered scorer."""
+    kind = mode.const if mode is not None else "max"
+    if kind not in ("min", "max"):
+        raise PolicyError("mode is min or max")
     if "embedding" not in D.SCORERS:
-        raise PolicyError("is_similar needs an embedding scorer; see register_scorer")
-    return Val("bool", D.SCORERS["embedding"](_texts(data), target.const) > float(t))
+        raise PolicyError("embedding_similarity needs an embedding scorer; see register_scorer")
+    targets = target.const if isinstance(target.const, (list, tuple)) else [target.const]
+    texts = _f_text(c, data).col
+
+    def against(target):
+        return F.transform(texts, lambda t: D.SCORERS["embedding"](t, target))
+
+    scores = [against(x) for x in targets]
+    both = F.concat(*scores) if len(scores) > 1 else scores[0]
+    return Val("num", (F.array_min if kind == "min" else F.array_max)(both))
+
+
+def _f_similar(c, data, target, threshold=None):
+    t = D.SIMILARITY.get(threshold.const, threshold.const) if threshold is not None else D.SIMILARITY["might_resemble"]
+    return Val("bool", F.coalesce(_f_similarity(c, data, target).col > float(t), F.lit(False)))
+
+
+def _spot(v: Val) -> tuple[Column, Column] | None:
+    """(path, text) of a value that is one text of the trace."""
+    if v.kind == "obj" and v.type in ("Message", "ToolOutput"):
+        return F.concat(F.col(v.at + "path"), F.lit(".content")), F.col(v.at + "content")
+    return (v.path, v.col) if v.kind in ("str", "content") and v.path is not None else None
+
+
+def _finder(find, patterns=None):
+    """A detector that returns class names and marks what its patterns match. patterns: (options) -> regular expressions."""
+
+    def f(c, x, *args, **options):
+        values = [a.const for a in args], {k: v.const for k, v in options.items()}
+        spot = _spot(x)
+        if spot is not None and patterns is not None:
+            for i, p in enumerate(patterns(*values[0], **values[1])):
+                c.mark(c.call, R.text_ranges(*spot, F.lit(p)), i)
+        return _strings(find(_texts(x), *values[0], **values[1]))
+
+    return f
+
+
+def _flagged(c, x, hit: Column) -> Val:
+    """A text that a model flags is marked as a whole."""
+    spot = _spot(x)
+    if spot is not None:
+        path, text = spot
+        whole = F.struct(path.alias("json_path"), F.lit(0).alias("start"), F.length(text).alias("end"))
+        c.mark(c.call, F.when(hit, F.array(whole)).otherwise(F.array().cast(f"array<{R.RANGE}>")))
+    return Val("bool", hit)
+
+
+def _f_moderated(c, x, model=None, default_threshold=None, cat_thresholds=None):
+    limits = cat_thresholds.const if cat_thresholds is not None else None
+    return _flagged(c, x, D.moderated(_texts(x), default_threshold.const if default_threshold is not None else 0.5, limits))
+
+
+def _f_injection(c, x, model=None, threshold=None):
+    return _flagged(c, x, D.prompt_injection(_texts(x), threshold.const if threshold is not None else 0.9))
 
 
 def _pluggable(name):
@@ -929,20 +1049,11 @@ FUNCTIONS = {
     "sum": lambda c, x: Val("num", F.aggregate(_numbers(x), F.lit(0.0), lambda a, e: a + e.cast("double"))),
     "min": _f_extreme(F.least, F.array_min), "max": _f_extreme(F.greatest, F.array_max),
     "print": lambda c, *x: Val("bool", F.lit(True)), "tuple": lambda c, x: x, "server": lambda c, x: Val("str", F.col(x.at + "server")), "json_loads": lambda c, x: Val("json", V.as_str(x)),
-    "pii": lambda c, x, entities=None: _strings(D.pii(_texts(x), entities.const if entities is not None else None)),
-    "secrets": lambda c, x: _strings(D.secrets(_texts(x))),
-    "unicode": lambda c, x, categories=None: _strings(D.unicode_categories(_texts(x), categories.const if categories is not None else None)),
-    "copyright": lambda c, x, threshold=None: _strings(D.copyright_kinds(_texts(x))),
-    "links": lambda c, x: _strings(D.links(_texts(x))),
-    "prompt_injection": lambda c, x, model=None, threshold=None: Val("bool", D.prompt_injection(_texts(x), threshold.const if threshold is not None else 0.9)),
-    "moderated": lambda c, x, model=None, default_threshold=None, cat_thresholds=None: Val("bool", D.moderated(_texts(x), default_threshold.const if default_threshold is not None else 0.5)),
+    "pii": _finder(D.pii, lambda entities=None: [p for n, p in D.PII.items() if entities is None or n in entities]),
+    "secrets": _finder(D.secrets, lambda: D.SECRETS.values()),
+    "unicode": _finder(D.unicode_categories, lambda categories=None: ["[" + "".join(rf"\p{{{k}}}" for k in categories or D.CATEGORIES if k != "Cs") + "]"]),
+    "copyright": _finder(D.copyright_kinds, lambda threshold=0.5: [R.quoted(m) for m in D.COPYRIGHT_MARKS]),
+    "links": _finder(D.links), "prompt_injection": _f_injection, "moderated": _f_moderated, "embedding_similarity": _f_similarity,
     "fuzzy_contains": lambda c, x, q, query_threshold=None, threshold=None, use_semantic=None: Val("bool", D.fuzzy_contains(_texts(x), q.const, float((threshold or query_threshold or lit(0.8)).const))),
     "llm": _pluggable("llm"), "llm_confirm": _pluggable("llm"), "ocr": _pluggable("ocr"), "semgrep": _pluggable("semgrep"),
 }
-
-
-def _run_from_traces(self: Compiler, want_false: bool = False):
-    return self.run(self.c.traces, want_false)
-
-
-Compiler.run_from_traces = _run_from_traces

@@ -78,27 +78,16 @@ class Policy:
         key = own_key if own_key is not None else F.to_json(F.array(F.lit(index), *[idx[n] for n in sorted(live)]))
         bindings = [x for n in sorted(live) for x in (F.lit(n), F.col(f"{n}__path") if n in events else self._shown(live[n]))]
         spots = F.array_compact(F.array(*[F.when(F.col(f"{n}__path").isNotNull(), R.object_range(F.col(f"{n}__path"))) for n in sorted(events)])) if events else F.array().cast(f"array<{R.RANGE}>")
-        usable = [m for m in c.marks if self._resolves(df, m)]
         most = F.greatest(F.lit(-1), *[idx[n] for n in events]) if events else F.lit(-1)
         return df.select(
             F.col("trace_id").cast("long").alias("trace_id"), F.lit(index).alias("rule"), message.alias("error"), args.alias("args"), kwargs.alias("kwargs"), key.alias("key"), most.cast("int").alias("max_idx"),
-            (F.create_map(*bindings) if bindings else F.create_map().cast("map<string,string>")).alias("bindings"), F.concat(spots, *usable).cast(f"array<{R.RANGE}>").alias("ranges"),
+            (F.create_map(*bindings) if bindings else F.create_map().cast("map<string,string>")).alias("bindings"), F.array_distinct(F.concat(spots, *c.marks.values())).cast(f"array<{R.RANGE}>").alias("ranges"),
         )
 
     @staticmethod
     def _shown(v):
         return V.as_text(v).cast("string") if v.col is not None or v.kind in ("json", "struct") else F.lit(None).cast("string")
 
-    @staticmethod
-    def _resolves(df: DataFrame, column) -> bool:
-        from pyspark.errors import AnalysisException
-
-        try:
-            df.select(column)
-            return True
-        except AnalysisException:
-            return False
-
     def _head(self, c: Compiler, head: Node):
         """(message, args as JSON, keyword arguments as JSON, the key that the rule names or None)."""
         none = F.lit(None).cast("string")

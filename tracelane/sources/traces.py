@@ -49,7 +49,8 @@ def _chunks(content) -> list[dict] | None:
     for i, c in enumerate(content):
         c = c if isinstance(c, dict) else {"type": "text", "text": str(c)}
         url = c.get("image_url")
-        out.append({"type": c.get("type"), "text": c.get("text"), "url": url.get("url") if isinstance(url, dict) else url, "idx": i})
+        known = "text" in c or "image_url" in c
+        out.append({"type": c.get("type"), "text": c.get("text") if known else json.dumps(c, ensure_ascii=False), "url": url.get("url") if isinstance(url, dict) else url, "idx": i})
     return out
 
 
@@ -185,6 +186,13 @@ def outputs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return shaped(rows, trace_id=F.col(id_col).cast("long"), pos=F.lit(0), trace_idx=F.lit(0), path=F.lit("0"), kind=F.lit("ToolOutput"), role=F.lit("tool"), content=F.col(text_col), json=F.lit(False))
 
 
+def latest_call(rows: DataFrame, call: Column, within: Column, order: list, before: bool = True) -> DataFrame:
+    """rows with `_call`: the latest call (a struct, null where a row is none) of the trace up to a row, or, with `before`, strictly before it: the as-of
+    join that links outputs to calls, done with one window."""
+    place = Window.partitionBy(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return rows.withColumn("_call", F.last(call, ignorenulls=True).over(place))
+
+
 # -- loaders of recorded trajectories
 
 #: Tags of the recorded agent actions and the tool each stands for.
@@ -203,7 +211,7 @@ def from_trajectories(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("trace_id").orderBy("turn", "_part")
     rows = rows.withColumn("_pos", F.row_number().over(order) - 1)
     call = F.when(F.col("_kind") == "ToolCall", F.struct(F.col("_pos").alias("pos"), F.col("_tool").alias("name"), F.to_json(F.struct(F.col("_code").alias("code"))).alias("args"), F.col("turn").cast("string").alias("id")))
-    rows = rows.withColumn("_call", F.last(call, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = latest_call(rows, call, F.col("trace_id"), ["turn", "_part"], before=False)
     is_call, is_out = F.col("_kind") == "ToolCall", F.col("_kind") == "ToolOutput"
     link = lambda f, c: F.when(is_out, F.col(f"_call.{f}")).cast(c)
     return shaped(
