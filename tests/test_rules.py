@@ -369,3 +369,65 @@ def test_ranges_of_detectors_and_counts(spark):
     assert addresses('raise "v" if:\n    count(min=1):\n        (m: Message)\n        "bad" in m.content\n') == ["1", "1.content:0-3", "1.content:10-13"]
     inner = 'raise "v" if:\n    (x: Message)\n    y := len([w for w in x.content.split(" ") if "a" in w])\n    y > 0\n    "bad" in x.content\n'
     assert addresses(inner) == ["1", "1.content:0-3", "1.content:10-13"]
+
+
+def test_files_in_rules(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("mail a@b.org")
+    (tmp_path / "b.md").write_text("plain")
+    (tmp_path / "sub" / "c.txt").write_text("ghp_" + "a" * 36)
+    ws = str(tmp_path)
+    n = lambda *lines: len(Policy.from_string(body(*lines)).analyze(TRACE, ws=ws))
+    assert n("len(get_files(input.ws)) == 2", "len(get_tree_files(input.ws)) == 3", 'len(get_tree_files(input.ws, pattern="*.txt")) == 2') == 1
+    assert n('"mail" in get_file_content(input.ws, "a.txt").content', 'not is_sensitive(get_file_content(input.ws, "b.md"), pii)') == 1
+    assert n("is_sensitive_dir(input.ws, [pii])", "is_sensitive_dir(input.ws, [secrets])", "not is_sensitive_dir(input.ws, [secrets], tree=False)") == 1
+    found = Policy.from_string('raise Violation("f", f=f) if:\n    (f: File) in get_file_contents(input.ws)\n    is_sensitive(f, secrets) or is_sensitive(f, pii)\n    "txt" in f.path\n').analyze(TRACE, ws=ws)
+    assert len(found) == 2
+    with pytest.raises(ValueError, match="climb"):
+        n('len(get_files(input.ws, "../..")) == 0')
+
+
+def test_masking_a_trace(spark):
+    from tracelane.plans.policy import to_records
+
+    text = 'raise "a" if:\n    (m: Message)\n    "bad" in m.content\n\nraise "b" if:\n    (c: ToolCall)\n    "send" in c.function.name\n'
+    violations = Policy.from_string(text).check(T.from_python(spark, [TRACE]))
+    import json
+
+    addresses = [a for r in to_records(violations).collect() for a in json.loads(r["value"])["ranges"]]
+    masked = R.mask_json_paths(TRACE, addresses, lambda x: "*" * len(x))
+    assert masked[0]["content"] == "hello *** world" and masked[1]["tool_calls"][1]["function"]["name"] == "****" and masked[3] == TRACE[3]
+
+
+def test_links_scorers_and_error_types(spark):
+    from tracelane.functions.values import lit
+
+    rule = 'from my.own import answer\nraise Mine("x", m=m) if:\n    (m: Message)\n    answer(m) == 42\n'
+    with pytest.raises(PolicyError):
+        Policy.from_string(rule).analyze(TRACE)
+    found = Policy.from_string(rule, link=lambda path: (lambda m: lit(42)) if path == "my.own.answer" else None).analyze(TRACE)
+    assert len(found) == 3 and {r["error_type"] for r in found} == {"Mine"}
+    asked = []
+    score = D.cached(lambda s: s.map(lambda t: asked.append(t) or (None if t == "n" else len(t))), size=2)
+    import pandas as pd
+
+    assert score(pd.Series(["a", "bb", "a", "n"])).tolist()[:3] == [1, 2, 1] and score(pd.Series(["a", "n"])).tolist()[0] == 1
+    assert asked == ["a", "bb", "n", "n"]
+    D.register_scorer("PERSON", lambda s: s.map(lambda t: float("Ann" in (t or ""))))
+    try:
+        df = spark.createDataFrame([("Ann is here",), ("nobody",)], "t string")
+        assert [r[0] for r in df.select(D.pii(F.col("t"))).collect()] == [["PERSON"], []]
+    finally:
+        D.SCORERS.pop("PERSON")
+
+
+def test_words_in_common_make_a_row_for_each_match(spark):
+    """Equal words of two long messages: as many rows as matches come out of the explodes, not one for each pair of words."""
+    r = random.Random(4)
+    words = [[f"{side}{r.randrange(900)}" for _ in range(3000)] + ["both", "both", "x"] for side in "ab"]
+    trace = [{"role": "user", "content": " ".join(w)} for w in words]
+    text = 'raise Violation("v", m=m, n=n, w=w, v=v) if:\n    (m: Message) ~> (n: Message)\n    (w: str) in m.content.split(" ")\n    (v: str) in n.content.split(" ")\n    len(w) > 1\n    w == v\n'
+    df = Policy.from_string(text).models(T.from_python(spark, [trace]))
+    assert df.count() == 4
+    forall = 'raise "v" if:\n    forall:\n        (m: Message) ~> (n: Message)\n        (w: str) in m.content.split(" ")\n        (v: str) in n.content.split(" ")\n        w == v\n'
+    assert Policy.from_string(forall).analyze([{"role": "user", "content": "a"}, {"role": "user", "content": "a b"}]) == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import OrderedDict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,7 +57,7 @@ def luhn_valid(digits: Column) -> Column:
 
 
 def pii(text: Column, entities: list[str] | None = None) -> Column:
-    """Names of the entities a text holds. PERSON and LOCATION need a model and are never found without one."""
+    """Names of the entities a text holds. PERSON and LOCATION need a model: a scorer registered under that name; without one they are never found."""
     chosen = {n: p for n, p in PII.items() if entities is None or n in entities}
     parts = []
     for n, p in chosen.items():
@@ -64,6 +65,7 @@ def pii(text: Column, entities: list[str] | None = None) -> Column:
         if n == "CREDIT_CARD":
             hit = F.exists(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: luhn_valid(F.regexp_replace(m, "[ -]", "")))
         parts.append(F.when(hit, F.lit(n)))
+    parts += [F.when(scored(n, text, ()) > 0.5, F.lit(n)) for n in ("PERSON", "LOCATION") if n in SCORERS and (entities is None or n in entities)]
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
@@ -114,6 +116,24 @@ def register_scorer(name: str, function, categories: tuple[str, ...] | None = No
         CATEGORIES_OF[name] = tuple(categories)
 
 
+def cached(function, size: int = 10_000):
+    """A scorer that a worker asks once for each text among the last `size` ones; null results are asked for again."""
+    held: OrderedDict = OrderedDict()
+
+    def score(texts: pd.Series) -> pd.Series:
+        new = [t for t in dict.fromkeys(texts) if t not in held]
+        found = dict(zip(new, function(pd.Series(new, dtype=object)), strict=True)) if new else {}
+        out = texts.map(lambda t: found[t] if t in found else held[t])
+        for t, v in found.items():
+            if v is not None and v == v:
+                held[t] = v
+                if len(held) > size:
+                    held.popitem(last=False)
+        return out
+
+    return score
+
+
 CATEGORIES_OF: dict[str, tuple[str, ...]] = {}
 
 

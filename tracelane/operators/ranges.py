@@ -46,3 +46,27 @@ def mask(text: Column, spans: Column, sign: str = "*") -> Column:
     """text with every span (start, end) overlaid by signs, right to left; lengths stay."""
     ordered = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit(sign), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t))))
+
+
+def mask_json_paths(trace, addresses: list[str], sign):
+    """A trace (lists, objects, texts) with the spans that addresses name (`<path>:<start>-<end>`, with or without `messages.`) replaced by
+    sign(text of the span). Addresses without a span leave their object as it is. Spans of one text are replaced from its end."""
+    import re
+
+    spans: dict[str, list] = {}
+    for a in addresses:
+        m = re.fullmatch(r"(?:messages\.)?(.*):(\d+)-(\d+)", a)
+        if m:
+            spans.setdefault(m.group(1), []).append((int(m.group(2)), int(m.group(3))))
+
+    def copied(x, path: str):
+        if isinstance(x, str):
+            for start, end in sorted(set(spans.get(path, ())), reverse=True):
+                x = x[:start] + sign(x[start:end]) + x[end:]
+            return x
+        at = lambda k: f"{path}.{k}" if path else str(k)
+        if isinstance(x, dict):
+            return {k: copied(v, at(k)) for k, v in x.items()}
+        return [copied(v, at(i)) for i, v in enumerate(x)] if isinstance(x, list) else x
+
+    return copied(trace, "")

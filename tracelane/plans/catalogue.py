@@ -11,7 +11,7 @@ from ..operators.similarity import similar_pairs
 from ..shared import scratch
 from ..sources import traces as T
 from ..streaming.monitor import new_keys
-from .policy import Policy, filter_traces, pending_only
+from .policy import Policy, filter_traces, match_counts, pending_only
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -291,6 +291,13 @@ add(
 )
 
 
+_BOTH = 'raise Violation("a", c=c) if:\n    (c: ToolCall)\n    c is tool:error\n\nraise Violation("b", c=c) if:\n    (c: ToolCall)\n    c.function.arguments.k > 90\n'
+add(
+    "match_counts", lambda spark, d: match_counts(Policy.from_string(_BOTH).check(events_of(spark, d, "events"))).select(F.col("trace_id").alias("user_id"), F.col("rule").cast("bigint").alias("rule"), "n"),
+    f"WITH {CALLS} SELECT trace_id AS user_id, 0::BIGINT AS rule, count(*) AS n FROM c WHERE name = 'error' GROUP BY 1 UNION ALL SELECT trace_id, 1, count(*) FROM c WHERE k > 90 GROUP BY 1",
+)
+
+
 def _incremental(spark, sf_dir):
     events = events_of(spark, sf_dir, "events")
     p = Policy.from_string(_ERRORS)

@@ -29,7 +29,9 @@ EVENT_TYPES = ("Message", "ToolCall", "ToolOutput", "Tool")
 FIELDS = ("pos", "trace_idx", "path", "kind", "role", "content", "json", "chunks", "tool_name", "args", "call_id", "call_type", "link_pos", "link_name", "link_args", "link_id", "server", "metadata", "description", "params")
 SCALARS = {"str": "str", "int": "num", "float": "num", "bool": "bool"}
 PARTS = {"TextChunk": "text", "Image": "image_url"}
-OTHER_TYPES = ("ToolParameter", "list", "dict", "Input", "Function", "LLM")
+OTHER_TYPES = ("ToolParameter", "list", "dict", "Input", "Function", "LLM", "File")
+#: Most characters of a workspace's files that a rule may draw from.
+FILES_BYTES = 8 << 20
 
 
 class MissingPolicyParameter(KeyError):
@@ -49,6 +51,7 @@ class Context:
     functions: dict = field(default_factory=dict)
     quantifiers: dict = field(default_factory=dict)
     matchers: dict = field(default_factory=dict)
+    link: object = None  # import path -> a function for it, or None
     counter: list = field(default_factory=lambda: [0])
 
     def fresh(self, prefix: str) -> str:
@@ -196,6 +199,7 @@ class Compiler:
         """(rows that match, rows that are definitely false) of a body, from rows that have trace_id and what outer variables need."""
         df, base = start, True
         bound: set[str] = set()
+        self.prune = not want_false  # rows that can't match may go before all is bound
         pending = list(self.variables)
         true_parts, false_parts = [], []
         head_needs = self.free(self.head) if self.head is not None else set()
@@ -266,7 +270,10 @@ class Compiler:
             view = view.withColumnRenamed("trace_id", f"{p}trace_id")
             on = df["trace_id"] == view[f"{p}trace_id"]
             return df.join(view, on if extra is None else on & extra).drop(f"{p}trace_id"), False
+        if v.type == "File":
+            return df.withColumn(f"{p}value", F.explode(self._files(v.source))), False
         col, kind = self._collection(self.expr(v.source), v.type)
+        col = self._narrowed(col, kind, v)
         self.env[v.name] = self._variable(v)
         if kind == "variant" and v.type in SCALARS:
             name = f"{p}raw"
@@ -278,6 +285,44 @@ class Compiler:
         df = df.withColumn(f"{p}value", F.explode(col))
         return df if kind != "variant" else df.withColumn(f"{p}key", F.to_json(F.col(f"{p}value"))), False
 
+    def _narrowed(self, col: Column, kind: str, v: Variable) -> Column:
+        """The elements of a text variable that can meet a line `a == b` of two such variables: those equal to the other one's value or, before it
+        is bound, those that its collection holds too. So a pair of long texts makes a row for each match, not for each pair of words."""
+        if not self.prune or kind != "str" or v.type != "str":
+            return col
+        for line in self.lines:
+            if line.kind != "binary" or line.value != "==" or any(p.kind != "name" for p in line.parts):
+                continue
+            names = [p.value for p in line.parts]
+            if v.name not in names or names[0] == names[1]:
+                continue
+            other = next((x for x in self.variables if x.name == names[names[0] == v.name] and x.type == "str" and x.source is not None), None)
+            if other is None:
+                continue
+            if other.name in self.env:
+                value = self.env[other.name].col
+                col = F.filter(col, lambda e: e == value)  # noqa: B023
+            elif self.free(other.source) <= set(self.env):
+                there, kind_there = self._collection(self.expr(other.source), "str")
+                if kind_there == "str":
+                    common = F.array_intersect(col, there)
+                    col = F.filter(col, lambda e: F.array_contains(common, e))  # noqa: B023
+        return col
+
+    def _files(self, source: Node) -> Column:
+        """The files of a workspace (at most FILES_BYTES of text, as they become a literal): structs of path and content."""
+        from ..sources.traces import file_contents
+
+        value = self.expr(source)
+        if value.type != "Files":
+            raise PolicyError("files are drawn from get_file_contents(...)", self.c.module.source, source.at)
+        spark = self.c.events.sparkSession
+        files = file_contents(spark, *value.const)
+        if (files.agg(F.sum(F.length("content"))).first()[0] or 0) > FILES_BYTES:
+            raise PolicyError("the workspace is too large for a rule; read it with file_contents and join", self.c.module.source, source.at)
+        rows = files.orderBy("path").collect()
+        return F.array(*[F.struct(F.lit(r["path"]).alias("path"), F.lit(r["content"]).alias("content")) for r in rows]).cast("array<struct<path:string,content:string>>")
+
     def _collection(self, x: Val, type_name: str) -> tuple[Column, str]:
         """The array a variable ranges over: elements of its type, flattened once."""
         if type_name in PARTS:
@@ -302,6 +347,8 @@ class Compiler:
         p = self.prefix(v.name)
         if v.type in EVENT_TYPES:
             return Val("obj", None, type=v.type, at=p, path=F.col(f"{p}path"))
+        if v.type == "File":
+            return Val("struct", None, type="File", fields={n: Val("str", F.col(f"{p}value")[n]) for n in ("path", "content")})
         if v.type in PARTS or v.type == "ToolParameter":
             return Val("obj", F.col(f"{p}value"), type="Chunk" if v.type in PARTS else "ToolParameter", path=F.lit(None).cast("string"))
         if v.type == "Input":
@@ -802,7 +849,13 @@ class Compiler:
             name = self.c.module.imports.get(name, name).split(".")[-1]
         else:
             raise ExcessivePolicyError("this can't be called", self.c.module.source, n.at)
+        if name in ("is_sensitive", "is_sensitive_dir") and name not in self.c.functions:
+            return self._sensitive(name, list(args), dict(named), n)
         values, options = [self.expr(a) for a in args], {k: self.expr(v) for k, v in named}
+        if self.c.link is not None and name not in self.c.functions:
+            linked = self.c.link(self.c.module.imports.get(f.value if f.kind == "name" else name, name))
+            if linked is not None:
+                return linked(*values, **options)
         if name in self.c.functions:
             return self.c.functions[name](*values, **options)
         if name not in FUNCTIONS:
@@ -810,6 +863,29 @@ class Compiler:
         self.call = n  # functions mark ranges under it
         return FUNCTIONS[name](self, *values, **options)
 
+    def _judge(self, detector: Node, content: Val, n: Node) -> Column:
+        """Whether a detector, given by name, finds something in a text."""
+        found = self._e_call(Node("call", detector, ((Node("held", content),), ()), n.at))
+        return V.truthy(found) if found.kind == "list" else F.coalesce(V.as_bool(found), F.lit(False))
+
+    def _e_held(self, n: Node) -> Val:
+        return n.value
+
+    def _sensitive(self, name: str, args: list[Node], named: dict, n: Node) -> Val:
+        """is_sensitive(file or text, detector); is_sensitive_dir(workspace, [detectors], path, pattern, tree), which is settled by one job over the files."""
+        if name == "is_sensitive":
+            x = self.expr(args[0])
+            return Val("bool", self._judge(args[1], x.fields["content"] if x.kind == "struct" else Val("str", V.as_str(x)), n))
+        from ..sources.traces import file_contents
+
+        rest = [self._constant(a) for a in args[2:]]
+        options = {"tree": True} | dict(zip(("path", "pattern", "tree"), rest, strict=False)) | {k: self._constant(v) for k, v in named.items()}
+        files = file_contents(self.c.events.sparkSession, self._constant(args[0]), **options)
+        hits = F.lit(False)
+        for detector in args[1].parts:
+            hits = hits | self._judge(detector, Val("str", F.col("content")), n)
+        return lit(bool(files.where(hits).limit(1).count()))
+
     def _inline(self, name: str, args: tuple, n: Node) -> Val:
         p = self._predicate(name)
         if len(args) != len(p.parameters):
@@ -1042,6 +1118,30 @@ def _pluggable(name):
     return f
 
 
+def _f_files(tree):
+    def f(c, workspace, path=None, pattern=None):
+        from ..sources.traces import list_files
+
+        rows = list_files(c.c.events.sparkSession, workspace.const, pattern.const if pattern is not None else None, tree, path.const if path is not None else ".").select("path").orderBy("path").collect()  # names of a workspace
+        return lit([r["path"] for r in rows])
+
+    return f
+
+
+def _f_file(c, workspace, path):
+    from ..sources.traces import file_contents
+
+    row = file_contents(c.c.events.sparkSession, workspace.const, path.const, tree=False).first()
+    if row is None:
+        raise FileNotFoundError(path.const)
+    return Val("struct", None, type="File", fields={"path": lit(row["path"]), "content": lit(row["content"])})
+
+
+def _f_contents(c, workspace, path=None, pattern=None, tree=None):
+    given = lambda x, default: default if x is None else x.const
+    return Val("module", None, type="Files", const=(workspace.const, given(path, "."), given(pattern, None), given(tree, True)))
+
+
 FUNCTIONS = {
     "any": _f_any, "len": _f_len, "find": _f_find, "text": _f_text, "image": _f_image, "tool_call": _f_tool_call, "should_allow_rbac": _f_rbac, "python_code": _f_python, "ipython_code": _f_python, "html_code": _f_html, "is_similar": _f_similar,
     "empty": lambda c, x: Val("bool", F.coalesce(_f_len(c, x).col == 0, F.lit(False))),
@@ -1055,5 +1155,6 @@ FUNCTIONS = {
     "copyright": _finder(D.copyright_kinds, lambda threshold=0.5: [R.quoted(m) for m in D.COPYRIGHT_MARKS]),
     "links": _finder(D.links), "prompt_injection": _f_injection, "moderated": _f_moderated, "embedding_similarity": _f_similarity,
     "fuzzy_contains": lambda c, x, q, query_threshold=None, threshold=None, use_semantic=None: Val("bool", D.fuzzy_contains(_texts(x), q.const, float((threshold or query_threshold or lit(0.8)).const))),
+    "get_files": _f_files(False), "get_tree_files": _f_files(True), "get_file_content": _f_file, "get_file_contents": _f_contents,
     "llm": _pluggable("llm"), "llm_confirm": _pluggable("llm"), "ocr": _pluggable("ocr"), "semgrep": _pluggable("semgrep"),
 }

@@ -14,7 +14,7 @@ from ..sources import traces as T
 from .compiler import EVENT_TYPES, Compiler, Context
 from .syntax import Node, PolicyError, parse
 
-VIOLATIONS = "trace_id bigint, rule int, error string, args string, kwargs string, key string, max_idx int, bindings map<string,string>, ranges array<" + R.RANGE + ">"
+VIOLATIONS = "trace_id bigint, rule int, error_type string, error string, args string, kwargs string, key string, max_idx int, bindings map<string,string>, ranges array<" + R.RANGE + ">"
 
 
 class PolicyLoadingError(PolicyError):
@@ -31,12 +31,14 @@ class Policy:
     functions: dict
     quantifiers: dict
     matchers: dict
-    errors: tuple = ()
+    link: object = None
 
     @classmethod
-    def from_string(cls, text: str, functions: dict | None = None, quantifiers: dict | None = None, matchers: dict | None = None) -> Policy:
+    def from_string(cls, text: str, functions: dict | None = None, quantifiers: dict | None = None, matchers: dict | None = None, link=None) -> Policy:
+        """link: a function from an import path to a function of the rule language or None, asked for names that `functions` lacks; by default only
+        the language's own functions are known."""
         try:
-            return cls(parse(text), functions or {}, quantifiers or {}, matchers or {})
+            return cls(parse(text), functions or {}, quantifiers or {}, matchers or {}, link)
         except PolicyLoadingError:
             raise
         except PolicyError as e:
@@ -49,7 +51,7 @@ class Policy:
     def context(self, events: DataFrame, parameters: dict, traces: DataFrame | None = None) -> Context:
         if "data" in parameters:
             raise ValueError("`data` is a reserved parameter")
-        return Context(self.module, events, traces if traces is not None else events.select("trace_id").distinct(), parameters, self.functions, self.quantifiers, self.matchers)
+        return Context(self.module, events, traces if traces is not None else events.select("trace_id").distinct(), parameters, self.functions, self.quantifiers, self.matchers, self.link)
 
     def models(self, events: DataFrame, rule: int = 0, traces: DataFrame | None = None, **parameters) -> DataFrame:
         """The assignments that satisfy a rule: trace_id and a column `<variable>__<field>` per variable and field."""
@@ -73,6 +75,7 @@ class Policy:
         have = set(df.columns)
         live = {n: v for n, v in c.env.items() if n not in c.bound_names and (f"{n}__pos" in have or f"{n}__value" in have or n in c.assigned)}
         message, args, kwargs, own_key = self._head(c, rule.head)
+        kind = rule.head.value.value if rule.head.kind == "call" and rule.head.value.kind == "name" else "PolicyViolation"
         events = {n: v for n, v in live.items() if v.kind == "obj" and v.type in EVENT_TYPES}
         idx = {n: F.coalesce(F.col(f"{n}__trace_idx"), F.lit(-1)) if n in events else F.lit(-1) for n in live}
         key = own_key if own_key is not None else F.to_json(F.array(F.lit(index), *[idx[n] for n in sorted(live)]))
@@ -80,7 +83,7 @@ class Policy:
         spots = F.array_compact(F.array(*[F.when(F.col(f"{n}__path").isNotNull(), R.object_range(F.col(f"{n}__path"))) for n in sorted(events)])) if events else F.array().cast(f"array<{R.RANGE}>")
         most = F.greatest(F.lit(-1), *[idx[n] for n in events]) if events else F.lit(-1)
         return df.select(
-            F.col("trace_id").cast("long").alias("trace_id"), F.lit(index).alias("rule"), message.alias("error"), args.alias("args"), kwargs.alias("kwargs"), key.alias("key"), most.cast("int").alias("max_idx"),
+            F.col("trace_id").cast("long").alias("trace_id"), F.lit(index).alias("rule"), F.lit(kind).alias("error_type"), message.alias("error"), args.alias("args"), kwargs.alias("kwargs"), key.alias("key"), most.cast("int").alias("max_idx"),
             (F.create_map(*bindings) if bindings else F.create_map().cast("map<string,string>")).alias("bindings"), F.array_distinct(F.concat(spots, *c.marks.values())).cast(f"array<{R.RANGE}>").alias("ranges"),
         )
 
@@ -130,6 +133,11 @@ class Policy:
         return Monitor(self)
 
 
+def match_counts(violations: DataFrame) -> DataFrame:
+    """trace_id, rule, n: how often each rule matched in each trace that it matched in."""
+    return violations.groupBy("trace_id", "rule").agg(F.count("*").alias("n"))
+
+
 def pending_only(violations: DataFrame, n_past) -> DataFrame:
     """Violations that bind an event at or after index n_past; those that bind no event are never reported."""
     return violations.where(F.col("max_idx") >= n_past)

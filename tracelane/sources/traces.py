@@ -236,16 +236,24 @@ def from_react(turns: DataFrame) -> DataFrame:
 
 # -- files
 
-def list_files(spark: SparkSession, workspace: str, pattern: str | None = None, tree: bool = False) -> DataFrame:
-    """path, name, bytes of a workspace's files; nothing outside it is reached."""
-    if ".." in workspace.split("/"):
+def _inside(workspace: str, path: str) -> str:
+    if ".." in workspace.split("/") or ".." in path.split("/") or path.startswith("/"):
         raise ValueError("a workspace path can't climb")
+    return workspace if path in (".", "") else f"{workspace.rstrip('/')}/{path}"
+
+
+def list_files(spark: SparkSession, workspace: str, pattern: str | None = None, tree: bool = False, path: str = ".") -> DataFrame:
+    """path, name, bytes of a workspace's files; nothing outside it is reached."""
+    workspace = _inside(workspace, path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(tree).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(workspace).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
 
 
-def file_contents(spark: SparkSession, workspace: str, tree: bool = False) -> DataFrame:
+def file_contents(spark: SparkSession, workspace: str, path: str = ".", pattern: str | None = None, tree: bool = False) -> DataFrame:
     """path, content (UTF-8) of a workspace's files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(tree).lower()).load(workspace).select("path", F.decode("content", "UTF-8").alias("content"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(tree).lower())
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(_inside(workspace, path)).select("path", F.decode("content", "UTF-8").alias("content"))

@@ -1,7 +1,7 @@
 """Monitoring: each violation is reported once.
 
 `Monitor.check(past, pending)` keeps the keys seen in memory, for one growing trace. `watch` runs a policy over a stream of events: each
-micro-batch is appended to a table of events, only the traces that have new events are read again, violations that bind a new event are
+micro-batch is appended to a table of events, only the buckets of traces that have new events are read again, violations that bind a new event are
 kept, and an anti join with the table of reported keys drops those reported before. Both tables are written by batch number, so a batch
 that is run again after a failure replaces what it had written.
 """
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+#: Folders of a batch by the hash of the trace: a batch reads those of its traces.
+BUCKETS = 64
+
+
 class Monitor:
     def __init__(self, policy):
         self.policy, self.seen = policy, set()
@@ -52,18 +56,21 @@ def watch(policy, stream: DataFrame, folder: str, **parameters):
     """A writer for a stream of events (columns of tracelane.sources.traces.EVENTS): start it with a checkpoint location. New violations are
     in `<folder>/violations`, with the batch that found them."""
 
+    bucket = F.pmod(F.hash("trace_id"), F.lit(BUCKETS)).alias("bucket")
+
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/events/number={number}")
+        df.select("*", F.lit(number).alias("batch"), bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/events/number={number}")
         touched = df.select("trace_id").distinct()
-        files = spark.read.parquet(f"{folder}/events").where(F.col("number") <= number).drop("number")
+        buckets = [r["bucket"] for r in df.select(bucket).distinct().collect()]  # BUCKETS at most
+        files = spark.read.parquet(f"{folder}/events").where((F.col("number") <= number) & F.col("bucket").isin(buckets)).drop("number", "bucket")
         events = files.join(touched, "trace_id", "left_semi")
         fresh = events.where(F.col("batch") == number).groupBy("trace_id").agg(F.min("trace_idx").alias("first_new"))
         found = policy.check(events.drop("batch"), **parameters).join(fresh, "trace_id").where("max_idx >= first_new").drop("first_new")
         if number > 0:
-            kind = StructType([*found.schema.fields, StructField("number", IntegerType())])
-            old = spark.read.schema(kind).parquet(f"{folder}/violations").where(F.col("number") < number)
+            kind = StructType([*found.schema.fields, StructField("number", IntegerType()), StructField("bucket", IntegerType())])
+            old = spark.read.schema(kind).parquet(f"{folder}/violations").where((F.col("number") < number) & F.col("bucket").isin(buckets))
             found = new_keys(found, old)
-        found.write.mode("overwrite").parquet(f"{folder}/violations/number={number}")
+        found.select("*", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/violations/number={number}")
 
     return stream.writeStream.foreachBatch(batch)
