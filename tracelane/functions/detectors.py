@@ -42,6 +42,11 @@ CATEGORIES = tuple("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc
 URL = r"https?://[^\s<>\"')\]]+"
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with the value computed once for a row however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def found_classes(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in patterns.items()]))
 
@@ -70,26 +75,34 @@ def pii(text: Column, entities: list[str] | None = None) -> Column:
 
 
 def unicode_categories(text: Column, categories: list[str] | None = None) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"\p{{{c}}}"), F.lit(c)) for c in (categories or CATEGORIES) if c != "Cs"]))
+    chosen = [c for c in (categories or CATEGORIES) if c != "Cs"]
+    if not chosen:
+        return F.array().cast("array<string>")
+    characters = F.array_join(F.array_distinct(F.split(text, "")), "")  # one pass over the text, then tests of its few characters
+    return once(characters, lambda d: F.array_compact(F.array(*[F.when(d.rlike(rf"\p{{{c}}}"), F.lit(c)) for c in chosen])))
 
 
 def copyright_kinds(text: Column, threshold: float = 0.5) -> Column:
     """The licence whose title begins the text, or else those of which a share of blank-separated title words are words of the text, and COPYRIGHT
     once for each mark that the text holds."""
-    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    words = F.split(bare, " ")
-    names = F.array().cast("array<string>")
-    first, parts, known = None, [], set()
-    for name, title in LICENCES.items():
-        own = [w for w in title.split(" ") if w]
-        known |= set(own)
-        begins = F.startswith(bare, F.lit(title))
-        first = F.when(begins, F.lit(name)) if first is None else first.when(begins, F.lit(name))
-        share = sum((F.array_contains(words, w).cast("int") for w in own), F.lit(0)) / len(own)
-        parts.append(F.when(share >= threshold, F.lit(name)))
-    # most texts hold no word of any title, so they need one test
-    some = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(known)])), F.array_compact(F.array(*parts))).otherwise(names)
-    licences = F.when(first.isNotNull(), F.array(first)).otherwise(some if threshold > 0 else F.array_compact(F.array(*parts)))
+    names, known = F.array().cast("array<string>"), {w for t in LICENCES.values() for w in t.split(" ") if w}
+
+    def shared(words: Column) -> Column:
+        parts = []
+        for name, title in LICENCES.items():
+            own = [w for w in title.split(" ") if w]
+            share = sum((F.array_contains(words, w).cast("int") for w in own), F.lit(0)) / len(own)
+            parts.append(F.when(share >= threshold, F.lit(name)))
+        return F.array_compact(F.array(*parts))
+
+    def titled(bare: Column) -> Column:
+        first = F.coalesce(*[F.when(F.startswith(bare, F.lit(title)), F.array(F.lit(name))) for name, title in LICENCES.items()])
+        return F.coalesce(first, once(F.split(bare, " "), shared))
+
+    licences = once(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), titled)
+    if threshold > 0.2:  # a share that dashes alone can't make; most texts hold no other word of any title, so they need one test
+        some = "|".join("".join("\\" + c if c in ".-" else c for c in w) for w in sorted(known) if w != "-")
+        licences = F.when(text.rlike(some), licences).otherwise(names)
     return F.concat(licences, F.array_compact(F.array(*[F.when(F.contains(text, F.lit(m)), F.lit("COPYRIGHT")) for m in COPYRIGHT_MARKS])))
 
 

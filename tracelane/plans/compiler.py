@@ -238,10 +238,10 @@ class Compiler:
             if not nxt:
                 raise PolicyError(f"{pending[0].name} can't be bound", self.c.module.source)
             for v in nxt:
-                df, base = self._bind(df, v, base and not real and not bound and start is self.c.traces)
+                df, more = self._bind(df, v, base and not real and not bound and start is self.c.traces, bound)
                 base = False
-                bound.add(v.name)
-            pending = [v for v in pending if v not in nxt]
+                bound |= {v.name, *more}
+            pending = [v for v in pending if v.name not in bound]
         union = lambda parts: None if not parts else parts[0] if len(parts) == 1 else _union(parts)
         return union(true_parts), union(false_parts)
 
@@ -253,7 +253,8 @@ class Compiler:
                 out = out & t.col
         return out
 
-    def _bind(self, df: DataFrame, v: Variable, first: bool) -> tuple[DataFrame, bool]:
+    def _bind(self, df: DataFrame, v: Variable, first: bool, bound: set[str]) -> tuple[DataFrame, tuple[str, ...]]:
+        """Rows with a variable bound, and the names of others that were bound with it."""
         p = self.prefix(v.name)
         if v.source is None or v.type in EVENT_TYPES:
             view = self._view(v.type, p)
@@ -266,14 +267,20 @@ class Compiler:
                 extra = (F.col(f"{p}trace_idx") == F.col(f"{m}trace_idx")) & F.startswith(F.col(f"{p}path"), F.concat(F.col(f"{m}path"), F.lit(".tool_calls.")))
             self.env[v.name] = self._variable(v)
             if first:
-                return view, False
+                return view, ()
+            more, meeting = (), self._meeting(v, bound) if v.source is None else None
+            if meeting is not None:
+                left, right = self._exploded(df, meeting[0]), self._exploded(view, meeting[1])
+                if left is not None and right is not None:
+                    df, view, more = left, right, tuple(x.name for x in meeting)
+                    extra = self.env[more[0]].col == self.env[more[1]].col
             view = view.withColumnRenamed("trace_id", f"{p}trace_id")
             on = df["trace_id"] == view[f"{p}trace_id"]
-            return df.join(view, on if extra is None else on & extra).drop(f"{p}trace_id"), False
+            return df.join(view, on if extra is None else on & extra).drop(f"{p}trace_id"), more
         if v.type == "File":
-            return df.withColumn(f"{p}value", F.explode(self._files(v.source))), False
+            self.env[v.name] = self._variable(v)
+            return df.withColumn(f"{p}value", F.explode(self._files(v.source))), ()
         col, kind = self._collection(self.expr(v.source), v.type)
-        col = self._narrowed(col, kind, v)
         self.env[v.name] = self._variable(v)
         if kind == "variant" and v.type in SCALARS:
             name = f"{p}raw"
@@ -281,33 +288,29 @@ class Compiler:
             schema = F.schema_of_variant(F.col(name))
             ok = {"str": schema == "STRING", "bool": schema == "BOOLEAN", "int": schema == "BIGINT", "float": schema.startswith("DECIMAL") | (schema == "DOUBLE")}[v.type]
             value = F.try_variant_get(F.col(name), "$", {"str": "string", "int": "bigint", "float": "double", "bool": "boolean"}[v.type])
-            return df.filter(ok).withColumn(f"{p}value", value).drop(name), False
+            return df.filter(ok).withColumn(f"{p}value", value).drop(name), ()
         df = df.withColumn(f"{p}value", F.explode(col))
-        return df if kind != "variant" else df.withColumn(f"{p}key", F.to_json(F.col(f"{p}value"))), False
-
-    def _narrowed(self, col: Column, kind: str, v: Variable) -> Column:
-        """The elements of a text variable that can meet a line `a == b` of two such variables: those equal to the other one's value or, before it
-        is bound, those that its collection holds too. So a pair of long texts makes a row for each match, not for each pair of words."""
-        if not self.prune or kind != "str" or v.type != "str":
-            return col
-        for line in self.lines:
-            if line.kind != "binary" or line.value != "==" or any(p.kind != "name" for p in line.parts):
-                continue
-            names = [p.value for p in line.parts]
-            if v.name not in names or names[0] == names[1]:
-                continue
-            other = next((x for x in self.variables if x.name == names[names[0] == v.name] and x.type == "str" and x.source is not None), None)
-            if other is None:
-                continue
-            if other.name in self.env:
-                value = self.env[other.name].col
-                col = F.filter(col, lambda e: e == value)  # noqa: B023
-            elif self.free(other.source) <= set(self.env):
-                there, kind_there = self._collection(self.expr(other.source), "str")
-                if kind_there == "str":
-                    common = F.array_intersect(col, there)
-                    col = F.filter(col, lambda e: F.array_contains(common, e))  # noqa: B023
-        return col
+        return df if kind != "variant" else df.withColumn(f"{p}key", F.to_json(F.col(f"{p}value"))), ()
+
+    def _meeting(self, event: Variable, bound: set[str]) -> tuple[Variable, Variable] | None:
+        """(w, v) of a line `w == v` of two text variables, v drawn from `event` alone and w from what is bound: they can be joined by their values, so
+        that two long texts make a row for each match, not for each pair of words."""
+        texts = {v.name: v for v in self.variables if v.type == "str" and v.source is not None and v.name not in bound}
+        for line in self.lines if self.prune else ():
+            if line.kind == "binary" and line.value == "==" and all(p.kind == "name" and p.value in texts for p in line.parts):
+                for w, v in (line.parts, line.parts[::-1]):
+                    near, far = texts[w.value], texts[v.value]
+                    if self.free(far.source) == {event.name} and self.free(near.source) and self.free(near.source) <= bound:
+                        return near, far
+        return None
+
+    def _exploded(self, df: DataFrame, v: Variable) -> DataFrame | None:
+        """df with a text variable bound; None if its collection doesn't hold texts."""
+        col, kind = self._collection(self.expr(v.source), v.type)
+        if kind != "str":
+            return None
+        self.env[v.name] = self._variable(v)
+        return df.withColumn(f"{self.prefix(v.name)}value", F.explode(col))
 
     def _files(self, source: Node) -> Column:
         """The files of a workspace (at most FILES_BYTES of text, as they become a literal): structs of path and content."""
