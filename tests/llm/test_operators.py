@@ -341,17 +341,17 @@ def test_shuffle_of_the_join_is_linear_in_a_group(spark, monkeypatch):
         texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 300, max(1, 300 // n))]
         texts = [t if i < 300 else t + f" y{i}" for i, t in enumerate((texts * 2)[:n])]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        before = shuffled(spark)
+        before = max(stages(spark), default=-1)
         assert {r.n_links for r in ngram_join.join(docs).collect()} == {n - 1}
-        sent[n] = shuffled(spark) - before
+        sent[n] = sum(size for i, size in stages(spark).items() if i > before)
     assert sent[400] < 20 * sent[40]
 
 
-def shuffled(spark):
-    """Bytes written to shuffles by the stages of this session."""
+def stages(spark):
+    """Bytes written to shuffles by each of the session's last stages."""
     store = spark.sparkContext._jsc.sc().statusStore()
-    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    held = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return {held.apply(i).stageId(): held.apply(i).shuffleWriteBytes() for i in range(held.size())}
 
 
 def test_pruning_bounds_and_components(spark):
