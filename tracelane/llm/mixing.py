@@ -100,11 +100,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes out what the mix takes: a row per complete copy, and a row with the first words (blank-separated) of a document taken in part.
     All columns of docs stay, whatever their names; n_chars, where there is one, follows a shortened text."""
     sizes = cut(document_sizes(docs, table(spark, sf_dir, "labels")))
+    repeated = sizes.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count()
     nth = F.row_number().over(Window.partitionBy("_mx_id", "_mx_hash").orderBy(F.desc("_mx_taken")))
     taken = mix(sizes).where(F.col("taken") > 0).select(F.col("doc_id").alias("_mx_id"), F.col("row_key").alias("_mx_hash"), F.col("size").alias("_mx_size"), F.col("taken").alias("_mx_taken")).withColumn("_mx_n", nth)
     whole = docs.select(F.struct(*docs.columns).alias("_mx_doc"), F.col("doc_id").alias("_mx_doc_id"), F.xxhash64("text").alias("_mx_text_hash"), F.monotonically_increasing_id().alias("_mx_row"))
-    whole = whole.withColumn("_mx_nth", F.row_number().over(Window.partitionBy("_mx_doc_id", "_mx_text_hash").orderBy("_mx_row")))
-    same = F.col("_mx_doc_id").eqNullSafe(F.col("_mx_id")) & (F.col("_mx_text_hash") == F.col("_mx_hash")) & (F.col("_mx_nth") == F.col("_mx_n"))
+    same = F.col("_mx_doc_id").eqNullSafe(F.col("_mx_id")) & (F.col("_mx_text_hash") == F.col("_mx_hash"))
+    if repeated:  # rows that repeat are numbered on both sides, which shuffles texts once more
+        whole = whole.withColumn("_mx_nth", F.row_number().over(Window.partitionBy("_mx_doc_id", "_mx_text_hash").orderBy("_mx_row")))
+        same = same & (F.col("_mx_nth") == F.col("_mx_n"))
     copies = F.floor(F.col("_mx_taken") / F.col("_mx_size"))
     part = F.col("_mx_taken") - copies * F.col("_mx_size")
     pieces = F.concat(F.array_repeat(F.lit(0).cast("long"), copies.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
