@@ -25,6 +25,7 @@ from __future__ import annotations
 import io
 import re
 import uuid
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -206,15 +207,15 @@ def components(edges: DataFrame) -> DataFrame:
     def canon(df, x, y):
         return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
 
-    now, forest = cut(canon(edges, "a", "b")), None
+    now, forest = cut(canon(edges, "a", "b")), []
     while now.limit(1).count():
-        parents = followed(cut(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))))
-        forest = parents if forest is None else forest.union(parents)
+        parents = followed(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
+        forest.append(parents)
         moved = now.join(parents, now["u"] == parents["node"]).select("v", F.col("root").alias("x"))
         now = cut(canon(moved.join(parents, moved["v"] == parents["node"], "left").select("x", F.coalesce("root", "v").alias("y")), "x", "y"))
-    if forest is None:
+    if not forest:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("a <> b")
-    labels = followed(cut(forest))
+    labels = followed(reduce(DataFrame.union, forest)) if len(forest) > 1 else forest[0]  # the roots of one round have no parents
     return labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
 
 
