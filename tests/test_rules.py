@@ -431,3 +431,67 @@ def test_words_in_common_make_a_row_for_each_match(spark):
     assert df.count() == 4
     forall = 'raise "v" if:\n    forall:\n        (m: Message) ~> (n: Message)\n        (w: str) in m.content.split(" ")\n        (v: str) in n.content.split(" ")\n        w == v\n'
     assert Policy.from_string(forall).analyze([{"role": "user", "content": "a"}, {"role": "user", "content": "a b"}]) == []
+
+
+def test_models_answer_with_texts_and_issues(spark):
+    image = "data:image/png;base64,QUJD"
+    trace = [{"role": "user", "content": [{"type": "text", "text": "see"}, {"type": "image_url", "image_url": {"url": image}}]}, call("1", "run", {"code": "eval(x)"}), {"role": "user", "content": "my secret word"}]
+    with pytest.raises(PolicyError):
+        Policy.from_string(body("(m: Message)", 'llm(m.content) == "x"')).analyze(trace)
+    D.register_scorer("llm", lambda s: s.map(lambda t: None if t is None else " Yes\n" if "secret" in t and "password" in t else "no" if "?" in t else t.upper()))
+    D.register_scorer("ocr", lambda s: s.map(lambda t: "read " + t[-4:]))
+    D.register_scorer("semgrep", lambda s, lang: s.map(lambda t: [{"severity": "high", "lang": lang}] * ((t or "").count("eval")) or None))
+    try:
+        n = lambda *lines: len(Policy.from_string(body(*lines)).analyze(trace))
+        assert n("(m: Message)", 'llm(m.content) == "MY SECRET WORD"') == 1
+        assert n("(m: Message)", 'llm_confirm("password? " + m.content)') == 1 and n("(m: Message)", "llm_confirm(m.content)") == 0
+        assert n("(m: Message)", '"read QUJD" in ocr(image(m))') == 1 and n("(m: Message)", "len(ocr(image(m))) == 0") == 1
+        issues = 'any([i.severity == "high" and i.lang == "python" for i in semgrep(c.function.arguments.code)])'
+        assert n("(c: ToolCall)", issues) == 1 and n("(c: ToolCall)", "len(semgrep(c.function.name)) == 0") == 1
+        fuzzy = 'fuzzy_contains(m.content, "a password is told"{})'
+        assert n("(m: Message)", fuzzy.format("")) == 1 and n("(m: Message)", fuzzy.format(", use_semantic=False")) == 0
+    finally:
+        for name in ("llm", "ocr", "semgrep"):
+            D.SCORERS.pop(name, None)
+
+
+def test_functions_of_allowed_modules(spark, tmp_path, monkeypatch):
+    from tracelane.plans.linking import modules, python_function
+
+    (tmp_path / "rule_helpers.py").write_text(
+        "from tracelane.plans.linking import python_function\nshouts = python_function(lambda t: t is not None and t.isupper())\nwords = python_function(lambda t: (t or '').split(), 'array<string>')\nvalue = 3\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    trace = [{"role": "user", "content": "LOUD TEXT"}, {"role": "user", "content": "soft text"}, {"role": "user", "content": None}]
+    link = modules("rule_helpers")
+    heads = "from rule_helpers import shouts, words\n"
+    assert len(Policy.from_string(heads + body("(m: Message)", "shouts(m.content)"), link=link).analyze(trace)) == 1
+    assert len(Policy.from_string("import rule_helpers\n" + body("(m: Message)", "rule_helpers.shouts(m.content)"), link=link).analyze(trace)) == 1
+    assert len(Policy.from_string(heads + body("(m: Message)", "(w: str) in words(m.content)", "len(w) > 3"), link=link).analyze(trace)) == 4
+    for wrong, how in ((heads, None), ("from rule_helpers import value as shouts\n", link)):
+        with pytest.raises(PolicyError):
+            Policy.from_string(wrong + body("(m: Message)", "shouts(m.content)"), link=how).analyze(trace)
+    add = {"lengths": python_function(lambda a, b: float(len(a or "") + len(b or "")), "double")}
+    assert len(Policy.from_string(body("(m: Message)", "lengths(m.role, m.content) == 13"), functions=add).analyze(trace)) == 2
+
+
+def test_handlers_around_a_call(spark):
+    rules = 'raise Told("t", m=m) if:\n    (m: Message)\n    "secret" in m.content\n\nraise Asked("a", m=m) if:\n    (m: Message)\n    "password" in m.content\n'
+    told = []
+    monitor = Monitor.from_string(rules, handlers={"Told": told.append})
+    steps = []
+
+    @monitor.validated
+    def step(trace, text):
+        steps.append(text)
+        return [{"role": "assistant", "content": text}]
+
+    trace = [{"role": "user", "content": "a secret"}]
+    trace += step(trace, "fine")
+    assert [v["error_type"] for v in told] == ["Told"] and steps == ["fine"]
+    with pytest.raises(UnhandledError):
+        step(trace, "the password")
+    assert steps == ["fine", "the password"] and len(trace) == 2 and len(told) == 1
+    with pytest.raises(UnhandledError):
+        step([*trace, {"role": "user", "content": "a password"}], "never")
+    assert steps == ["fine", "the password"]

@@ -4,6 +4,7 @@ library. Detectors that need a model or a service are pluggable: register a scor
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections import OrderedDict
 from html.parser import HTMLParser
@@ -121,8 +122,9 @@ SCORERS: dict[str, object] = {}
 
 
 def register_scorer(name: str, function, categories: tuple[str, ...] | None = None) -> None:
-    """function: pandas Series of texts -> Series of scores, for `prompt_injection`, `moderation`, `llm`, `ocr` or `semgrep`; with categories
-    (moderation): -> DataFrame of a column of scores for each; for `embedding`: two columns -> a column of similarities."""
+    """function: pandas Series of texts -> Series of scores, for `prompt_injection`, `moderation`, `PERSON` and `LOCATION`; with categories
+    (moderation): -> DataFrame of a column of scores for each; -> Series of texts for `llm` (prompts) and `ocr` (images); with the language as
+    second argument -> Series of lists of issues (dicts) for `semgrep`; for `embedding`: two columns -> a column of similarities."""
     SCORERS[name] = function
     CATEGORIES_OF.pop(name, None)
     if categories is not None:
@@ -165,6 +167,37 @@ def scored(name: str, text: Column, phrases: tuple[str, ...]) -> Column:
     return F.when(hit, 0.99).otherwise(0.01)
 
 
+def answers(text: Column) -> Column:
+    """What the `llm` scorer answers to each prompt."""
+    function = SCORERS["llm"]
+    return F.pandas_udf(lambda s: pd.Series(function(s)).astype(object), "string")(text)
+
+
+def confirmed(question: Column) -> Column:
+    """Whether the `llm` scorer answers yes and nothing else."""
+    return F.coalesce(answers(question).rlike(r"(?iU)^\s*yes\s*$"), F.lit(False))
+
+
+def read_images(images: Column) -> Column:
+    """The texts that the `ocr` scorer reads in each row's images; a batch's images are one call."""
+    function = SCORERS["ocr"]
+
+    @F.pandas_udf("array<string>")
+    def read(rows: pd.Series) -> pd.Series:
+        every = [i for row in rows if row is not None for i in row]
+        texts = iter(function(pd.Series(every, dtype=object)) if every else ())
+        return rows.map(lambda row: None if row is None else [next(texts) for _ in row])
+
+    return read(images)
+
+
+def code_issues(text: Column, language: str = "python") -> Column:
+    """The issues that the `semgrep` scorer finds in a program, one value each."""
+    function = SCORERS["semgrep"]
+    found = F.pandas_udf(lambda s: pd.Series(function(s, language)).map(lambda issues: [json.dumps(i) for i in (issues if issues is not None else ())]), "array<string>")(text)
+    return F.transform(found, lambda i: F.parse_json(i))
+
+
 def prompt_injection(text: Column, threshold: float = 0.9) -> Column:
     return F.coalesce(scored("prompt_injection", text, INJECTION_PHRASES) > threshold, F.lit(False))
 
@@ -216,15 +249,23 @@ def distance_within(text: str, query: str, edits: int) -> bool:
     return False
 
 
-def fuzzy_contains(text: Column, query: str, threshold: float = 0.8) -> Column:
-    """Edits allowed: min(10, floor(len * (1 - threshold))). Texts that hold the query as it is are settled without Python."""
+#: What the `llm` scorer is asked where no substring of a text is near the query.
+SAME_MEANING = "Does the text below hold this, in whatever words: %s? Answer YES or NO.\n\n"
+
+
+def fuzzy_contains(text: Column, query: str, threshold: float = 0.8, semantic: bool = True) -> Column:
+    """Edits allowed: min(10, floor(len * (1 - threshold))). Texts that hold the query as it is are settled without Python. With `semantic`, an
+    `llm` scorer, where one is registered, is asked about the texts that have no near match."""
     edits = min(10, int(len(query) * (1 - threshold)))
 
     @F.pandas_udf("boolean")
     def near(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: False if t is None else distance_within(t, query, edits)).astype(bool)
 
-    return F.coalesce(F.when(F.contains(text, F.lit(query)), F.lit(True)).otherwise(near(text)), F.lit(False))
+    hit = F.coalesce(F.when(F.contains(text, F.lit(query)), F.lit(True)).otherwise(near(text)), F.lit(False))
+    if not semantic or "llm" not in SCORERS:
+        return hit
+    return F.when(hit, hit).otherwise(confirmed(F.when(~hit, F.concat(F.lit(SAME_MEANING % query), text))))
 
 
 CODE = "struct<imports:array<string>,builtins:array<string>,function_calls:array<string>,syntax_error:boolean,syntax_error_exception:string>"

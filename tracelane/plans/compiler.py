@@ -856,7 +856,7 @@ class Compiler:
             return self._sensitive(name, list(args), dict(named), n)
         values, options = [self.expr(a) for a in args], {k: self.expr(v) for k, v in named}
         if self.c.link is not None and name not in self.c.functions:
-            linked = self.c.link(self.c.module.imports.get(f.value if f.kind == "name" else name, name))
+            linked = self.c.link(self.c.module.imports.get(f.value, name) if f.kind == "name" else f"{receiver.type}.{name}")
             if linked is not None:
                 return linked(*values, **options)
         if name in self.c.functions:
@@ -1112,13 +1112,37 @@ def _f_injection(c, x, model=None, threshold=None):
     return _flagged(c, x, D.prompt_injection(_texts(x), threshold.const if threshold is not None else 0.9))
 
 
-def _pluggable(name):
-    def f(c, *xs, **options):
-        if name not in D.SCORERS:
-            raise PolicyError(f"{name} needs a registered scorer")
-        return Val("bool", D.scored(name, _texts(xs[0]), ()) > 0.5)
+def _needs(name: str) -> None:
+    if name not in D.SCORERS:
+        raise PolicyError(f"{name} needs a registered scorer")
 
-    return f
+
+def _f_llm(c, prompt, *rest, **options):
+    _needs("llm")
+    return Val("str", D.answers(_texts(prompt)))
+
+
+def _f_confirm(c, question, *rest, **options):
+    _needs("llm")
+    return Val("bool", D.confirmed(_texts(question)))
+
+
+def _f_ocr(c, images, **options):
+    """The texts of images: of one, given as text, or of a list such as image(m)."""
+    _needs("ocr")
+    many = images.col if images.kind == "list" else F.array(V.as_str(images))
+    read = D.read_images(many)
+    return Val("list", read, elem="str") if images.kind == "list" else Val("str", F.get(read, 0))
+
+
+def _f_semgrep(c, x, lang=None):
+    _needs("semgrep")
+    return Val("list", D.code_issues(_texts(x), lang.const if lang is not None else "python"), elem="variant")
+
+
+def _f_fuzzy(c, x, query, query_threshold=None, use_semantic=None, threshold=None):
+    near = threshold or query_threshold
+    return Val("bool", D.fuzzy_contains(_texts(x), query.const, float(near.const) if near is not None else 0.8, use_semantic is None or bool(use_semantic.const)))
 
 
 def _f_files(tree):
@@ -1157,7 +1181,7 @@ FUNCTIONS = {
     "unicode": _finder(D.unicode_categories, lambda categories=None: ["[" + "".join(rf"\p{{{k}}}" for k in categories or D.CATEGORIES if k != "Cs") + "]"]),
     "copyright": _finder(D.copyright_kinds, lambda threshold=0.5: [R.quoted(m) for m in D.COPYRIGHT_MARKS]),
     "links": _finder(D.links), "prompt_injection": _f_injection, "moderated": _f_moderated, "embedding_similarity": _f_similarity,
-    "fuzzy_contains": lambda c, x, q, query_threshold=None, threshold=None, use_semantic=None: Val("bool", D.fuzzy_contains(_texts(x), q.const, float((threshold or query_threshold or lit(0.8)).const))),
+    "fuzzy_contains": _f_fuzzy,
     "get_files": _f_files(False), "get_tree_files": _f_files(True), "get_file_content": _f_file, "get_file_contents": _f_contents,
-    "llm": _pluggable("llm"), "llm_confirm": _pluggable("llm"), "ocr": _pluggable("ocr"), "semgrep": _pluggable("semgrep"),
+    "llm": _f_llm, "llm_confirm": _f_confirm, "ocr": _f_ocr, "semgrep": _f_semgrep,
 }

@@ -8,6 +8,8 @@ that is run again after a failure replaces what it had written.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -18,14 +20,16 @@ BUCKETS = 64
 
 
 class Monitor:
-    def __init__(self, policy):
-        self.policy, self.seen = policy, set()
+    """handlers: what to call with a violation, by error type; see run."""
+
+    def __init__(self, policy, handlers: dict | None = None):
+        self.policy, self.seen, self.handlers = policy, set(), handlers or {}
 
     @classmethod
-    def from_string(cls, text: str, **more) -> Monitor:
+    def from_string(cls, text: str, handlers: dict | None = None, **more) -> Monitor:
         from ..plans.policy import Policy
 
-        return cls(Policy.from_string(text, **more))
+        return cls(Policy.from_string(text, **more), handlers)
 
     def check(self, past: list, pending: list, raise_unhandled: bool = False, **parameters) -> list[dict]:
         from ..plans.policy import UnhandledError
@@ -43,6 +47,39 @@ class Monitor:
         self.seen |= {f["key"] for f in found}
         return new
 
+    def run(self, trace: list, n_past: int = 0, **parameters) -> list[dict]:
+        """The new violations that bind an event at or after n_past (with 0: all new ones). Each goes to the handler of its error type; one without a
+        handler raises UnhandledError, after the handlers of the others have run."""
+        from ..plans.policy import UnhandledError
+
+        new = self.check(trace[:n_past], trace[n_past:], **parameters) if n_past else self.analyze(trace, **parameters)
+        left = []
+        for violation in new:
+            handler = self.handlers.get(violation["error_type"])
+            if handler is None:
+                left.append(violation)
+            else:
+                handler(violation)
+        if left:
+            raise UnhandledError(left[0]["error"])
+        return new
+
+    def validated(self, function=None, **parameters):
+        """A decorator of a function from a trace to the events that it adds: `run` sees the trace before the call and what was added after it, so
+        a violation without a handler keeps the function from running, or its events from being returned."""
+
+        def wrap(step):
+            @wraps(step)
+            def guarded(trace: list, *args, **named) -> list:
+                self.run(trace, **parameters)
+                added = list(step(trace, *args, **named))
+                self.run(trace + added, len(trace), **parameters)
+                return added
+
+            return guarded
+
+        return wrap if function is None else wrap(function)
+
     def reset(self) -> None:
         self.seen = set()
 
