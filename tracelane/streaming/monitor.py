@@ -49,9 +49,11 @@ class Monitor:
 
     def run(self, trace: list, n_past: int = 0, **parameters) -> list[dict]:
         """The new violations that bind an event at or after n_past (with 0: all new ones). Each goes to the handler of its error type; one without a
-        handler raises UnhandledError, after the handlers of the others have run."""
+        handler raises UnhandledError, after the handlers of the others have run. What was found then counts as not reported: the trace may go on
+        with other events at the same places."""
         from ..plans.policy import UnhandledError
 
+        before = set(self.seen)
         new = self.check(trace[:n_past], trace[n_past:], **parameters) if n_past else self.analyze(trace, **parameters)
         left = []
         for violation in new:
@@ -61,6 +63,7 @@ class Monitor:
             else:
                 handler(violation)
         if left:
+            self.seen = before
             raise UnhandledError(left[0]["error"])
         return new
 
