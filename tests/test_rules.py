@@ -495,3 +495,10 @@ def test_handlers_around_a_call(spark):
     with pytest.raises(UnhandledError):
         step([*trace, {"role": "user", "content": "a password"}], "never")
     assert steps == ["fine", "the password"]
+
+
+def test_places_in_texts_and_joined_lists(spark):
+    trace = [{"role": "user", "content": "abc"}, {"role": "user", "content": [{"type": "text", "text": "xy"}, {"type": "text", "text": "z"}]}, {"role": "user", "content": None}]
+    n = lambda line: len(Policy.from_string(body("(m: Message)", line)).analyze(trace))
+    assert [n(f'm.content[{i}] == "{c}"') for i, c in ((0, "a"), (-1, "c"), (-3, "a"), (-4, "a"), (3, ""), (0, "xy"), (-1, "z"))] == [1, 1, 1, 0, 0, 1, 1]
+    assert n('"-".join([m.role, "b"]) == "user-b"') == 3 and n('m.role.join(["1", "2"]) == "1user2"') == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detectors as D
@@ -94,9 +94,9 @@ calls_rule("pattern_wildcard", "c is tool:view({k: *})", "name = 'view' AND k IS
 calls_rule("pattern_type_strict", 'c is tool:view({k: "7"}) or c is tool:click({k: 7})', "name = 'click' AND k = 7")
 
 
-def doc_calls(spark, sf_dir: str) -> DataFrame:
-    """A call of the tool `doc` per document, with a string, a list, a number and the text as arguments."""
-    args = F.to_json(F.struct("lang", F.array("lang", "source").alias("tags"), F.col("n_chars").alias("n"), "text"))
+def doc_calls(spark, sf_dir: str, lang: Column | None = None) -> DataFrame:
+    """A call of the tool `doc` per document, with a string (`lang`, unless given), a list, a number and the text as arguments."""
+    args = F.to_json(F.struct((F.col("lang") if lang is None else lang).alias("lang"), F.array("lang", "source").alias("tags"), F.col("n_chars").alias("n"), "text"))
     return T.shaped(read(spark, sf_dir, "documents"), trace_id=F.col("doc_id").cast("long"), pos=F.lit(0), trace_idx=F.lit(0), path=F.lit("0"), kind=F.lit("ToolCall"), tool_name=F.lit("doc"), args=args, call_id=F.col("doc_id").cast("string"), call_type=F.lit("function"))
 
 
@@ -361,17 +361,17 @@ add("unicode_categories", lambda spark, d: read(spark, d, "documents").select("d
 PLANTED_SECRETS = ("ghp_" + "a1" * 18, "AKIA" + "B2" * 8, "AccountKey=" + "c3/" * 29 + "=", "xoxb-12-345-ab", "ghp_short")
 
 
-def _planted(column: str, key: str, texts: tuple[str, ...]):
+def planted(column: str, key: str, texts: tuple[str, ...]):
     """(a function that gives the Spark column, SQL) of a table's text with a planted one after it."""
 
-    def planted():
+    def column_of():
         return F.concat(F.col(column), F.lit("\n"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(F.col(key), F.lit(len(texts))) + 1).cast("int")))
 
     listed = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
-    return planted, f"({column} || chr(10) || ([{listed}])[({key} % {len(texts)}) + 1])"
+    return column_of, f"({column} || chr(10) || ([{listed}])[({key} % {len(texts)}) + 1])"
 
 
-_SECRET, _SECRET_SQL = _planted("text", "doc_id", PLANTED_SECRETS)
+_SECRET, _SECRET_SQL = planted("text", "doc_id", PLANTED_SECRETS)
 add(
     "secrets_classes", lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(D.secrets(_SECRET())).alias("found")),
     " UNION ALL ".join(f"SELECT doc_id, '{n}' AS found FROM documents WHERE regexp_matches({_SECRET_SQL}, '{p}')" for n, p in D.SECRETS.items()),
@@ -407,7 +407,7 @@ add(
     "python_code_imports", lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", D.python_code(_CODE()).alias("p")).select("conv_id", "turn", "p.syntax_error", F.array_join("p.imports", ",").alias("imports"), F.array_join("p.function_calls", ",").alias("calls")),
     "SELECT conv_id, turn, turn % 3 = 0 AS syntax_error, CASE WHEN turn % 3 = 0 THEN '' ELSE 'a' || turn || ',os' END AS imports, CASE WHEN turn % 3 = 0 THEN '' ELSE 'len,print' END AS calls FROM conversations",
 )
-_TYPO, _ = _planted("text", "turn", ("my pasword iz hunter2", "my passwd", "my password is hunter2"))
+_TYPO, _ = planted("text", "turn", ("my pasword iz hunter2", "my passwd", "my password is hunter2"))
 add(
     "fuzzy_contains", lambda spark, d: read(spark, d, "conversations").where(D.fuzzy_contains(_TYPO(), "my password is hunter2")).select("conv_id", "turn"),
     "SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1",
@@ -416,7 +416,7 @@ add(
     "moderation_windows", lambda spark, d: read(spark, d, "documents").select("doc_id", F.size(D.windows(F.col("text"))).cast("bigint").alias("n")),
     "SELECT doc_id, coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda s: (length(s) + 1999) // 2000)), 0)::BIGINT AS n FROM documents",
 )
-_UNSAFE, _UNSAFE_SQL = _planted("text", "turn", ("a bomb", "I hate you", "nothing"))
+_UNSAFE, _UNSAFE_SQL = planted("text", "turn", ("a bomb", "I hate you", "nothing"))
 _MODERATED = Policy.from_string('raise Violation("m", m=m) if:\n    (m: Message)\n    moderated(m.content, cat_thresholds={"violence": 0.999})\n')
 add(
     "moderation_categories", lambda spark, d: _MODERATED.models(T.messages(read(spark, d, "conversations").withColumn("text", _UNSAFE()))).select(F.col("trace_id").alias("conv_id"), F.col("m__pos").cast("bigint").alias("turn")),
@@ -467,3 +467,5 @@ def _stream(spark, sf_dir):
 
 
 add("stream_monitor", _stream, f"WITH {CALLS} SELECT trace_id AS user_id, '[0,' || pos || ']' AS key FROM c WHERE name = 'error'")
+
+from . import recorded  # noqa: E402,F401 - adds its queries to the ones above

@@ -759,9 +759,12 @@ class Compiler:
         if x.kind == "list":
             i = k.col.cast("int")
             return V.element(x.elem if isinstance(x.elem, str) else x.elem.kind, F.get(x.col, F.when(i < 0, F.size(x.col) + i).otherwise(i)))
-        if x.kind == "str" and k.kind == "num":
+        if x.kind in ("str", "content") and k.kind == "num":  # a character; of a content of chunks, a chunk's text
             i = k.col.cast("int")
-            return Val("str", F.nullif(F.substring(x.col, F.when(i < 0, F.length(x.col) + i).otherwise(i) + 1, F.lit(1)), F.lit("")))
+            at = F.when(i < 0, F.length(x.col) + i).otherwise(i) + 1
+            character = F.when(at > 0, F.nullif(F.substring(x.col, at, F.lit(1)), F.lit("")))
+            chunks = x.fields["chunks"] if x.kind == "content" else None
+            return Val("str", character if chunks is None else F.coalesce(character, F.get(chunks, F.when(i < 0, F.size(chunks) + i).otherwise(i))["text"]))
         if x.kind in ("json", "variant", "str", "content") and isinstance(k.const, (str, int)):
             if x.kind == "variant" or isinstance(k.const, int) and k.const < 0:
                 v = x.variant()
@@ -940,7 +943,7 @@ class Compiler:
             lines = F.split(s, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]", -1)
             return Val("list", F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines), elem="str")
         if name == "join":
-            return Val("str", F.array_join(V.as_list(args[0])[0].cast("array<string>"), s))
+            return Val("str", F.call_function("array_join", V.as_list(args[0])[0].cast("array<string>"), s))
         if name == "format":
             if not isinstance(x.const, str):
                 raise ExcessivePolicyError("only a constant can be a format", self.c.module.source, n.at)

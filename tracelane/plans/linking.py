@@ -36,9 +36,9 @@ def python_function(function: Callable, returns: str = "boolean") -> Callable:
     """A function of texts (str or None) as a function of rules, run on Arrow batches. An error in it ends the query."""
     if returns not in RESULTS:
         raise ValueError(f"returns is one of {', '.join(RESULTS)}")
-    run = F.pandas_udf(lambda *texts: pd.Series([function(*row) for row in zip(*texts, strict=True)], dtype=object), returns)
 
     def call(*values: Val) -> Val:
+        run = F.pandas_udf(lambda *texts: pd.Series([function(*row) for row in zip(*texts, strict=True)], dtype=object), returns)  # needs a session
         out = run(*[V.as_str(v) if v.kind == "content" else V.as_text(v) for v in values])
         return Val(RESULTS[returns], F.coalesce(out, F.array().cast(returns)), elem="str") if returns == "array<string>" else Val(RESULTS[returns], out)
 
