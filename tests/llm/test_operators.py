@@ -503,6 +503,19 @@ def test_pieces_equal_the_library_and_decode(spark):
         assert stepped.encode([t])[0].tolist() == ids[at[i] : at[i + 1]].tolist()
 
 
+def test_every_long_piece_is_found():
+    import sentencepiece
+
+    model = spm.PieceModel()
+    library, e = sentencepiece.SentencePieceProcessor(model_file=spm.default_model()), spm.Encoder(model)
+    texts = [p.replace("▁", " ") + end for p, _ in model.pieces if len(p) >= model.longest - 4 for end in ("", "s", " x")]
+    ids, at = e.encode(texts)
+    assert len(texts) > 30 and [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t) for t in texts]
+    codes = e.alphabet[[ord(c) for c in max((p for p, _ in model.pieces), key=len)]]
+    starts, rows = e.edges(codes)  # a piece as long as the longest has its place
+    assert (e.piece_len[rows] == model.longest).any()
+
+
 def test_runs_of_blanks_and_words_without_end(monkeypatch):
     import time
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,15 @@ def merge(word: str, ids: dict, rank: np.ndarray) -> list[tuple[str, tuple | Non
     return [p for p in parts if p is not None]
 
 
+def _words(text: str) -> list[str]:
+    """A text's words without the blank that begins each."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and BLANK not in text:
+        return text.split(" ")
+    return [w[1:] for w in _WORD.findall(BLANK + text.replace(" ", BLANK))]
+
+
 class PieceModel:
     """Arrays made once from a model file; picklable."""
 
@@ -122,18 +131,22 @@ class Encoder:
         chars = sorted({c for p, _ in model.pieces for c in p})
         self.alphabet = np.zeros(0x110000, np.uint16)  # 0: no piece has it
         self.alphabet[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.width = -(-model.longest // 4)
+        self.width = model.longest // 4 + 1  # beyond the longest piece, so that each has a place for what follows it
         self.piece_codes = np.zeros((len(model.pieces), 4 * self.width), np.uint16)
         for row, (p, _) in enumerate(model.pieces):
             self.piece_codes[row, : len(p)] = self.alphabet[[ord(c) for c in p]]
         self.piece_len = np.array([len(p) for p, _ in model.pieces], np.int32)
+        after_end = np.arange(4 * self.width) >= self.piece_len[:, None]
+        self.piece_keys = self._pack(self.piece_codes)  # what begins with a piece lies from its key up to the key that goes on with the last code
+        self.piece_ends = self._pack(np.where(after_end, np.uint16(0xFFFF), self.piece_codes))
         self.piece_id = np.array([i for _, i in model.pieces], np.int32)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.flat, self.at, self.filled = np.empty(1 << 18, np.int32), [0], 0
+        self.flat, self.filled = np.empty(1 << 18, np.int32), 0
+        self.at, self.words = np.zeros(1 << 16, np.int64), 0  # the ids of word i are flat[at[i] : at[i + 1]]
 
     # -- the suffix array and the pieces' ranges in it
 
@@ -160,27 +173,28 @@ class Encoder:
             covered *= 2
         array = array[array < codes.size].astype(np.int32)
         keys = np.stack([quads[np.minimum(array + 4 * j, quads.size - 1)] for j in range(self.width)], axis=1)
-        low = self._search(keys, self._pack(self.piece_codes))
-        beyond = self.piece_codes.copy()
-        for row, n in enumerate(self.piece_len):
-            beyond[row, n:] = 0xFFFF
-        high = self._search(keys, self._pack(beyond))
+        low, high = self._search(keys, self.piece_keys), self._search(keys, self.piece_ends)
         counts = high - low
         rows = np.repeat(np.arange(counts.size, dtype=np.int32), counts)
         return array[np.arange(rows.size, dtype=np.int32) + np.repeat((low - np.cumsum(counts) + counts).astype(np.int32), counts)], rows
 
     def _search(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The number of keys below each wanted one, compared column by column, all wanted ones at once."""
-        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys), np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            here = keys[np.minimum(mid, len(keys) - 1)]
-            less, same = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
-            for j in range(self.width):
-                less |= same & (here[:, j] < wanted[:, j])
-                same &= here[:, j] == wanted[:, j]
-            low = np.where(open_ & less, mid + 1, low)
-            high = np.where(open_ & ~less, mid, high)
+        """The number of keys below each wanted one: binary search by the first column, then, where keys share it, by the others."""
+        first = np.ascontiguousarray(keys[:, 0])
+        low, top = np.searchsorted(first, wanted[:, 0], "left"), np.searchsorted(first, wanted[:, 0], "right")
+        live = np.flatnonzero(low < top)
+        a, b, sought = low[live], top[live], wanted[live]
+        while live.size:
+            mid = (a + b) // 2
+            here = keys[mid]
+            less, same = np.zeros(live.size, bool), np.ones(live.size, bool)
+            for j in range(1, self.width):
+                less |= same & (here[:, j] < sought[:, j])
+                same &= here[:, j] == sought[:, j]
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            low[live] = a
+            open_ = a < b
+            live, a, b, sought = live[open_], a[open_], b[open_], sought[open_]
         return low
 
     # -- which piece may follow which
@@ -225,7 +239,7 @@ class Encoder:
     # -- words
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words and appends their ids to the flat array."""
+        """Encodes words, appends their ids to the flat array and keeps their places, by the word without the blank that begins it."""
         m, simple, slow = self.m, [], []
         for w in words:
             (slow if w.count(BLANK) > 1 else simple).append(w)
@@ -242,14 +256,17 @@ class Encoder:
             for p, _ in merge(w, m.ids, m.tied):
                 ids += [m.ids[p]] if p in m.ids else [m.bytes[b] for b in p.encode("utf-8", "replace")]
             self._store(np.array(ids, np.int32), np.array([len(ids)]))
-            self.known[w] = len(self.at) - 2
+            self.known[w[1:]] = self.words - 1
 
     def _store(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.filled + ids.size > self.flat.size:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.filled : self.filled + ids.size] = ids
-        self.at += (self.filled + np.cumsum(lengths)).tolist()
+        while self.words + lengths.size + 1 > self.at.size:
+            self.at = np.concatenate((self.at, np.empty_like(self.at)))
+        self.at[self.words + 1 : self.words + 1 + lengths.size] = self.filled + np.cumsum(lengths)
         self.filled += ids.size
+        self.words += lengths.size
 
     def _learn_simple(self, words: list[str]) -> None:
         m = self.m
@@ -316,22 +333,24 @@ class Encoder:
             width[odd] = [len(s) for s in spelled]
             w, ids = np.repeat(w, width), np.repeat(ids, width)
             ids[ids < 0] = np.concatenate([np.array(s) for s in spelled])
-        number = len(self.at) - 1
+        number = self.words
         self._store(ids.astype(np.int32), np.bincount(w, minlength=len(words)))
-        self.known.update(zip(words, range(number, number + len(words)), strict=True))
+        self.known.update(zip((x[1:] for x in words), range(number, number + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:  # a text without blanks is one word
             self.forget()
-        split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-            self.chars += sum(map(len, new))
-        known = self.known
-        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
-        at = np.asarray(self.at)
+        split = [_words(t) for t in texts]
+        every = list(chain.from_iterable(split))
+        numbers = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(numbers < 0)
+        if missing.size:
+            new = sorted({every[i] for i in missing.tolist()})
+            self.learn([BLANK + w for w in new])
+            self.chars += sum(map(len, new)) + len(new)
+            numbers[missing] = [self.known[every[i]] for i in missing.tolist()]
+        at = self.at
         sizes = at[numbers + 1] - at[numbers]
         total = np.cumsum(sizes)
         ids = self.flat[np.arange(int(total[-1]) if total.size else 0) + np.repeat(at[numbers] - (total - sizes), sizes)]
