@@ -318,6 +318,25 @@ def test_parts_of_a_large_component(spark, monkeypatch):
     assert [x.n_links for x in sorted(got, key=lambda x: x.doc_id)] == expect
 
 
+def test_join_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(11)
+    base = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(3, 60))) for _ in range(60)]
+    texts = base + base[:10] + [None, "", "  ", "a b", "A b"]
+    for t in base[:40]:  # near copies on both sides of the threshold, and chains of them
+        words = t.split()
+        for _ in range(r.randrange(1, 4)):
+            words[r.randrange(len(words))] = "changed"
+            texts.append(" ".join(words) + r.choice(["", " end", "\n"]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.sql(ngram_join.ORACLE).fetchall())
+    got = sorted(tuple(x) for x in ngram_join.query(spark, str(tmp_path)).select("doc_id", "class_id", "n_copies", "n_links", "group_id").collect())
+    assert got == want and sum(x[3] > 0 for x in want) > 20
+
+
 def test_join_of_repeated_and_missing_ids(spark):
     long = [f"w{i}" for i in range(60)]
     a, b, c = " ".join(long), " ".join([*long, "tail"]), " ".join(long[::-1])

@@ -388,3 +388,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = list(docs.columns)
     held = docs.select(F.struct(*names).alias("_doc"), row(F.col("doc_id"), text_key()).alias("_row"))
     return held.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_doc.*")
+
+
+#: All pairs of texts that share a shingle, verified; groups by following links from each group's smallest class.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT t, min(doc_id) AS class_id, count(*) AS n_copies FROM d GROUP BY t),
+w AS (SELECT class_id, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM c),
+s AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.class_id < y.class_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.class_id = a JOIN n y ON y.class_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT class_id, class_id FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE e.b > r.root),
+g AS (SELECT node, min(root) AS group_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, class_id, n_copies, coalesce(n_links, 0)::BIGINT AS n_links, group_id FROM d JOIN c USING (t) JOIN g ON g.node = class_id LEFT JOIN k ON k.a = class_id
+"""

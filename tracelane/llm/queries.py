@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_ann": ann.query,
 }
-ORACLES = {"op6_mixing": mixing.ORACLE, "op8_exact_topk": exact_topk.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op3_ngram_jaccard_join": ngram_join.ORACLE, "op6_mixing": mixing.ORACLE, "op8_exact_topk": exact_topk.ORACLE, "op9_warc": warc.ORACLE}
