@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelane.llm import ann, exact_topk, langid, mixing, ngram_join, pii, sharding, spm, toxicity, warc
+from tracelane.llm import ann, common, exact_topk, langid, mixing, ngram_join, pii, sharding, spm, toxicity, warc
 from tracelane.llm.common import HashTable
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -391,6 +391,29 @@ def test_join_hard(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 7), (False, 8), (True, 0)]
 
 
+def test_the_join_writes_no_file_from_the_jvm(spark):
+    """A JVM starts a process for each file that it writes to a local folder; such files have a checksum beside them."""
+    from pathlib import Path
+
+    from tracelane.shared import shared_dir
+
+    home = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(home.rglob("*"))
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "doc_id long, text string")
+    assert {r.group_id for r in ngram_join.join(docs).collect()} == {0}
+    new = [p.name for p in set(home.rglob("*")) - before]
+    assert any(n.startswith("part-") and n.endswith(".parquet") for n in new) and not any(n.endswith(".crc") for n in new)
+
+
+def test_written_tables_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "GROUP_BYTES", 100)
+    df = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, unhex(hex(id))) b", "if(id % 5 = 0, null, array(id, null)) a", "id > 9 as c", "cast(id as int) i").repartition(5)
+    got = common.written(df)
+    assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert common.written(df.where("id < 0")).count() == 0 and common.written(df.where("id < 0")).columns == df.columns
+
+
 # -- 4
 
 

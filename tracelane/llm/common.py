@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bounded_batches
 from ..shared import scratch, shared_dir, store
 
-__all__ = ["HashTable", "cut", "scratch", "shared_dir", "store", "table", "tune"]
+__all__ = ["HashTable", "cut", "scratch", "shared_dir", "store", "table", "tune", "written"]
 
 BATCH_ROWS = 1000
 PACK_CHARS = 1 << 20
 SHORT = 0xFFFF
+#: Bytes of a row group of what `written` writes; its folder in each application.
+GROUP_BYTES = 16 << 20
+_WRITTEN: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
@@ -27,6 +35,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like `cut`, but the tasks write Parquet from Python. Hadoop's local file system starts a process for each file and folder that it makes, to
+    set permissions, and until that process runs its program it seems to hold all memory of the executor's JVM a second time."""
+    spark, schema = df.sparkSession, df.schema
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = scratch(spark, "written")
+    folder = f"{_WRITTEN[app]}/{uuid.uuid4().hex}"
+    files, at = store(folder)
+    files.create_dir(at)
+
+    def write(batches):
+        from pyarrow import parquet
+
+        (files, at), held, writer = store(folder), [], None
+        draft = f"{at}/_{uuid.uuid4().hex}"
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(b.nbytes for b in held) >= GROUP_BYTES):
+                writer = writer or parquet.ParquetWriter(draft, held[0].schema, filesystem=files)
+                writer.write_table(pa.Table.from_batches(held))
+                held = []
+        if writer:
+            writer.close()
+            files.move(draft, f"{at}/part-{TaskContext.get().partitionId():06}.parquet")  # a task that runs again writes the same
+        yield from ()
+
+    df.mapInArrow(write, "none long").collect()
+    return spark.read.schema(schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

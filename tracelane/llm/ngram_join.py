@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, scratch, store, table, tune
+from .common import scratch, store, table, tune, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, CHUNK, TOLERANCE = 5, 0.8, 25, 5, 25, 1e-6
 #: Texts of a bucket that is compared whole, texts and bytes of shingles of a part, digests that a task keeps.
@@ -192,7 +192,7 @@ def followed(parents: DataFrame) -> DataFrame:
     """parents: node, root (smaller). Follows roots that have a parent themselves, by doubling; each round is cut to the shared folder."""
     while True:
         above = parents.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = cut(parents.join(above, parents["root"] == above["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        new = written(parents.join(above, parents["root"] == above["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
         parents = new.select("node", "root")
         if not new.where("moved").limit(1).count():
             return parents
@@ -207,12 +207,12 @@ def components(edges: DataFrame) -> DataFrame:
     def canon(df, x, y):
         return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
 
-    now, forest = cut(canon(edges, "a", "b")), []
+    now, forest = written(canon(edges, "a", "b")), []
     while now.limit(1).count():
-        parents = followed(cut(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))))
+        parents = followed(written(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))))
         forest.append(parents)
         moved = now.join(parents, now["u"] == parents["node"]).select("v", F.col("root").alias("x"))
-        now = cut(canon(moved.join(parents, moved["v"] == parents["node"], "left").select("x", F.coalesce("root", "v").alias("y")), "x", "y"))
+        now = written(canon(moved.join(parents, moved["v"] == parents["node"], "left").select("x", F.coalesce("root", "v").alias("y")), "x", "y"))
     if not forest:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("a <> b")
     labels = followed(reduce(DataFrame.union, forest)) if len(forest) > 1 else forest[0]  # the roots of one round have no parents
@@ -246,11 +246,11 @@ def unnamed(key):
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, node, class_id, teller, n_docs) of every distinct text. key: the text's digest; node: a number of the
     class inside a run; class_id: its name; teller: the doc_id of the row that stands for the class, or `unnamed`."""
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.monotonically_increasing_id().alias("row")))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.monotonically_increasing_id().alias("row")))
     held = rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("row").alias("node"), F.min("doc_id").alias("least"))
     nth = F.row_number().over(Window.partitionBy(F.coalesce("least", "node"), F.col("least").isNull()).orderBy("key"))
     name = F.when(F.col("least").isNotNull() & (nth == 1), F.col("least")).otherwise(unnamed("key"))
-    return rows.select("doc_id", "key"), cut(held.select("key", "node", "n_docs", name.alias("class_id"), F.coalesce("least", unnamed("key")).alias("teller")))
+    return rows.select("doc_id", "key"), written(held.select("key", "node", "n_docs", name.alias("class_id"), F.coalesce("least", unnamed("key")).alias("teller")))
 
 
 def sketch(batches):
@@ -277,7 +277,7 @@ def near(sketched: DataFrame) -> DataFrame:
     """sketched: node, bands, sketch. Edges (a, b) that span, within each bucket, the pairs that the sketches don't rule out."""
     banded = sketched.select("node", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(sizes, "band").select("band", "node", "leader", "n"))
+    members = written(banded.join(sizes, "band").select("band", "node", "leader", "n"))
     large = members.where((F.col("n") > BUCKET) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     small = members.where(F.col("n") <= BUCKET).groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()  # BUCKET nodes at most
     asked = small.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(sketched.select("node", "sketch"), "node")
@@ -330,12 +330,12 @@ def links(sets: DataFrame, places: DataFrame, folder: str) -> DataFrame:
                 side = np.repeat([0, 1], [part[0].size, other[0].size])
                 yield told(compare(np.concatenate((part[0], other[0])), np.concatenate((part[1], other[1])), part[2] + other[2], side))
 
-    first = cut(sets.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(within, schema))
+    first = written(sets.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(within, schema))
     # parts are dealt by hash, so one of few texts may be empty and have no file
     pairs = places.where("part + 1 < parts").select("root", F.col("part").alias("p"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("q"))
     pairs = pairs.join(places.select("root", F.col("part").alias("q")), ["root", "q"], "left_semi")
     second = pairs.repartition("root", "p", "q").sortWithinPartitions("root", "p").mapInArrow(across, schema)
-    return first.union(cut(second))
+    return first.union(written(second))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -346,10 +346,10 @@ def join(docs: DataFrame) -> DataFrame:
     rows, named = classes(docs)
     # texts are sketched where they lie, once in each task, and their class picked afterwards: no text is shuffled, and few sketches of copies
     found = docs.select(text_key().alias("key"), "text").mapInArrow(sketch, "key binary, bands array<long>, sketch binary, bytes long")
-    sketched = cut(found.join(named.select("key", "node", "teller"), "key").dropDuplicates(["key"]))
+    sketched = written(found.join(named.select("key", "node", "teller"), "key").dropDuplicates(["key"]))
     clusters = components(near(sketched)).join(sketched.select("node", "key", "teller", "sketch", "bytes"), "node")
     sizes = clusters.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PART), F.ceil(F.sum("bytes") / PART_BYTES)).cast("int").alias("parts"))
-    placed = cut(clusters.join(sizes, "root").select("node", "key", "teller", "root", "sketch", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")))
+    placed = written(clusters.join(sizes, "root").select("node", "key", "teller", "root", "sketch", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")))
 
     def shingled(batches):  # shingles are made again, from the texts of candidates only
         for batch in batches:
