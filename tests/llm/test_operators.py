@@ -489,6 +489,22 @@ def test_planted_addresses_are_added(spark):
         assert [(text[s:e], k) for s, k, e in added] == [(form, 1)]
 
 
+def test_every_document_teaches(spark, monkeypatch):
+    """Personal data that a sample of 8,000 rows by the id's hash would miss is learnt, and a table of examples gives the trees that the driver's own give."""
+    r = random.Random(4)
+    missed = [x.id for x in spark.range(12_000).where("pmod(xxhash64(id, 11), 1000000) >= 700000").limit(300).collect()]
+    texts = {i: f"see host {r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{i % 256} at 12:{i % 60:02}:33 in v{i % 9}.{i % 7}.2, mail x{i}@y{i % 5}.org or call +1 (555) 555-{1000 + i}" for i in missed}
+    docs = spark.createDataFrame([(i, texts.get(i, "nothing here")) for i in range(12_000)], "doc_id long, text string")
+    told = {}
+    for held in (1 << 19, 0):
+        monkeypatch.setattr(pii, "HELD", held)
+        model = pii.train(docs)
+        told[held] = model.trees.trees, model.thresholds
+        (_, added), = model.find(["the server at 10[.]9[.]8[.]7 was up at 12:30:20"])
+        assert [k for _, k, _ in added] == [1]
+    assert told[0] == told[1 << 19]
+
+
 def test_very_long_texts_of_personal_data_are_linear(spark):
     import time
 

@@ -3,15 +3,16 @@
 1. Base spans: the four patterns with their checks. They always stay.
 2. Generators of high recall propose overlapping spans: digit zones and their parts as card, phone and ip, defanged (`10[.]0[.]0[.]1`)
    and IPv6 addresses as ip, and spelled-out addresses as email. Proposals whose format or surroundings rule them out (`ruled_out`) are never added.
-3. Boosted trees judge each other proposal by its format and its surroundings. They learn from a bounded sample of documents
-   (`fit_rows`): base spans and spelled-out or reformatted variants of them are positive; proposals that are ruled out, and those that
-   cover a variant in part or beyond its ends, are negative. The sample's other proposals are unlabelled and teach nothing: many are
-   personal data that no base pattern fits.
-4. Per kind a threshold is calibrated on the half of the sample that the trees didn't see: the least one at which at most `MISS` of
+3. Boosted trees judge each other proposal by its format and its surroundings. They learn from all documents, half of them chosen by a
+   hash of the text: base spans and spelled-out or reformatted variants of them are positive; proposals that are ruled out, and those that
+   cover a variant in part or beyond its ends, are negative. Other proposals are unlabelled and teach nothing: many are
+   personal data that no base pattern fits. Examples that fall into the same bins are counted; up to `HELD` kinds of them are kept by the
+   driver, more stay in a table that gives the same sums, and so the same trees.
+4. Per kind a threshold is calibrated on the half of the documents that the trees didn't see: the least one at which at most `MISS` of
    that half's negatives would be taken, never below `FLOOR`. Proposals that reach it and touch no base span are added; of overlapping
    ones the longer stays, then the likelier.
 
-Null texts are empty. Without a base span in the sample nothing is added. Offsets are code points, ends exclusive.
+Null texts are empty. Without a base span in the first half nothing is added. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from itertools import accumulate, batched, pairwise
 
 import numpy as np
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .boosting import BoostedTrees
-from .common import bounded, table, tune
+from .boosting import BINS, BoostedTrees, binned
+from .common import table, tune, written
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS, MISS, FLOOR = 8000, 0.001, 0.9
+MISS, FLOOR = 0.001, 0.9
 #: Proposals judged at a time.
 CHUNK = 8192
+#: Distinct examples that the driver keeps, or that a task counts or judges at a time.
+HELD, COUNTED = 1 << 19, 1 << 16
 #: The base patterns, written so that none rescans a run of characters.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -270,40 +274,113 @@ class SpanModel:
         return [(b, self.added(t, found) if found else []) for t, b, found in zip(texts, base, self.likely(texts, base), strict=True)]
 
 
-def examples(batches):
-    """Features, kinds and labels of a sample's base spans, variants and known negatives; fold: a hash of the text."""
+def examples(text: str):
+    """(text, span, label) of a text's base spans, variants and known negatives."""
+    base = base_spans(text)
+    yield from ((text, s, 1) for s in base)
+    for t, s in (v for b in base for v in variants(text, b)):
+        yield t, s, 1
+        yield from ((t, c, 0) for c in proposals(t) if wrong(t, c, s))
+    yield from ((text, c, 0) for c in untouched(proposals(text), base) if ruled_out(text, c))
+
+
+def counted(batches):
+    """x (features in bins), label, fold (a hash of the text) and how often the examples of texts have these."""
+    held: Counter = Counter()
+
+    def told():
+        x, y, fold = zip(*held, strict=True)
+        return pa.RecordBatch.from_pydict({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.int32()), "fold": pa.array(fold, pa.int32()), "n": pa.array(held.values(), pa.int64())})
+
+    for batch in batches:
+        texts = (t or "" for t in batch.column("text").to_pylist())
+        each = ((*e, fold) for t in texts for fold in [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[0] % 2] for e in examples(t))
+        for part in batched(each, CHUNK):
+            rows = binned(np.array([features(t, s) for t, s, _, _ in part], dtype=float))
+            held.update((x.tobytes(), y, fold) for x, (_, _, y, fold) in zip(rows, part, strict=True))
+            if len(held) >= COUNTED:
+                yield told()
+                held.clear()
+    if held:
+        yield told()
+
+
+def unpacked(batch) -> tuple[np.ndarray, ...]:
+    """x, y, fold, n of counted examples."""
+    y, fold, n = (batch.column(c).to_numpy() for c in ("y", "fold", "n"))
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(y.size, -1), y, fold, n
+
+
+def blocks(batches):
+    """Batches joined to about COUNTED rows, unpacked."""
+    held = []
     for batch in batches:
-        rows, kinds, labels, folds = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            base, fold = base_spans(text or ""), hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()[0] % 2
-            cases = [(text, s, 1) for s in base]
-            for t, s in (v for b in base for v in variants(text, b)):
-                cases += [(t, s, 1), *((t, c, 0) for c in proposals(t) if wrong(t, c, s))]
-            cases += [(text, c, 0) for c in untouched(proposals(text or ""), base) if ruled_out(text, c)]
-            for t, s, y in cases:
-                rows.append([float(v) for v in features(t, s)])
-                kinds.append(s[1])
-                labels.append(y)
-                folds.append(fold)
-        yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "kind": pa.array(kinds, pa.int32()), "y": pa.array(labels, pa.int32()), "fold": pa.array(folds, pa.int32())})
-
-
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> SpanModel:
-    sample = bounded(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", fit_rows).select("text")
-    got = sample.mapInArrow(examples, "x array<double>, kind int, y int, fold int").toArrow()
-    y, kind, fold = (got.column(c).to_numpy() for c in ("y", "kind", "fold"))
-    if y.size == 0 or y[fold == 0].sum() == 0 or y.min() == y.max():
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= COUNTED:
+            yield unpacked(pa.Table.from_batches(held))
+            held = []
+    if any(b.num_rows for b in held):
+        yield unpacked(pa.Table.from_batches(held))
+
+
+def grown(rows: DataFrame) -> BoostedTrees:
+    """Trees from a table of counted examples: each task gives the sums of its rows."""
+    trees = BoostedTrees()
+
+    def told(tree, waiting):
+        def task(batches):
+            out = 0
+            for x, y, _, n in blocks(batches):
+                out = out + trees.sums(tree, waiting, x, y, n, trees.margin(x) if trees.trees else np.zeros(y.size))
+            if isinstance(out, np.ndarray):
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+        parts = [np.frombuffer(r.sums).reshape(2, len(waiting), -1, BINS) for r in rows.mapInArrow(task, "sums binary").collect()]
+        return sum(parts[1:], parts[0])
+
+    total = rows.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum("n")).first()
+    return trees.grow(told, total[0], total[1])
+
+
+def taken(trees: BoostedTrees, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, probabilities and counts of the rows that reach FLOOR."""
+    p = trees.likely(x)
+    at = np.flatnonzero(p >= FLOOR)
+    return np.argmax(x[at, : len(KINDS)], axis=1), p[at], n[at]
+
+
+def train(docs: DataFrame) -> SpanModel:
+    rows = written(docs.select("text").where(F.col("text").isNotNull()).mapInArrow(counted, "x binary, y int, fold int, n long").groupBy("x", "y", "fold").agg(F.sum("n").alias("n")))
+    labels = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    if not labels.get((0, 1)) or not any(y == 0 for _, y in labels):
         return SpanModel()
-    x = np.array(got.column("x").to_pylist(), dtype=float)
-    order = np.lexsort((*x.T, y, kind, fold))  # the same trees whatever the order of arrival
-    x, y, kind, fold = x[order], y[order], kind[order], fold[order]
-    trees = BoostedTrees().fit(x[fold == 0], y[fold == 0].astype(float))
-    p, thresholds = trees.predict(x), []
-    for k in range(4):
-        clean = np.sort(p[(fold == 1) & (kind == k) & (y == 0)])
-        allowed = int(MISS * clean.size)
-        thresholds.append(max(FLOOR, float(np.nextafter(clean[-1 - allowed], 2)) if clean.size else FLOOR))
-    return SpanModel(trees, thresholds)
+    # the first features of an example are its kind
+    kind = sum(F.when(F.substring("x", k + 1, 1) == F.lit(b"\1"), k).otherwise(0) for k in range(len(KINDS)))
+    clean = {r.kind: r.n for r in rows.where("fold = 1 and y = 0").groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
+    if sum(labels.values()) <= HELD:
+        x, y, fold, n = unpacked(rows.toArrow().combine_chunks())
+        trees = BoostedTrees().fit(x[fold == 0], y[fold == 0], n[fold == 0])
+        high = taken(trees, x[(fold == 1) & (y == 0)], n[(fold == 1) & (y == 0)])
+    else:
+        trees = grown(rows.where("fold = 0"))
+
+        def task(batches):
+            for x, _, _, n in blocks(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in taken(trees, x, n)], names=["kind", "p", "n"])
+
+        found = rows.where("fold = 1 and y = 0").mapInArrow(task, "kind long, p double, n long").groupBy("kind", "p").agg(F.sum("n").alias("n")).toArrow()
+        high = tuple(found.column(c).to_numpy() for c in ("kind", "p", "n"))
+    return SpanModel(trees, thresholds(clean, *high))
+
+
+def thresholds(clean: dict[int, int], kind: np.ndarray, p: np.ndarray, n: np.ndarray) -> list[float]:
+    """clean: negatives of each kind; the others: those that reach FLOOR."""
+    out = []
+    for k in range(len(KINDS)):
+        order = np.argsort(-p[kind == k])
+        over = np.flatnonzero(np.cumsum(n[kind == k][order]) > int(MISS * clean.get(k, 0)))
+        out.append(max(FLOOR, float(np.nextafter(p[kind == k][order][over[0]], 2))) if over.size else FLOOR)
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
