@@ -30,7 +30,7 @@ def _at(tree: list, x: np.ndarray) -> np.ndarray:
 
 
 class BoostedTrees:
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0, least: float = 1.0):
+    def __init__(self, rounds: int = 80, depth: int = 3, rate: float = 0.2, ridge: float = 1.0, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.ridge, self.least = rounds, depth, rate, ridge, least
         self.start, self.trees = 0.0, []
 
